@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["features"]
+AREAS = ["features", "signal", "scoring", "metrics", "positivity", "splits", "sampling"]
 
 
 def load_all() -> None:
