@@ -209,7 +209,7 @@ def labeled(spark, sf) -> DataFrame:
 view(
     "patients",
     """SELECT 'cohort' || n_regionkey AS dataset_name,
-       n_name || '_Patient' || (c_custkey // 3) || '-' || c_custkey AS fov_name, c_mktsegment AS domain,
+       'scan_Patient' || (c_custkey // 3) || '-' || c_custkey AS fov_name, c_mktsegment AS domain,
        c_custkey, c_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey""",
 )
 
@@ -222,7 +222,7 @@ def patients(spark, sf) -> DataFrame:
     unit = F.floor(F.col("c_custkey") / 3)
     return j.select(
         F.concat(F.lit("cohort"), "n_regionkey").alias("dataset_name"),
-        F.concat("n_name", F.lit("_Patient"), unit, F.lit("-"), "c_custkey").alias("fov_name"),
+        F.concat(F.lit("scan_Patient"), unit, F.lit("-"), "c_custkey").alias("fov_name"),
         F.col("c_mktsegment").alias("domain"),
         "c_custkey",
         "c_nationkey",

@@ -71,8 +71,7 @@ def patient_split(spark, sf):
 
 @query(
     "patient_leaks",
-    """, u AS (SELECT n_name || '_Patient' || (c_custkey // 3) AS patient, c_mktsegment AS domain, 'cohort' || n_regionkey AS dataset_name, n_name || '_Patient' || (c_custkey // 3) || '-' || c_custkey AS fov_name
-       FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    """, u AS (SELECT 'scan_Patient' || (c_custkey // 3) AS patient, domain, dataset_name, fov_name FROM v_patients),
        r AS (SELECT *, count(*) OVER (PARTITION BY domain) AS n, row_number() OVER (PARTITION BY domain ORDER BY md5('42|patient:' || patient), patient) AS rk FROM (SELECT DISTINCT domain, patient FROM u)),
        s AS (SELECT u.*, CASE WHEN rk <= greatest(1, least(n - 1, CAST(round_even(n * 0.8::DOUBLE, 0) AS BIGINT))) THEN 'train' ELSE 'val' END AS split FROM u JOIN r USING (domain, patient))
        SELECT patient, count(DISTINCT split) AS n_splits, count(*) AS n_fovs FROM s GROUP BY patient HAVING count(DISTINCT split) > 1""",
@@ -259,7 +258,7 @@ def assign_split(spark, sf):
 @query(
     "meta_diff",
     """, s AS (SELECT c_mktsegment AS "key", CAST(count(*) AS VARCHAR) AS value FROM customer WHERE c_mktsegment <> 'FURNITURE' GROUP BY ALL UNION ALL SELECT 'zarr_path', min(c_name) FROM customer),
-       c AS (SELECT c_mktsegment AS "key", CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN NULL ELSE CAST(count(*) FILTER (c_mktsegment <> 'BUILDING' OR c_acctbal > 0) AS VARCHAR) END AS value FROM customer GROUP BY ALL UNION ALL SELECT 'zarr_path', max(c_name) FROM customer)
+       c AS (SELECT "key", CASE WHEN "key" = 'HOUSEHOLD' THEN NULL ELSE CAST(n AS VARCHAR) END AS value FROM (SELECT c_mktsegment AS "key", count(*) FILTER (c_mktsegment <> 'BUILDING' OR c_acctbal > 0) AS n FROM customer GROUP BY 1) UNION ALL SELECT 'zarr_path', max(c_name) FROM customer)
        SELECT "key", s.value AS saved, c.value AS current, CASE WHEN s.value IS NULL THEN 'missing' ELSE 'mismatch' END AS problem, "key" = 'zarr_path' AS advisory
        FROM s FULL JOIN c USING ("key") WHERE c.value IS NOT NULL AND s.value IS DISTINCT FROM c.value""",
 )
