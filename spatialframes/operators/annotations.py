@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed value: how far, in pixels, a placed annotation may lie from the centroid it means.
@@ -24,40 +24,93 @@ def scale_marks(marks: DataFrame, fovs: DataFrame) -> DataFrame:
     return joined.withColumn("row", F.col("row") * scale).withColumn("col", F.col("col") * scale).drop("scale_factor")
 
 
-def _bucket(value: Column, size: float) -> Column:
-    return F.floor(value / F.lit(float(size)))
+_DENSE = 64  # places per grid cell above which the cell is refined instead of joined whole
+_FACTOR = 16  # refinement per axis and level
+_MAX_LEVELS = 6
 
 
-def _meet(marks: DataFrame, cells: DataFrame, tol: float, near: Column, best: Column) -> DataFrame:
-    """Best cell of each annotated position, by grid buckets as wide as the tolerance.
+def _gap(low: Column, high: Column, at: Column) -> tuple[Column, Column]:
+    """Smallest and largest distance on one axis from a point to an interval."""
+    return F.greatest(low - at, at - high, F.lit(0.0)), F.greatest(F.abs(at - low), F.abs(at - high))
 
-    Equal positions are joined once, whatever the number of annotations or cells that share them.
-    A position looks into the nine buckets round its own, so the join is an equi join.
+
+def _search(marks: DataFrame, cells: DataFrame, tol: float, bounds) -> DataFrame:
+    """Best cell of each annotated position over a grid as wide as the tolerance.
+
+    Equal positions are joined once, whatever the number of annotations or cells that share them,
+    and a position looks into the nine grid cells round its own, so the join is an equi join.
+    Where a grid cell holds many places it is refined: a level of boxes replaces the places, and
+    only the boxes that can still hold the best one are opened. ``bounds(box)`` gives (possible,
+    lower, upper) bounds of the score of the places in a box; the lowest score wins.
     """
-    spots = marks.select("fov_key", "row", "col").distinct()
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    probes = spots.select(
-        "*", (_bucket(F.col("row"), tol) + F.explode(around)).alias("_br")
-    ).select("*", (_bucket(F.col("col"), tol) + F.explode(around)).alias("_bc"))
+    keys = ["fov_key", "row", "col"]
+    spots = marks.select(*keys).distinct()
     places = cells.groupBy("fov_key", "c_row", "c_col").agg(F.min("cell_id").alias("cell_id"))
-    places = places.withColumn("_br", _bucket(F.col("c_row"), tol)).withColumn("_bc", _bucket(F.col("c_col"), tol))
-    pairs = probes.join(places, ["fov_key", "_br", "_bc"]).where(near)
-    return pairs.groupBy("fov_key", "row", "col").agg(F.min_by("cell_id", best).alias("cell_id"))
+    width = tol * (1 + 1e-9)  # rounding must not push a neighbour out of the nine grid cells
+
+    def grid(level: int, row: Column, col: Column) -> tuple[Column, Column]:
+        # keys of all levels come from the finest one, so boxes nest exactly
+        fine = width / _FACTOR**_MAX_LEVELS
+        up = F.lit(float(_FACTOR ** (_MAX_LEVELS - level)))
+        return F.floor(F.floor(row / fine) / up), F.floor(F.floor(col / fine) / up)
+
+    def boxes(level: int) -> DataFrame:
+        r, c = grid(level, F.col("c_row"), F.col("c_col"))
+        pr, pc = grid(max(level - 1, 0), F.col("c_row"), F.col("c_col"))
+        keyed = places.select("*", r.alias("_r"), c.alias("_c"), pr.alias("_pr"), pc.alias("_pc"))
+        return keyed.groupBy("fov_key", "_r", "_c", "_pr", "_pc").agg(
+            F.min("c_row").alias("_r0"), F.max("c_row").alias("_r1"), F.min("c_col").alias("_c0"), F.max("c_col").alias("_c1"),
+            F.min("cell_id").alias("_id"), F.count(F.lit(1)).alias("_n"),
+        )
+
+    depth = -1  # -1: join the places themselves
+    while depth < _MAX_LEVELS - 1:
+        crowded = boxes(depth + 1).agg(F.max("_n")).first()[0] or 0
+        if crowded <= _DENSE:
+            break
+        depth += 1
+
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    r, c = grid(0, F.col("row"), F.col("col"))
+    near = spots.select("*", r.alias("_pr"), c.alias("_pc"))
+    near = near.withColumn("_dr", F.explode(around)).withColumn("_dc", F.explode(around))
+    near = near.select(*keys, (F.col("_pr") + F.col("_dr")).alias("_pr"), (F.col("_pc") + F.col("_dc")).alias("_pc"))
+
+    for level in range(depth + 1):
+        opened = boxes(level).select("fov_key", "_pr", "_pc", "_r", "_c", "_r0", "_r1", "_c0", "_c1", "_id")
+        possible, lower, upper = bounds(*(F.col(x) for x in ("_r0", "_r1", "_c0", "_c1", "_id")))
+        met = near.join(opened, ["fov_key", "_pr", "_pc"]).where(possible)
+        met = met.withColumn("_lower", lower).withColumn("_best", F.min(upper).over(Window.partitionBy(*keys)))
+        kept = met.where(F.col("_best").isNull() | (F.col("_lower") <= F.col("_best")))
+        near = kept.select(*keys, F.col("_r").alias("_pr"), F.col("_c").alias("_pc"))
+
+    r, c = grid(max(depth, 0), F.col("c_row"), F.col("c_col"))
+    leaves = places.select("*", r.alias("_pr"), c.alias("_pc"))
+    possible, lower, _ = bounds(F.col("c_row"), F.col("c_row"), F.col("c_col"), F.col("c_col"), F.col("cell_id"))
+    pairs = near.join(leaves, ["fov_key", "_pr", "_pc"]).where(possible)
+    return pairs.groupBy(*keys).agg(F.min_by("cell_id", F.struct(lower, F.col("cell_id"))).alias("cell_id"))
 
 
 def nearest_centroid(marks: DataFrame, cells: DataFrame, tol: float = CENTROID_TOLERANCE) -> DataFrame:
     """Nearest cell strictly closer than ``tol``, the smaller id on ties; NULL when there is none."""
-    dr, dc = F.col("row") - F.col("c_row"), F.col("col") - F.col("c_col")
-    distance = F.sqrt(dr * dr + dc * dc)
-    found = _meet(marks, cells, tol, distance < tol, F.struct(distance, F.col("cell_id")))
-    return marks.join(found, ["fov_key", "row", "col"], "left")
+
+    def bounds(r0, r1, c0, c1, _):
+        (r_min, r_max), (c_min, c_max) = _gap(r0, r1, F.col("row")), _gap(c0, c1, F.col("col"))
+        low, high = F.sqrt(r_min * r_min + c_min * c_min), F.sqrt(r_max * r_max + c_max * c_max)
+        return low < tol, low, F.when(high < tol, high)
+
+    return marks.join(_search(marks, cells, tol, bounds), ["fov_key", "row", "col"], "left")
 
 
 def nearest_box(marks: DataFrame, cells: DataFrame, tol: float = 0.5) -> DataFrame:
     """First cell in id order closer than ``tol`` on both axes."""
-    near = (F.abs(F.col("row") - F.col("c_row")) < tol) & (F.abs(F.col("col") - F.col("c_col")) < tol)
-    found = _meet(marks, cells, tol, near, F.struct("cell_id"))
-    return marks.join(found, ["fov_key", "row", "col"], "left")
+
+    def bounds(r0, r1, c0, c1, first_id):
+        (r_min, r_max), (c_min, c_max) = _gap(r0, r1, F.col("row")), _gap(c0, c1, F.col("col"))
+        whole = (r_max < tol) & (c_max < tol)
+        return (r_min < tol) & (c_min < tol), first_id, F.when(whole, first_id)
+
+    return marks.join(_search(marks, cells, tol, bounds), ["fov_key", "row", "col"], "left")
 
 
 def annotation_collapse(resolved: DataFrame) -> DataFrame:

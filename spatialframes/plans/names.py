@@ -238,19 +238,17 @@ def mapping_vs_declared(spark, sf):
 
 @query(
     "fov_report_rollup",
-    """, ch AS (SELECT DISTINCT r_name AS modality, n_name AS tissue, s_suppkey AS fov_key, channel FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-       JOIN region ON n_regionkey = r_regionkey JOIN v_channels ON l_partkey = p_partkey WHERE l_discount < 0.005 AND l_tax < 0.005),
+    """, ch AS (SELECT DISTINCT o_orderstatus AS modality, o_orderpriority AS tissue, l_orderkey AS fov_key, channel FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN v_channels ON l_partkey = p_partkey),
        f AS (SELECT modality, tissue, fov_key, count(*) AS n, count(*) FILTER (channel NOT IN (SELECT name FROM v_markers)
        AND NOT regexp_matches(upper(trim(channel)), '^(BLANK|CH2|CH3|DAPI|DNA|DRAQ|EMPTY|EMPYT|HOECHST|IR)')) AS unknown FROM ch GROUP BY ALL)
        SELECT modality, tissue, count(*) AS num_fovs, count(*) FILTER (n <= 2) AS num_two_channel, CAST(sum(unknown) AS BIGINT) AS num_unknown_channels FROM f GROUP BY ROLLUP (modality, tissue)""",
 )
 def fov_report_rollup(spark, sf):
-    n, r = b.table(spark, sf, "nation"), b.table(spark, sf, "region")
-    l = b.table(spark, sf, "lineitem").where("l_discount < 0.005 AND l_tax < 0.005").select("l_suppkey", "l_partkey")  # noqa: E741
-    s = b.table(spark, sf, "supplier").join(n, F.col("s_nationkey") == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-    rows = l.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(channels(spark, sf), F.col("l_partkey") == F.col("p_partkey"))
-    rows = rows.select(F.col("r_name").alias("modality"), F.col("n_name").alias("tissue"), F.col("s_suppkey").alias("fov_key"), "channel").distinct()
-    return ops.fov_report(rows, markers(spark, sf))
+    """An order is a field, its line items are the channels."""
+    o = b.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("modality"), F.col("o_orderpriority").alias("tissue"))
+    l = b.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("fov_key"), "l_partkey")  # noqa: E741
+    rows = l.join(o, F.col("fov_key") == F.col("o_orderkey")).join(channels(spark, sf), F.col("l_partkey") == F.col("p_partkey"))
+    return ops.fov_report(rows.select("modality", "tissue", "fov_key", "channel").distinct(), markers(spark, sf))
 
 
 @query(

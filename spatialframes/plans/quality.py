@@ -88,7 +88,7 @@ def attr_contract(spark, sf):
 
 @query(
     "matrix_contract",
-    """, s AS (SELECT CAST(fov_key AS VARCHAR) AS k, * FROM v_meta WHERE u % 2 = 0)
+    """, s AS (SELECT CAST(fov_key AS VARCHAR) AS k, * FROM v_meta WHERE u > 29)
        SELECT 'missing_markers' AS "check", k AS "key", '' AS detail FROM s WHERE h = 0 UNION ALL SELECT 'missing_matrix', k, '' FROM s WHERE h = 1
        UNION ALL SELECT 'matrix_not_2d', k, '0' FROM s WHERE h = 2 UNION ALL SELECT 'matrix_shape', k, '2x' || h || ' vs 2x3' FROM s WHERE h > 3""",
 )
@@ -99,7 +99,7 @@ def matrix_contract(spark, sf):
     matrix = F.when(h == 1, F.lit(None).cast("array<array<string>>")).when(h == 2, empty).otherwise(F.array(row, row))
     frame = meta(spark, sf).select(
         "fov_key",
-        (F.col("u") % 2 == 0).alias("has_mp"),
+        (F.col("u") > 29).alias("has_mp"),
         F.when(h != 0, F.array_repeat(F.lit("m"), 3)).alias("markers"),
         F.array_repeat(F.lit("t"), 2).alias("cell_types"),
         matrix.alias("matrix"),
