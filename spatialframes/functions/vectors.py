@@ -26,11 +26,3 @@ def threshold_grid(n: int = 50, low: float = 0.01, high: float = 0.99) -> list[f
     """The grid of decision thresholds, ends included."""
     step = (high - low) / (n - 1)
     return [i * step + low for i in range(n)]
-
-
-def dense_from_map(values: Column, size: int | Column, missing: float = 0.0) -> Column:
-    """Array of ``size`` entries from a map position -> value."""
-    last = (F.lit(size) if isinstance(size, int) else size) - 1
-    return F.transform(
-        F.sequence(F.lit(0), last.cast("int")), lambda i: F.coalesce(values[i], F.lit(missing))
-    )

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spatialframes.functions.arrays import scatter
 from spatialframes.functions.ordering import seeded_rank
 from spatialframes.functions.quantiles import exact_quantiles
-from spatialframes.functions.vectors import dense_from_map
 from spatialframes.session import settle
 
 PIXEL = ["fov_key", "row", "col"]
@@ -154,23 +154,18 @@ def feature_matrix(
     The optional ``size`` column becomes the last entry.
     """
     index = markers.select(F.col("name").alias("marker"), "idx")
-    located = features.join(index, "marker")
-    entry = F.struct(F.col("idx").cast("int"), F.col(value).cast("double"))
-    aggs = [F.map_from_entries(F.collect_list(entry)).alias("_values")]
+    entry = F.struct(F.col("idx").alias("at"), F.col(value).alias("value"))
+    aggs = [F.collect_list(entry).alias("_entries")]  # at most one entry per registered marker
     if size:
         aggs.append(F.max(size).cast("double").alias("_size"))
-    cells = located.groupBy(*by).agg(*aggs)
-    if panel is None:
-        vector = dense_from_map(F.col("_values"), n_markers)
-    else:
-        known = panel.join(index, "marker").groupBy("fov_key").agg(F.collect_set(F.col("idx").cast("int")).alias("_panel"))
-        cells = cells.join(settle(known), "fov_key", "left")
-        vector = F.transform(
-            F.sequence(F.lit(0), F.lit(n_markers - 1)),
-            lambda i: F.when(F.array_contains("_panel", i), F.coalesce(F.col("_values")[i], F.lit(0.0))).otherwise(
-                F.lit(missing)
-            ),
-        )
+    cells = features.join(index, "marker").groupBy(*by).agg(*aggs)
+    entries = F.col("_entries")
+    if panel is not None:
+        zero = F.struct(F.col("idx").alias("at"), F.lit(0.0).alias("value"))
+        known = panel.select("fov_key", "marker").distinct().join(index, "marker")
+        cells = cells.join(settle(known.groupBy("fov_key").agg(F.collect_list(zero).alias("_panel"))), "fov_key", "left")
+        entries = F.concat(F.col("_panel"), entries)
+    vector = scatter(entries, n_markers, missing if panel is not None else 0.0)
     if size:
         vector = F.concat(vector, F.array("_size"))
     return cells.withColumn("features", vector).select(*by, "features")
@@ -199,9 +194,9 @@ def embedding_align(vocab: DataFrame, embeddings: DataFrame, dims: int) -> DataF
 def scatter_dense(channels: DataFrame, markers: DataFrame, n_markers: int, by: Sequence[str], value: str) -> DataFrame:
     """Channel values moved to their registry position, zero elsewhere."""
     index = markers.select(F.col("name").alias("marker"), "idx")
-    entry = F.struct(F.col("idx").cast("int"), F.col(value).cast("double"))
-    packed = channels.join(index, "marker").groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("_v"))
-    return packed.select(*by, dense_from_map(F.col("_v"), n_markers).alias("dense"))
+    entry = F.struct(F.col("idx").alias("at"), F.col(value).alias("value"))
+    packed = channels.join(index, "marker").groupBy(*by).agg(F.collect_list(entry).alias("_entries"))
+    return packed.select(*by, scatter(F.col("_entries"), n_markers).alias("dense"))
 
 
 # --- row filters ---------------------------------------------------------------------------------------

@@ -116,13 +116,15 @@ def reflect(index: Column, size: Column) -> Column:
     return F.when(folded < size, folded).otherwise(2 * size - 1 - folded).cast("int")
 
 
-def _along(pixels: DataFrame, axis: str, compute: Callable[[Column, Column, Column], Column]) -> DataFrame:
-    """Apply ``compute(line, size, i)`` at every position of every image line along ``axis``.
+def on_lines(pixels: DataFrame, axis: str, compute: Callable[..., Column], extra: Sequence[str] = (), length=None) -> DataFrame:
+    """Apply ``compute(line, size, i, *extra)`` at every position of every image line along ``axis``.
 
-    Every pixel of the image has to be present; a gap raises instead of shifting the line.
+    ``extra`` columns are constant per field. ``length(size, *extra)`` gives the length of the new
+    line, the old one by default. Every pixel of the image has to be present; a gap raises instead
+    of shifting the line.
     """
     across = "row" if axis == "col" else "col"
-    lines = pixels.groupBy(*CHANNEL, across).agg(
+    lines = pixels.groupBy(*CHANNEL, *extra, across).agg(
         F.array_sort(F.collect_list(F.struct(F.col(axis).alias("at"), F.col("value").alias("v")))).alias("_line")
     )
     size = F.size("_line")
@@ -131,8 +133,12 @@ def _along(pixels: DataFrame, axis: str, compute: Callable[[Column, Column, Colu
         "_line", F.when(whole, F.col("_line")).otherwise(F.raise_error(F.lit("image line with missing pixels")))
     )
     lines = lines.withColumn("_line", F.transform("_line", lambda p: p["v"]))
-    out = F.transform(F.sequence(F.lit(0), size - 1), lambda i: compute(F.col("_line"), size, i))
-    return lines.select(*CHANNEL, across, F.posexplode(out).alias(axis, "value"))
+    columns = [F.col(e) for e in extra]
+    last = (size if length is None else length(size, *columns)) - 1
+    out = F.transform(F.sequence(F.lit(0), last), lambda i: compute(F.col("_line"), size, i, *columns))
+    # a line shrunk to nothing has no pixel
+    out = F.when(last >= 0, out)
+    return lines.select(*CHANNEL, *extra, across, F.posexplode(out).alias(axis, "value"))
 
 
 def denoise_median(pixels: DataFrame, size: int = 3) -> DataFrame:
@@ -146,7 +152,7 @@ def denoise_median(pixels: DataFrame, size: int = 3) -> DataFrame:
         values = F.flatten(F.array(*[F.get(line, reflect(i + d, n)) for d in offsets]))
         return F.get(F.array_sort(values), F.lit(size * size // 2))
 
-    return _along(_along(pixels, "col", window), "row", median).select("fov_key", "channel", "row", "col", "value")
+    return on_lines(on_lines(pixels, "col", window), "row", median).select("fov_key", "channel", "row", "col", "value")
 
 
 def denoise_gaussian(pixels: DataFrame, size: int = 3) -> DataFrame:
@@ -162,7 +168,7 @@ def denoise_gaussian(pixels: DataFrame, size: int = 3) -> DataFrame:
     def smooth(line, n, i):
         return F.aggregate(kernel, F.lit(0.0), lambda acc, k: acc + k["w"] * F.get(line, reflect(i + k["d"], n)))
 
-    return _along(_along(pixels, "row", smooth), "col", smooth).select("fov_key", "channel", "row", "col", "value")
+    return on_lines(on_lines(pixels, "row", smooth), "col", smooth).select("fov_key", "channel", "row", "col", "value")
 
 
 def denoise(pixels: DataFrame, kind: str = "median", size: int = 3) -> DataFrame:

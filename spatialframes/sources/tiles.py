@@ -1,4 +1,4 @@
-"""Image tiles: one row per (field, channel, tile) with its pixels as an array."""
+"""Image tiles: one row per (field, channel, tile) with its pixels as a row-major array."""
 
 from __future__ import annotations
 
@@ -7,33 +7,45 @@ from pyspark.sql import functions as F
 
 
 def pixels_to_tiles(pixels: DataFrame, height: int, width: int) -> DataFrame:
-    """Row-major tiles of at most ``height`` x ``width``; a missing pixel inside a tile is NULL.
+    """Tiles of at most ``height`` x ``width``; a pixel the tile lacks is NULL.
 
-    A tile bounds what one group holds, whatever the size of the field.
+    A tile bounds what one group holds, whatever the size of the field. Full tiles, the rule for
+    images, are put in order by one sort; only a tile with holes is filled position by position.
     """
     tile_r, tile_c = F.floor(F.col("row") / height), F.floor(F.col("col") / width)
-    spot = ((F.col("row") - tile_r * height) * width + F.col("col") - tile_c * width).cast("int")
     placed = pixels.select(
-        "fov_key", "channel", tile_r.cast("int").alias("tile_r"), tile_c.cast("int").alias("tile_c"),
-        F.struct(spot.alias("spot"), F.col("value")).alias("p"),
+        "fov_key",
+        "channel",
+        tile_r.cast("int").alias("tile_r"),
+        tile_c.cast("int").alias("tile_c"),
+        F.struct(
+            (F.col("row") - tile_r * height).cast("int").alias("r"),
+            (F.col("col") - tile_c * width).cast("int").alias("c"),
+            F.col("value").alias("value"),
+        ).alias("_p"),
     )
     packed = placed.groupBy("fov_key", "channel", "tile_r", "tile_c").agg(
-        F.map_from_entries(F.collect_list("p")).alias("_p")
+        F.array_sort(F.collect_list("_p")).alias("_p"),
+        (F.max("_p.r") + 1).alias("h"),
+        (F.max("_p.c") + 1).alias("w"),
     )
-    values = F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda i: F.col("_p")[i])
-    return packed.select(
-        "fov_key", "channel", "tile_r", "tile_c", F.lit(height).alias("h"), F.lit(width).alias("w"), values.alias("values")
+    size = F.col("h") * F.col("w")
+    at = F.map_from_entries(F.transform("_p", lambda p: F.struct((p["r"] * F.col("w") + p["c"]).alias("k"), p["value"].alias("v"))))
+    holed = packed.withColumn("_at", F.when(F.size("_p") < size, at))
+    values = F.when(F.col("_at").isNull(), F.transform("_p", lambda p: p["value"])).otherwise(
+        F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.col("_at")[i])
     )
+    return holed.select("fov_key", "channel", "tile_r", "tile_c", F.lit(height).alias("tile_h"), F.lit(width).alias("tile_w"), "h", "w", values.alias("values"))
 
 
 def tiles_to_pixels(tiles: DataFrame) -> DataFrame:
-    spread = tiles.select("fov_key", "channel", "tile_r", "tile_c", "h", "w", F.posexplode("values").alias("pos", "value"))
+    spread = tiles.select("fov_key", "channel", "tile_r", "tile_c", "tile_h", "tile_w", "w", F.posexplode("values").alias("pos", "value"))
     spread = spread.where(F.col("value").isNotNull())
     return spread.select(
         "fov_key",
         "channel",
-        (F.col("tile_r") * F.col("h") + F.floor(F.col("pos") / F.col("w"))).cast("int").alias("row"),
-        (F.col("tile_c") * F.col("w") + F.col("pos") % F.col("w")).cast("int").alias("col"),
+        (F.col("tile_r") * F.col("tile_h") + F.floor(F.col("pos") / F.col("w"))).cast("int").alias("row"),
+        (F.col("tile_c") * F.col("tile_w") + F.col("pos") % F.col("w")).cast("int").alias("col"),
         "value",
     )
 
