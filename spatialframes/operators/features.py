@@ -105,7 +105,8 @@ def domain_moments(readings: DataFrame, std_floor: float = 1e-6) -> DataFrame:
         "marker",
         F.coalesce("n", F.lit(0)).alias("n"),
         F.coalesce(mean, F.lit(0.0)).alias("mean"),
-        F.coalesce(F.greatest(F.sqrt(variance), F.lit(std_floor)), F.lit(1.0)).alias("std"),
+        # greatest() skips NULL, so an unseen pair needs its own branch
+        F.when(F.col("n").isNull(), F.lit(1.0)).otherwise(F.greatest(F.sqrt(variance), F.lit(std_floor))).alias("std"),
     )
 
 

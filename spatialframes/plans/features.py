@@ -114,7 +114,7 @@ def apply_fov_norm(spark, sf):
 view(
     "moments",
     """SELECT domain, marker, coalesce(n, 0) AS n, coalesce(s / n, 0.0) AS mean,
-       coalesce(greatest(sqrt(greatest(s2 / n - (s / n) * (s / n), 0.0)), 1e-6), 1.0) AS std
+       CASE WHEN n IS NULL THEN 1.0 ELSE greatest(sqrt(greatest(s2 / n - (s / n) * (s / n), 0.0)), 1e-6) END AS std
        FROM (SELECT DISTINCT domain FROM v_readings) CROSS JOIN (SELECT DISTINCT marker FROM v_readings)
        LEFT JOIN (SELECT domain, marker, count(*) AS n, sum(value) AS s, sum(value * value) AS s2
        FROM v_readings GROUP BY ALL) USING (domain, marker)""",
