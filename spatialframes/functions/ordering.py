@@ -23,8 +23,15 @@ def seeded_key(seed: int | str, *keys: str | Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in columns]))
 
 
-def _offsets(sliced: DataFrame, group: list[str], measures: dict[str, Column]) -> DataFrame:
-    per_slice = sliced.groupBy(*group, "_slice").agg(
+def sliced(df: DataFrame, keys: Sequence[str], seed: int | str) -> DataFrame:
+    """Rows with their ``_digest`` and the ``_slice`` it falls into."""
+    out = df.withColumn("_digest", seeded_key(seed, *keys))
+    return out.withColumn("_slice", F.substring("_digest", 1, SLICE_DIGITS))
+
+
+def slice_offsets(rows: DataFrame, group: Sequence[str], measures: dict[str, Column]) -> DataFrame:
+    """Per (group, slice) the sum of each measure before the slice and over the whole group."""
+    per_slice = rows.groupBy(*group, "_slice").agg(
         *[F.sum(m).alias(f"_m_{name}") for name, m in measures.items()]
     )
     running = Window.partitionBy(*group).orderBy("_slice")
@@ -52,10 +59,9 @@ def seeded_rank(
     the rows ranked up to it are returned, and slices beyond it are dropped before the sort.
     """
     group, keys = list(group), list(keys)
-    sliced = df.withColumn("_digest", seeded_key(seed, *keys))
-    sliced = sliced.withColumn("_slice", F.substring("_digest", 1, SLICE_DIGITS))
-    offsets = _offsets(sliced, group, {"rows": F.lit(1)})
-    placed = null_safe_join(sliced, offsets, [*group, "_slice"], "inner")
+    rows = sliced(df, keys, seed)
+    offsets = slice_offsets(rows, group, {"rows": F.lit(1)})
+    placed = null_safe_join(rows, offsets, [*group, "_slice"], "inner")
     placed = placed.withColumnRenamed("_total_rows", total)
     if limit is not None:
         limit = F.lit(limit) if isinstance(limit, int) else limit
@@ -81,12 +87,15 @@ def seeded_running_sum(
     Use an integer or decimal measure: their sums do not depend on the order of addition.
     """
     group, keys = list(group), list(keys)
-    sliced = df.withColumn("_digest", seeded_key(seed, *keys)).withColumn("_measure", measure)
-    sliced = sliced.withColumn("_slice", F.substring("_digest", 1, SLICE_DIGITS))
-    offsets = _offsets(sliced, group, {"m": F.col("_measure")})
-    placed = null_safe_join(sliced, offsets, [*group, "_slice"], "inner")
+    rows = sliced(df, keys, seed).withColumn("_measure", measure)
+    offsets = slice_offsets(rows, group, {"m": F.col("_measure")})
+    placed = running_sum(rows, offsets.withColumnRenamed("_total_m", total), group, keys, out)
+    return placed.drop("_digest", "_slice", "_measure")
+
+
+def running_sum(rows: DataFrame, offsets: DataFrame, group: Sequence[str], keys: Sequence[str], out: str) -> DataFrame:
+    """Inclusive running sum of ``_measure`` from the offsets of its slices (``_before_m``)."""
+    placed = null_safe_join(rows, offsets, [*group, "_slice"], "inner")
     inside = Window.partitionBy(*group, "_slice").orderBy("_digest", *keys)
     inside = inside.rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn(out, F.col("_before_m") + F.sum("_measure").over(inside))
-    placed = placed.withColumnRenamed("_total_m", total)
-    return placed.drop("_digest", "_slice", "_measure", "_before_m")
+    return placed.withColumn(out, F.col("_before_m") + F.sum("_measure").over(inside)).drop("_before_m")

@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once; a lambda would recompute it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    exps = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(exps, lambda x: x / total)
+    def exps(s):
+        return F.transform(s["x"], lambda v: F.exp(v - s["top"]))
+
+    def share(s):
+        return F.transform(s["e"], lambda v: v / s["total"])
+
+    def normalized(e):
+        total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+        return let(F.struct(e.alias("e"), total.alias("total")), share)
+
+    shifted = let(F.struct(logits.alias("x"), F.array_max(logits).alias("top")), exps)
+    return let(shifted, normalized)
 
 
 def sigmoid(x: Column) -> Column:

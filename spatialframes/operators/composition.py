@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatialframes.functions.quantiles import exact_quantiles
+from spatialframes.session import settle
 
 # Fixed value: share above which a type without its marker in the panel is suspicious.
 UNSUPPORTED_SHARE = 0.10
@@ -23,9 +24,10 @@ def lineage_composition(cells: DataFrame, coarse: DataFrame, other: str = "Other
 
     Types are counted first, so the map meets a few rows per field.
     """
-    fine = composition(cells).join(coarse.select(F.col("fine").alias("name"), "coarse"), "name", "left")
-    grouped = fine.groupBy("fov_key", F.coalesce("coarse", F.lit(other)).alias("lineage"))
-    return grouped.agg(F.sum("n").alias("n"), F.sum("share").alias("share"))
+    fine = cells.groupBy("fov_key", "name").agg(F.count(F.lit(1)).alias("n"))
+    fine = fine.join(coarse.select(F.col("fine").alias("name"), "coarse"), "name", "left")
+    grouped = fine.groupBy("fov_key", F.coalesce("coarse", F.lit(other)).alias("lineage")).agg(F.sum("n").alias("n"))
+    return grouped.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("fov_key")))
 
 
 def fov_confidence(cells: DataFrame) -> DataFrame:
@@ -65,6 +67,7 @@ def plausibility(expected: DataFrame, lineages: DataFrame, noise: float = 0.02)
 
     A dominant lineage need not win, but one of those listed has to exceed the noise.
     """
+    expected, lineages = settle(expected), settle(lineages)  # a few rows per field, read twice
     joined = expected.join(lineages.select("fov_key", "lineage", "share"), ["fov_key", "lineage"], "left")
     joined = joined.withColumn("share", F.coalesce("share", F.lit(0.0)))
     top = lineages.groupBy("fov_key").agg(F.max_by("lineage", F.struct("n", "lineage")).alias("_top"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spatialframes.functions.ordering import seeded_key, seeded_rank, seeded_running_sum
+from spatialframes.functions.ordering import running_sum, seeded_key, seeded_rank, seeded_running_sum, slice_offsets, sliced
 from spatialframes.session import settle
 
 _DRAW_DIGITS = 12
@@ -77,17 +77,15 @@ def weighted_draw(df: DataFrame, weight: str, n: int, keys: Sequence[str], seed:
     """
     if n <= 0:
         return df.select(F.lit(0).cast("bigint").alias("draw"), *keys).limit(0)
-    length = F.col(weight).cast("decimal(28,12)")
-    line = seeded_running_sum(df.select(*keys, weight), [], keys, seed, length, "_to", "_total")
-    line = line.select(
-        *keys,
-        (F.col("_to") - length).cast("double").alias("_lo"),
-        F.col("_to").cast("double").alias("_hi"),
-    )
-    row = df.agg(F.sum(length).cast("double").alias("total"), F.count(F.lit(1)).alias("n")).first()
-    total, pieces = row["total"], int(row["n"])
-    if not total:
+    rows = sliced(df.select(*keys, F.col(weight).cast("decimal(28,12)").alias("_measure")), keys, seed)
+    offsets = slice_offsets(rows, [], {"m": F.col("_measure"), "rows": F.lit(1)})
+    whole = offsets.select(F.col("_total_m").cast("double").alias("length"), F.col("_total_rows").alias("rows")).first()
+    if whole is None or not whole["length"]:
         return df.select(F.lit(0).cast("bigint").alias("draw"), *keys).limit(0)
+    total, pieces = whole["length"], int(whole["rows"])
+    line = running_sum(rows, offsets.select("_slice", "_before_m"), [], keys, "_to").select(
+        *keys, (F.col("_to") - F.col("_measure")).cast("double").alias("_lo"), F.col("_to").cast("double").alias("_hi")
+    )
     piece = lambda x: F.floor(x * pieces / F.lit(total))
     spread = line.where(F.col("_hi") > F.col("_lo")).select(
         "*", F.explode(F.sequence(piece(F.col("_lo")), piece(F.col("_hi")))).alias("_piece")
@@ -146,10 +144,12 @@ def balanced_epoch(
         pool = cap_per_class(pool, label, cap, keys, seed)
     if scheme == "none" and n is None:
         return fov_sequential(pool.select(*fov, *keys), fov, keys, seed, epoch)
+    # the pool and the draws are read several times each: write their narrow rows once
+    pool = settle(pool.select(*fov, *keys, label))
     size = pool.count()
     budget = size if n is None else min(size, int(n))
     weighted = with_weights(pool, label, scheme, floor)
-    drawn = weighted_draw(weighted, "weight", budget, [*keys, *fov], seed + epoch)
+    drawn = settle(weighted_draw(weighted, "weight", budget, [*keys, *fov], seed + epoch))
     return fov_grouped_order(drawn, fov, ["draw"], seed, epoch)
 
 

@@ -184,18 +184,18 @@ view(
     "labeled",
     f"""SELECT n_name AS dataset_name, o_custkey AS fov_name, c_mktsegment AS domain, n_regionkey AS tissue,
        o_orderkey AS cell_id,
-       CASE WHEN o_totalprice >= {RARE_FROM} THEN 'rare_' || o_orderkey ELSE o_orderpriority END AS ct_label
+       CASE WHEN o_totalprice >= {RARE_FROM} THEN 'rare_' || n_nationkey || '_' || year(o_orderdate) ELSE o_orderpriority END AS ct_label
        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
 )
 
 
 def labeled(spark, sf) -> DataFrame:
-    """The dearest orders carry a class of their own, so some classes have a single source."""
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    """The dearest orders are a rare class of their nation and year, often with a single source."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderdate")
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
     j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
-    rare = F.concat(F.lit("rare_"), F.col("o_orderkey"))
+    rare = F.concat(F.lit("rare_"), "n_nationkey", F.lit("_"), F.year("o_orderdate"))
     return j.select(
         F.col("n_name").alias("dataset_name"),
         F.col("o_custkey").alias("fov_name"),

@@ -217,13 +217,18 @@ def absent_fill(spark, sf):
 
 @query(
     "embedding_align",
-    """SELECT 'm' || vec_id AS name, CAST(row_number() OVER (ORDER BY 'm' || vec_id) - 1 AS INTEGER) AS idx,
-       list_transform(CASE WHEN label < 7 THEN list_transform(embedding, lambda e: CAST(e AS DOUBLE)) ELSE list_transform(range(64), lambda e: 0.0::DOUBLE) END,
-       lambda e: round(e, 6) + 0) AS vec FROM embeddings""",
+    """, mean AS (SELECT 'm' || label AS name, pos, avg(CAST(v AS DOUBLE)) AS v FROM v_image_pos WHERE label < 7 GROUP BY ALL),
+       saved AS (SELECT name, list(round(v, 6) + 0 ORDER BY pos) AS vec FROM mean GROUP BY name),
+       vocab AS (SELECT name, CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT 'm' || label AS name FROM embeddings))
+       SELECT name, idx, coalesce(vec, list_transform(range(64), lambda e: 0.0::DOUBLE)) AS vec FROM vocab LEFT JOIN saved USING (name)""",
 )
 def embedding_align(spark, sf):
-    e = b.table(spark, sf, "embeddings").withColumn("marker", F.concat(F.lit("m"), "vec_id"))
-    saved = e.where("label < 7").select("marker", F.col("embedding").cast("array<double>").alias("vec"))
+    """The registry has every label, vectors were saved (as the mean of their rows) for the first seven."""
+    e = b.table(spark, sf, "embeddings").withColumn("marker", F.concat(F.lit("m"), "label"))
+    means = e.where("label < 7").select("marker", F.posexplode("embedding").alias("pos", "v"))
+    means = means.groupBy("marker", "pos").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    packed = means.groupBy("marker").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("p"))
+    saved = packed.select("marker", F.transform("p", lambda x: x["v"]).alias("vec"))
     out = ops.embedding_align(index_names(e, "marker"), saved, 64)
     return out.select("name", "idx", F.transform("vec", r6).alias("vec"))
 

@@ -10,12 +10,13 @@ from spatialframes.operators import quality as ops
 from spatialframes.operators import features
 from spatialframes.plans import bindings as b
 from spatialframes.plans.registry import query, view
+from spatialframes.session import settle
 
 view("markers", "SELECT p_brand AS name, CAST(row_number() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT p_brand FROM part)")
 view(
     "aliases",
     """SELECT p_name AS alias, min(p_brand) AS target, min(p_partkey) AS ord FROM part GROUP BY p_name
-       UNION ALL SELECT DISTINCT p_type, 'no such marker', 0 FROM part""",
+       UNION ALL SELECT DISTINCT p_type, 'no ' || p_type, 0 FROM part""",
 )
 view(
     "channels",
@@ -25,13 +26,13 @@ view(
 
 
 def markers(spark, sf):
-    return fn.index_names(b.table(spark, sf, "part"), "p_brand")
+    return settle(fn.index_names(b.table(spark, sf, "part"), "p_brand"))
 
 
 def aliases(spark, sf):
     p = b.table(spark, sf, "part")
     real = p.groupBy(F.col("p_name").alias("alias")).agg(F.min("p_brand").alias("target"), F.min("p_partkey").alias("ord"))
-    return real.union(p.select("p_type", F.lit("no such marker"), F.lit(0).cast("bigint")).distinct())
+    return real.union(p.select("p_type", F.concat(F.lit("no "), "p_type"), F.lit(0).cast("bigint")).distinct())
 
 
 def channels(spark, sf):
