@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spatialframes.functions.ordering import running_sum, seeded_key, seeded_rank, seeded_running_sum, slice_offsets, sliced
+from spatialframes.functions.ordering import place, running_sum, seeded_key, seeded_rank, seeded_running_sum
 from spatialframes.session import settle
 
 _DRAW_DIGITS = 12
@@ -75,21 +75,28 @@ def weighted_draw(df: DataFrame, weight: str, n: int, keys: Sequence[str], seed:
     lengths add up exactly); a draw is a point on that line. Line and points meet by equal pieces
     of the line: a heavy row spans many pieces, so neither it nor its draws land in one task.
     """
+    nothing = df.select(F.lit(0).cast("bigint").alias("draw"), *keys).limit(0)
     if n <= 0:
-        return df.select(F.lit(0).cast("bigint").alias("draw"), *keys).limit(0)
-    rows = sliced(df.select(*keys, F.col(weight).cast("decimal(28,12)").alias("_measure")), keys, seed)
-    offsets = slice_offsets(rows, [], {"m": F.col("_measure"), "rows": F.lit(1)})
-    whole = offsets.select(F.col("_total_m").cast("double").alias("length"), F.col("_total_rows").alias("rows")).first()
-    if whole is None or not whole["length"]:
-        return df.select(F.lit(0).cast("bigint").alias("draw"), *keys).limit(0)
-    total, pieces = whole["length"], int(whole["rows"])
-    line = running_sum(rows, offsets.select("_slice", "_before_m"), [], keys, "_to").select(
-        *keys, (F.col("_to") - F.col("_measure")).cast("double").alias("_lo"), F.col("_to").cast("double").alias("_hi")
+        return nothing
+    rows = df.select(*keys, F.col(weight).cast("decimal(28,12)").alias("_length")).where(F.col("_length") > 0)
+    placed = place(rows, [], keys, seed, {"length": F.col("_length")})
+    whole = placed.select(F.col("_total_length").cast("double").alias("length"), F.col("_total_rows").alias("rows")).first()
+    if whole is None:
+        return nothing
+    total = whole["length"]
+    # about as many pieces as draws: few points and few rows share one
+    pieces = max(1, min(int(whole["rows"]), 4 * n))
+    line = running_sum(placed, [], keys, "_length", "length", "_to").select(
+        *keys, (F.col("_to") - F.col("_length")).cast("double").alias("_lo"), F.col("_to").cast("double").alias("_hi")
     )
     piece = lambda x: F.floor(x * pieces / F.lit(total))
-    spread = line.where(F.col("_hi") > F.col("_lo")).select(
-        "*", F.explode(F.sequence(piece(F.col("_lo")), piece(F.col("_hi")))).alias("_piece")
-    )
+    # in two steps, so that the array of the heaviest row stays short
+    block = 1024
+    first, last = piece(F.col("_lo")), piece(F.col("_hi"))
+    spread = line.select("*", first.alias("_first"), last.alias("_last"))
+    spread = spread.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_first") / block), F.floor(F.col("_last") / block))))
+    start, stop = F.greatest("_first", F.col("_block") * block), F.least("_last", F.col("_block") * block + block - 1)
+    spread = spread.select(*keys, "_lo", "_hi", F.explode(F.sequence(start, stop)).alias("_piece"))
     digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("draw"), F.col("draw").cast("string"))), 1, _DRAW_DIGITS)
     uniform = F.conv(digits, 16, 10).cast("double") / float(16**_DRAW_DIGITS)
     draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").withColumn("_x", uniform * F.lit(total))

@@ -7,9 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spatialframes.functions.ordering import seeded_key
+from spatialframes.functions.ordering import seeded_rank
 from spatialframes.operators.scoring import predictions_wide
 
+_LINE_FIELDS = 1000
+
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(splits, meta)`` of a manifest document: train, val and, if there, heldout."""
@@ -24,11 +26,12 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 def write_splits(splits: DataFrame, path: str, metadata: Mapping[str, object]) -> None:
     """JSON lines ``(split, dataset_name, fov_names)`` under ``path``/splits, metadata beside them.
 
-    The fields of a dataset are spread over several lines, so no line holds a whole large dataset.
+    A line lists at most a thousand fields; a larger dataset takes several lines.
     """
-    piece = F.substring(seeded_key("line", "dataset_name", "fov_name"), 1, 1)
-    lines = splits.groupBy("split", "dataset_name", piece.alias("_piece")).agg(F.array_sort(F.collect_list("fov_name")).alias("fov_names"))
-    lines.drop("_piece").write.json(f"{path}/splits")
+    ranked = seeded_rank(splits.select("split", "dataset_name", "fov_name"), ["split", "dataset_name"], ["fov_name"], "line")
+    line = F.floor((F.col("rank") - 1) / _LINE_FIELDS)
+    lines = ranked.groupBy("split", "dataset_name", line.alias("_line")).agg(F.array_sort(F.collect_list("fov_name")).alias("fov_names"))
+    lines.drop("_line").write.json(f"{path}/splits")
     pairs = [(k, str(v)) for k, v in metadata.items()]
     meta = splits.sparkSession.createDataFrame(pairs, "key string, value string")
     created = splits.sparkSession.range(1).select(F.lit("created").alias("key"), F.current_timestamp().cast("string").alias("value"))

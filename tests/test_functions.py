@@ -45,7 +45,9 @@ def _digest(seed, *keys):
     return hashlib.md5("|".join(str(k) for k in (seed, *keys)).encode()).hexdigest()
 
 
-def test_seeded_rank_is_one_sorted_order_per_group(spark):
+@pytest.mark.parametrize("slice_above", [1_000_000, 100])
+def test_seeded_rank_is_one_sorted_order_per_group(spark, monkeypatch, slice_above):
+    monkeypatch.setattr(ordering, "_SLICE_ABOVE", slice_above)
     rows = [("big", i) for i in range(5000)] + [("small", i) for i in range(3)] + [(None, 1)]
     df = spark.createDataFrame(rows, "g string, k int")
     got = ordering.seeded_rank(df, ["g"], ["k"], 7).collect()
@@ -58,14 +60,18 @@ def test_seeded_rank_is_one_sorted_order_per_group(spark):
         assert {r.n for r in mine} == {len(mine)}
 
 
-def test_seeded_rank_limit_returns_the_first_ranks(spark):
+@pytest.mark.parametrize("slice_above", [1_000_000, 100])
+def test_seeded_rank_limit_returns_the_first_ranks(spark, monkeypatch, slice_above):
+    monkeypatch.setattr(ordering, "_SLICE_ABOVE", slice_above)
     df = spark.range(3000).withColumnRenamed("id", "k")
     full = {r.k: r["rank"] for r in ordering.seeded_rank(df, [], ["k"], 1).collect()}
     part = {r.k: r["rank"] for r in ordering.seeded_rank(df, [], ["k"], 1, limit=100).collect()}
     assert part == {k: v for k, v in full.items() if v <= 100}
 
 
-def test_running_sum(spark):
+@pytest.mark.parametrize("slice_above", [1_000_000, 100])
+def test_running_sum(spark, monkeypatch, slice_above):
+    monkeypatch.setattr(ordering, "_SLICE_ABOVE", slice_above)
     df = spark.range(1000).withColumnRenamed("id", "k")
     got = ordering.seeded_running_sum(df, [], ["k"], 1, F.col("k")).collect()
     order = sorted(range(1000), key=lambda k: _digest(1, k))

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from spatialframes.functions import ordering
 from spatialframes.operators import sampling, splits
 
 CELLS = "dataset_name string, fov_name string, domain string, tissue string, cell_id bigint, ct_label string"
@@ -143,7 +144,9 @@ def test_cap_and_pad(spark):
     assert [r.cell_id for r in padded.where("ct_label = 'B'").collect()] == ["B0"]
 
 
-def test_draws_follow_the_weights_even_with_one_heavy_row(spark):
+@pytest.mark.parametrize("slice_above", [1_000_000, 100])
+def test_draws_follow_the_weights_even_with_one_heavy_row(spark, monkeypatch, slice_above):
+    monkeypatch.setattr(ordering, "_SLICE_ABOVE", slice_above)
     rows = [("heavy", 1000.0)] + [(f"r{i}", 1.0) for i in range(2000)] + [("zero", 0.0)]
     df = spark.createDataFrame(rows, "cell_id string, weight double")
     out = sampling.weighted_draw(df, "weight", 6000, ["cell_id"])
