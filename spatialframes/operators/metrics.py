@@ -8,11 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 OTHER = "Other"
 
+# Types credited with their subtypes.
+CELL_TYPE_HIERARCHY = {
+    "Tcell": ["CD4T", "CD8T", "Treg", "NKT"],
+    "Stromal": ["Fibroblast", "Pericyte"],
+}
+
+
+def hierarchy_frame(spark: SparkSession, hierarchy: Mapping[str, Sequence[str]] = CELL_TYPE_HIERARCHY) -> DataFrame:
+    pairs = [(parent, child) for parent, children in hierarchy.items() for child in children]
+    return spark.createDataFrame(pairs, "parent string, child string")
+
 
 def confusion(pairs: DataFrame, classes: DataFrame, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """Counts ``(by..., actual, pred, n)`` over the listed classes; other labels are dropped."""

@@ -9,7 +9,8 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from spatialframes.functions.arrays import scatter
 from spatialframes.operators.features import centroids
-from spatialframes.operators.signal import CHANNEL, clip_percentile, min_max_normalize, on_lines
+from spatialframes.operators.signal import CHANNEL, clip_and_normalize, on_lines
+from spatialframes.session import settle
 
 CROP = 32  # fixed value: edge of the window a model sees
 
@@ -157,8 +158,29 @@ def resample_bilinear(pixels: DataFrame, scales: DataFrame) -> DataFrame:
     return scaled.select(*CHANNEL, "row", "col", "value")
 
 
-def needs_resampling(scale: Column) -> Column:
-    return F.abs(scale - 1.0) > SCALE_SLACK
+def needs_resampling(scale: Column, slack: float = SCALE_SLACK) -> Column:
+    return F.abs(scale - 1.0) > slack
+
+
+def to_resolution(
+    pixels: DataFrame, mask: DataFrame, fovs: DataFrame, target_mpp: float, slack: float = SCALE_SLACK
+) -> tuple[DataFrame, DataFrame]:
+    """Pixels and labels at ``target_mpp``; fields closer to it than ``slack`` stay as they are.
+
+    Resampled pixels are written once: the conditioning that follows reads them several times.
+    """
+    bad = fovs.where(F.col("native_mpp").isNull() | F.isnan("native_mpp") | (F.col("native_mpp") <= 0) | (F.col("native_mpp") == float("inf")))
+    if bad.limit(1).count():
+        raise ValueError("native_mpp must be positive and finite")
+    scales = settle(fovs.select("fov_key", (F.col("native_mpp") / F.lit(float(target_mpp))).alias("scale")))
+    moves = needs_resampling(F.col("scale"), slack)
+    moved, kept = scales.where(moves), scales.where(~moves).select("fov_key")
+    if not moved.limit(1).count():
+        return pixels, mask
+    cols = ["fov_key", "channel", "row", "col", "value"]
+    scaled = settle(resample_bilinear(pixels, moved)).unionByName(pixels.join(kept, "fov_key", "left_semi").select(cols))
+    labels = resample_nearest(mask, moved).unionByName(mask.join(kept, "fov_key", "left_semi"))
+    return scaled, labels
 
 
 def lost_cells(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -178,14 +200,5 @@ def fov_recipe(
         raise ValueError(f"percentile must lie in [0, 100], got {percentile}")
     if not 0.0 < target_mpp < float("inf"):
         raise ValueError(f"target_mpp must be positive and finite, got {target_mpp}")
-    bad = fovs.where(F.col("native_mpp").isNull() | F.isnan("native_mpp") | (F.col("native_mpp") <= 0) | (F.col("native_mpp") == float("inf")))
-    if bad.limit(1).count():
-        raise ValueError("native_mpp must be positive and finite")
-    scales = fovs.select("fov_key", (F.col("native_mpp") / F.lit(float(target_mpp))).alias("scale"))
-    moved = scales.where(needs_resampling(F.col("scale")))
-    kept = scales.where(~needs_resampling(F.col("scale"))).select("fov_key")
-    cols = ["fov_key", "channel", "row", "col", "value"]
-    scaled = resample_bilinear(pixels, moved).select(cols).unionByName(pixels.join(kept, "fov_key", "left_semi").select(cols))
-    labels = resample_nearest(mask, moved).unionByName(mask.join(kept, "fov_key", "left_semi"))
-    normal = min_max_normalize(clip_percentile(scaled, percentile))
-    return normal, labels, centroids(labels)
+    scaled, labels = to_resolution(pixels, mask, fovs, target_mpp)
+    return clip_and_normalize(scaled, percentile), labels, centroids(labels)

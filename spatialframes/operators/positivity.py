@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,19 @@ def positivity_join(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     return predictions.join(strict_truth(truth), TRUTH_KEY)
 
 
+def append_fields(frames: Sequence[DataFrame]) -> DataFrame:
+    """One frame of the scores of several fields; none at all is an error."""
+    if not frames:
+        raise ValueError("no field gave any prediction")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def melt_scores(wide: DataFrame, meta: Sequence[str] = ("cell_index", "cell_type", "dataset_name", "fov_name")) -> DataFrame:
+    """Long ``(..., marker, score)`` from one column per marker."""
+    keys = [c for c in wide.columns if c in meta]
+    return wide.unpivot(keys, [c for c in wide.columns if c not in meta], "marker", "score")
+
+
 def positivity_lookup(wanted: DataFrame, truth: DataFrame) -> DataFrame:
     """``positive`` and ``valid`` for each (dataset, cell type, marker), lenient reading.
 

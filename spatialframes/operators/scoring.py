@@ -82,9 +82,11 @@ def tissue_argmax(df: DataFrame, names: Sequence[str], allowed: DataFrame, probs
 def reinstate_cells(ids: DataFrame, scored: DataFrame, key: Sequence[str], n_classes: int) -> DataFrame:
     """Every input cell appears; one without a result is Unknown with a zero row, not abstained."""
     joined = ids.select(*key).join(scored, list(key), "left")
+    for label in ("predicted_ct", "predicted_ct_raw"):
+        if label in scored.columns:
+            joined = joined.withColumn(label, F.coalesce(label, F.lit(ABSTENTION_LABEL)))
     return (
-        joined.withColumn("predicted_ct", F.coalesce("predicted_ct", F.lit(ABSTENTION_LABEL)))
-        .withColumn("probs", F.coalesce("probs", F.array_repeat(F.lit(0.0), n_classes)))
+        joined.withColumn("probs", F.coalesce("probs", F.array_repeat(F.lit(0.0), n_classes)))
         .withColumn("abstained", F.coalesce("abstained", F.lit(False)))
     )
 

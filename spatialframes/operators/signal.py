@@ -46,6 +46,19 @@ def min_max_normalize(pixels: DataFrame) -> DataFrame:
     return _with_stats(pixels, stats).withColumn("value", scaled).drop("_min", "_max")
 
 
+def clip_and_normalize(pixels: DataFrame, p: float) -> DataFrame:
+    """:func:`clip_percentile` and then :func:`min_max_normalize`, with one statistics table.
+
+    The range of the clipped values follows from the range before and the clip.
+    """
+    span = pixels.groupBy(*CHANNEL).agg(F.min("value").alias("_min"), F.max("value").alias("_max"))
+    stats = span.join(nonzero_percentile(pixels, p).drop("n_values"), CHANNEL, "left")
+    low, high = F.least("_min", "q"), F.least("_max", "q")
+    stats = stats.select(*CHANNEL, "q", low.alias("_low"), F.when(high == low, F.lit(1.0)).otherwise(high - low).alias("_width"))
+    scaled = (F.least("value", "q") - F.col("_low")) / F.col("_width")
+    return _with_stats(pixels, stats).withColumn("value", scaled).drop("q", "_low", "_width")
+
+
 def log1p(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("value", F.log1p(F.greatest(F.col("value"), F.lit(0.0))))
 
@@ -196,13 +209,29 @@ OPERATIONS: dict[str, Callable[..., DataFrame]] = {
 
 
 def apply_config(pixels: DataFrame, config: Sequence[Mapping]) -> DataFrame:
-    """Apply ``[{"op": name, ...}, ...]`` in order; an unknown operation raises."""
+    """Apply ``[{"op": name, ...}, ...]`` in order; an unknown operation raises.
+
+    A clip followed by min-max shares its statistics. What a denoise step leaves is written once
+    when other steps follow, as their statistics read it again.
+    """
     unknown = [step["op"] for step in config if step["op"] not in OPERATIONS]
     if unknown:
         raise ValueError(f"unknown operation {unknown[0]!r}; known: {sorted(OPERATIONS)}")
-    for step in config:
+    names = [step["op"] for step in config]
+    fused = False
+    for i, step in enumerate(config):
+        if fused:
+            fused = False
+            continue
         arguments = {k: v for k, v in step.items() if k != "op"}
+        following = names[i + 1] if i + 1 < len(names) else None
+        if step["op"] == "clip_percentile" and following == "min_max_normalize":
+            pixels = clip_and_normalize(pixels, **arguments)
+            fused = True
+            continue
         pixels = pixels.transform(OPERATIONS[step["op"]], **arguments)
+        if step["op"] == "denoise" and following is not None:
+            pixels = settle(pixels)
     return pixels
 
 

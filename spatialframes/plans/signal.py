@@ -149,3 +149,48 @@ def denoise_gaussian(spark, sf):
 )
 def value_contract(spark, sf):
     return ops.value_contract(b.pixels(spark, sf), high=200.0)
+
+
+# the user model of the query below: fixed weights from five marker means to three classes
+WEIGHTS = [[float((m * 3 + c * 5) % 7 - 3) for c in range(3)] for m in range(5)]
+
+
+def panel_model():
+    import numpy as np
+
+    weights = np.array(WEIGHTS)
+    return lambda x: x @ weights
+
+
+_weights_sql = ", ".join(f"({m}, {c}, {w})" for m, row in enumerate(WEIGHTS) for c, w in enumerate(row))
+
+
+@query(
+    "predict_cells",
+    f""", n AS (SELECT fov_key, channel, "row", "col", (value - mn) / CASE WHEN mx = mn THEN 1.0 ELSE mx - mn END AS v
+       FROM (SELECT *, min(value) OVER w AS mn, max(value) OVER w AS mx FROM v_clip WINDOW w AS (PARTITION BY fov_key, channel)) WHERE mx <> 0),
+       f AS (SELECT fov_key, cell_id, channel, avg(v) AS x FROM n JOIN v_mask USING (fov_key, "row", "col") WHERE cell_id <> 0 GROUP BY ALL),
+       w AS (SELECT * FROM (VALUES {_weights_sql}) t(m, c, w)), names AS (SELECT channel, row_number() OVER (ORDER BY channel) - 1 AS m FROM (SELECT DISTINCT event_type AS channel FROM events)),
+       l AS (SELECT fov_key, cell_id, c, sum(x * CAST(w AS DOUBLE)) AS l FROM f JOIN names USING (channel) JOIN w USING (m) GROUP BY ALL),
+       e AS (SELECT fov_key, cell_id, list(exp(l) ORDER BY c) AS ex FROM l GROUP BY ALL),
+       p AS (SELECT fov_key, cell_id, list_transform(ex, lambda x: x / list_sum(ex)) AS probs FROM e),
+       s AS (SELECT *, list_max(probs) AS top, 'k' || (list_position(probs, list_max(probs)) - 1) AS ct FROM p),
+       q AS (SELECT fov_key, CASE WHEN count(*) >= 4 THEN quantile_cont(top, 0.25) - 0.2 * (quantile_cont(top, 0.75) - quantile_cont(top, 0.25)) END AS fence FROM s GROUP BY fov_key),
+       r AS (SELECT s.*, coalesce(top < fence, false) AS abstained FROM s JOIN q USING (fov_key))
+       SELECT i.fov_key, i.cell_id, CASE WHEN abstained OR ct IS NULL THEN 'Unknown' ELSE ct END AS predicted_ct, coalesce(ct, 'Unknown') AS predicted_ct_raw,
+       coalesce(abstained, false) AS abstained, list_transform(coalesce(probs, [0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]), lambda x: round(x, 6)) AS probs
+       FROM (SELECT DISTINCT fov_key, cell_id FROM v_mask WHERE cell_id <> 0) i LEFT JOIN r ON i.fov_key = r.fov_key AND i.cell_id = r.cell_id""",
+)
+def predict_cells(spark, sf):
+    from spatialframes.functions.names import index_names
+    from spatialframes.operators.phenotype import predict
+
+    p = b.pixels(spark, sf)
+    events = b.table(spark, sf, "events")
+    markers = index_names(events, "event_type")
+    panel = events.select(F.col("user_id").alias("fov_key"), F.col("event_type").alias("channel")).distinct()
+    panel = panel.join(markers, F.col("channel") == F.col("name")).select("fov_key", F.col("idx").alias("pos"), F.lower("channel").alias("channel"))
+    aliases = markers.select(F.concat(F.lit("anti-"), "name").alias("alias"), F.col("name").alias("target"), F.col("idx").cast("bigint").alias("ord"))
+    fovs = panel.select("fov_key").distinct().withColumn("native_mpp", F.lit(0.5))
+    out = predict(p, b.mask(spark, sf), panel, fovs, markers, aliases, panel_model, ["k0", "k1", "k2"], abstention_k=0.2)
+    return out.withColumn("probs", F.transform("probs", r6))

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from spatialframes.functions.names import normalize_modality, normalize_tissue
 
-META = "zarr.json"  # fixed value
+# Names the archive format uses.
+META = "zarr.json"
+LABEL_SOURCES = ["standardized_source", "caitlinb"]  # the first one present is read
 
 
 def _relative(path: Column, root: str) -> Column:
@@ -55,7 +57,7 @@ def read_metadata(spark: SparkSession, root: str) -> DataFrame:
     documents = _documents(spark, root)
     fovs = discover_fovs(spark, root)
     attrs = "attributes struct<modality: string, tissue: string>"
-    sources = "attributes struct<standardized_source: map<string,string>, caitlinb: map<string,string>>"
+    sources = "attributes struct<" + ", ".join(f"{s}: map<string,string>" for s in LABEL_SOURCES) + ">"
     fine = F.try_parse_json("value").isNotNull()
 
     top = _part(documents, "").join(fovs, "fov_key", "left_semi")
@@ -67,7 +69,7 @@ def read_metadata(spark: SparkSession, root: str) -> DataFrame:
     joined = fovs.join(top, "fov_key", "left").join(notes, "fov_key", "left").join(matrix, "fov_key", "left")
     present, good = F.col("_top_ok").isNotNull(), F.coalesce("_top_ok", F.lit(True))
     empty = F.array().cast("array<string>")
-    names = F.concat(F.coalesce(F.map_keys("_s.standardized_source"), empty), F.coalesce(F.map_keys("_s.caitlinb"), empty))
+    names = F.concat(*[F.coalesce(F.map_keys(F.col("_s")[s]), empty) for s in LABEL_SOURCES])
     names = F.array_sort(F.array_distinct(F.filter(names, lambda n: n.isNotNull() & (n != "null"))))
     read = present & good
     domain = F.when(read, normalize_modality(F.coalesce("_a.modality", F.lit("unknown")))).otherwise(F.lit("UNKNOWN"))
@@ -89,12 +91,11 @@ def read_annotations(spark: SparkSession, root: str) -> DataFrame:
     """
     notes = _part(_documents(spark, root), "cell_types/annotations")
     parsed = notes.select("fov_key", F.try_parse_json("value").alias("v"))
-    first = F.try_variant_get("v", "$.attributes.standardized_source", "variant")
-    second = F.try_variant_get("v", "$.attributes.caitlinb", "variant")
+    first, second = (F.try_variant_get("v", f"$.attributes.{s}", "variant") for s in LABEL_SOURCES)
     usable = lambda s: s.isNotNull() & ~F.is_variant_null(s)
     chosen = parsed.select(
         "fov_key",
-        F.when(usable(first), F.lit("standardized_source")).otherwise(F.lit("caitlinb")).alias("source"),
+        F.when(usable(first), F.lit(LABEL_SOURCES[0])).otherwise(F.lit(LABEL_SOURCES[1])).alias("source"),
         F.when(usable(first), first).otherwise(second).alias("s"),
     ).where(usable(F.col("s")))
 

@@ -124,7 +124,7 @@ def test_resolution_order(spark):
 
 def test_patient_id(spark):
     rows = [
-        ("x", "mccaffrey_tb_mibi_lung_Patient3-2"),
+        ("x", "tb_mibi_lung_Patient3-2"),
         ("datasetA_Patient3-1", "f"),
         ("datasetB_Patient3-1", "f"),
         ("none", "scan1"),
@@ -132,7 +132,7 @@ def test_patient_id(spark):
     ]
     df = spark.createDataFrame(rows, "d string, f string")
     got = [r.p for r in df.select(names.parse_patient_id(F.col("d"), F.col("f")).alias("p")).collect()]
-    assert got == ["mccaffrey_tb_mibi_lung_Patient3", "datasetA_Patient3", "datasetB_Patient3", None, "a_Patient12"]
+    assert got == ["tb_mibi_lung_Patient3", "datasetA_Patient3", "datasetB_Patient3", None, "a_Patient12"]
 
 
 def test_control_channels_and_normalisation(spark):
