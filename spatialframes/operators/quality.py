@@ -157,8 +157,8 @@ def required_markers(required: DataFrame, channels: DataFrame, fovs: DataFrame)
 
 def failure_gate(results: DataFrame, failed: Column, limit: float = 0.01) -> DataFrame:
     """Share of failed datasets and whether it is above the limit."""
-    share = F.count_if(failed) / F.count(F.lit(1))
-    return results.agg(F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("n_failed"), (share > limit).alias("abort"))
+    n, bad = F.count(F.lit(1)), F.count_if(failed)
+    return results.agg(n.alias("n"), bad.alias("n_failed"), (bad > n * F.lit(float(limit))).alias("abort"))
 
 
 def annotation_drop_rate(attempts: DataFrame, limit: float = 0.05) -> DataFrame:

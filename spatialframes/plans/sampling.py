@@ -104,7 +104,7 @@ def fov_sequential(spark, sf):
        line AS (SELECT cell_id, dataset_name, fov_name, w, sum(w) OVER (ORDER BY md5('42|' || cell_id || '|' || dataset_name || '|' || fov_name), cell_id ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER () AS t FROM pool JOIN w USING (ct_label)),
        ends AS (SELECT cell_id, dataset_name, fov_name, CAST(c - w AS DOUBLE) AS lo, CAST(t AS DOUBLE) AS total FROM line),
        d AS (SELECT draw, cell_id, dataset_name, fov_name FROM (SELECT i AS draw, CAST(CAST('0x' || substr(md5('42|draw|' || i), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0::DOUBLE * (SELECT max(total) FROM ends) AS x
-       FROM range(0, 3000) r(i)) ASOF JOIN ends ON x >= lo)"""
+       FROM range(0, 3000) r(i) WHERE i < (SELECT count(*) FROM pool)) ASOF JOIN ends ON x >= lo)"""
     + GROUPED.format(seed=42, rows="d", key="draw")
     + 'SELECT draw, cell_id, "position" FROM o',
     views=("labeled", "fovs"),

@@ -96,6 +96,7 @@ def test_gates(spark):
     df = spark.range(200).withColumn("bad", F.col("id") < 2)
     assert ops.failure_gate(df, F.col("bad")).first().abort is False
     assert ops.failure_gate(df, F.col("id") < 3).first().abort is True
+    assert ops.failure_gate(df.limit(0), F.col("bad")).first().abort is False
     tries = spark.createDataFrame([("f", "id", i if i > 0 else None) for i in range(20)] + [("g", "centroid", i or None) for i in range(10)], "fov_key string, kind string, cell_id bigint")
     assert [(r.fov_key, r.drops) for r in ops.annotation_drop_rate(tries).collect()] == [("g", 1)]
     with pytest.raises(ValueError, match="and more"):
