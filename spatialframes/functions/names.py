@@ -36,13 +36,14 @@ def alias_lookup(markers: DataFrame, aliases: DataFrame) -> tuple[DataFrame, Dat
     """Exact and lower-case lookup tables ``(key, target)``, one row per key.
 
     ``markers(name, idx)`` is the registry, ``aliases(alias, target, ord)`` the alias list; an
-    alias whose target is not registered is ignored, the highest ``ord`` wins for an exact alias
-    and the lowest for a case-insensitive one.
+    alias whose target is not registered is ignored. A spelling listed twice keeps its first place
+    and takes its last target; ignoring case, the spelling with the first place wins.
     """
     known = aliases.join(markers.select(F.col("name").alias("target")), "target", "left_semi")
+    known = known.groupBy("alias").agg(F.max_by("target", "ord").alias("target"), F.min("ord").alias("ord"))
     exact = markers.select(F.col("name").alias("key"), F.lit(0).alias("prio"), F.lit(0).alias("ord"), F.col("name").alias("target"))
     exact = exact.unionByName(
-        known.select(F.col("alias").alias("key"), F.lit(1).alias("prio"), (-F.col("ord")).alias("ord"), "target")
+        known.select(F.col("alias").alias("key"), F.lit(1).alias("prio"), "ord", "target")
     )
     lower = markers.select(
         F.lower("name").alias("key"), F.lit(2).alias("prio"), (-F.col("idx")).alias("ord"), F.col("name").alias("target")

@@ -138,6 +138,38 @@ def collapse_counters(resolved: DataFrame) -> DataFrame:
     )
 
 
+def resolve_annotations(
+    annotations: DataFrame, cells: DataFrame, fovs: DataFrame, tol: float = CENTROID_TOLERANCE
+) -> tuple[DataFrame, DataFrame]:
+    """Labels of the annotated cells, and every attempt to match an entry.
+
+    Entries that carry a ``cell_id`` are matched by it, the others by position, scaled by the field's
+    factor. Returns the collapsed labels and ``attempts(fov_key, kind, cell_id)``, the input of the
+    drop-rate check; an entry without a match has a NULL cell there.
+    """
+    cols = ["fov_key", "cell_id", "ct_name", "pos", "kind"]
+    ids = ann_by_id(annotations.where(F.col("cell_id").isNotNull()).select("fov_key", "cell_id", "ct_name", "pos"), cells)
+    ids = ids.withColumn("cell_id", F.when(F.col("matched"), F.col("cell_id"))).withColumn("kind", F.lit("id"))
+    marks = annotations.where(F.col("cell_id").isNull()).select("fov_key", "ct_name", "pos", "row", "col")
+    near = nearest_centroid(scale_marks(marks, fovs), cells, tol).withColumn("kind", F.lit("centroid"))
+    attempts = ids.select(cols).unionByName(near.select(cols))
+    return annotation_collapse(attempts.where(F.col("cell_id").isNotNull())), attempts.select("fov_key", "kind", "cell_id")
+
+
+def cell_index(labels: DataFrame, cells: DataFrame, fovs: DataFrame, types: DataFrame) -> DataFrame:
+    """``labeled_cells``: cells with a registered label and a field with a domain, one row each.
+
+    ``fovs(fov_key, domain, tissue)``, ``types(name)``; the field key is dataset and field name.
+    """
+    known = labels.join(types.select(F.col("name").alias("ct_name")).distinct(), "ct_name", "left_semi")
+    placed = known.join(cells.select("fov_key", "cell_id", "c_row", "c_col"), ["fov_key", "cell_id"])
+    named = placed.join(fovs.select("fov_key", "domain", "tissue"), "fov_key")
+    return named.select(
+        F.col("fov_key").alias("dataset_name"), F.col("fov_key").alias("fov_name"), "domain", "tissue", "cell_id",
+        F.col("ct_name").alias("ct_label"), "c_row", "c_col",
+    )
+
+
 # --- per-field name lists -----------------------------------------------------------------------------------
 
 

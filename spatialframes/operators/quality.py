@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatialframes.functions.names import is_control_channel
-from spatialframes.operators.splits import raise_if_any
+from spatialframes.operators.splits import raise_if_any, split_contract
 from spatialframes.session import settle
 
 __all__ = ["raise_if_any", "violations"]
@@ -195,6 +196,36 @@ def panel_cap(kept: DataFrame, fovs: DataFrame, cap: int = MAX_CHANNELS) -> Data
     return violations(joined, F.col("fov_key"), {"no_channel": (F.col("n") == 0, F.col("n")), "too_many": (F.col("n") > cap, F.col("n"))})
 
 
+def validate(
+    meta: DataFrame,
+    vocab: DataFrame,
+    declared: DataFrame | None = None,
+    expected_markers: DataFrame | None = None,
+    required: DataFrame | None = None,
+    splits: DataFrame | None = None,
+    allow_two: bool = False,
+) -> DataFrame:
+    """All violations of an archive in one frame; ``meta`` is what ``sources.archive.read_contract`` gives.
+
+    ``declared`` lists the cell types, ``expected_markers(name, idx)`` the marker order a model was
+    trained with, ``required(fov_key, marker)`` markers certain fields must carry.
+    """
+    found = [vocab_contract(vocab), shape_contract(meta), channel_contract(meta, allow_two), attr_contract(meta), matrix_contract(meta)]
+    types, markers = (vocab.where(F.col("kind") == k).select("name", "idx") for k in ("cell_type", "marker"))
+    row = lambda check, key, detail: (check.alias("check"), key.cast("string").alias("key"), detail.cast("string").alias("detail"))
+    if declared is not None:
+        found.append(mapping_vs_declared(types, declared).select(*row(F.col("problem"), F.col("name"), F.lit(""))))
+    if expected_markers is not None:
+        check = F.concat(F.lit("marker_"), F.col("problem"))
+        found.append(order_diff(expected_markers, markers).select(*row(check, F.col("name"), F.col("idx"))))
+    if required is not None:
+        panel = meta.select("fov_key", F.explode("channel_names").alias("marker"))
+        found.append(required_markers(required, panel, meta))
+    if splits is not None:
+        found.append(split_contract(splits, meta).withColumn("detail", F.lit("")))
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 # --- channels --------------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# What a cluster session should set besides its sizes: runtime re-planning, splitting of skewed
+# partitions, enough initial partitions for it to merge, and streaming state that spills to disk.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
 def local_session(cores: str = "*", app: str = "spatialframes", **extra: str) -> SparkSession:
     """A session for tests and benches; on a cluster pass your own session to the operators."""
     builder = (

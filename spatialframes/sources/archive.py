@@ -148,6 +148,32 @@ def unknown_rows(positivity: DataFrame, vocab: DataFrame) -> DataFrame:
     return unknown.groupBy("cell_type").agg(F.count(F.lit(1)).alias("n_datasets"), F.min("dataset_name").alias("example"))
 
 
+def read_contract(spark: SparkSession, root: str) -> DataFrame:
+    """One row per field with what the contract checks look at: shapes, names, attributes, matrix.
+
+    Only metadata files are read, never an image chunk.
+    """
+    documents = _documents(spark, root)
+
+    def part(path: str, schema: str, *columns) -> DataFrame:
+        files = _part(documents, path)
+        return files.select("fov_key", F.from_json("value", schema).alias("d")).select("fov_key", *columns)
+
+    raw = part("preprocessed/raw", "shape array<bigint>", F.col("d.shape").alias("raw_shape"))
+    mask = part("preprocessed/mask", "shape array<bigint>, data_type string", F.col("d.shape").alias("mask_shape"), F.col("d.data_type").alias("mask_type"))
+    names = "attributes struct<channel_names: array<string>, centroids: string, scale_factor: double>"
+    image = part("preprocessed", names, F.col("d.attributes.channel_names").alias("channel_names"), F.col("d.attributes.centroids").alias("centroids"), F.col("d.attributes.scale_factor").alias("scale_factor"))
+    source = LABEL_SOURCES[0]
+    notes = part("cell_types/annotations", f"attributes struct<{source}: string>", F.lit(True).alias("has_annotations"), F.col(f"d.attributes.{source}").alias("source"))
+    lists = "attributes struct<markers: array<string>, cell_types: array<string>, positivity_matrix: array<array<string>>>"
+    matrix = part("marker_positivity", lists, F.lit(True).alias("has_mp"), F.col("d.attributes.markers").alias("markers"), F.col("d.attributes.cell_types").alias("cell_types"), F.col("d.attributes.positivity_matrix").alias("matrix"))
+    out = discover_fovs(spark, root)
+    for frame in (image, raw, mask, notes, matrix):
+        out = out.join(frame, "fov_key", "left")
+    false = F.lit(False)
+    return out.withColumn("has_annotations", F.coalesce("has_annotations", false)).withColumn("has_mp", F.coalesce("has_mp", false))
+
+
 def read_centroids(spark: SparkSession, root: str) -> DataFrame:
     """``(fov_key, scale_factor, cell_id, c_row, c_col)``; the id is the key of the JSON map."""
     schema = "attributes struct<scale_factor: double, centroids: map<string,array<double>>>"

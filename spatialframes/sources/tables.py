@@ -44,6 +44,16 @@ def read_splits(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return splits, spark.read.schema("key string, value string").json(f"{path}/metadata")
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, keys: Sequence[str]) -> None:
+    """Save as a table bucketed and sorted by ``keys``.
+
+    Pixels and masks saved with the same buckets by (fov_key, row, col) are joined without a shuffle,
+    as often as they are read.
+    """
+    writer = df.repartition(buckets, *keys).write.option("path", path).format("parquet")
+    writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+
+
 def write_predictions(df: DataFrame, names: Sequence[str], path: str, fmt: str = "parquet") -> None:
     """One probability column per class in index order, then label and keys; the commit is atomic."""
     wide = predictions_wide(df, names)

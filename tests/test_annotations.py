@@ -98,3 +98,17 @@ def test_canonical_metadata(spark):
     with pytest.raises(ValueError, match="mibi_decidua"):
         ops.canonical_metadata(df, known, strict=True)
     ops.canonical_metadata(df.where("dataset_key = 'codex_colon'"), known, strict=True)
+
+
+def test_ids_and_positions_resolve_together(spark):
+    grid = cells(spark, (10, 10), (20, 20), (30, 30))
+    rows = [("f", "CD4T", 0, 1, None, None), ("f", "CD4T", 1, None, 5.2, 5.0), ("f", "CD8T", 0, None, 10.0, 10.0), ("f", "Epi", 0, 2, None, None), ("f", "Bcell", 0, 9, None, None), ("f", "Bcell", 1, None, 40.0, 40.0), ("f", "Odd", 0, 3, None, None)]
+    notes = spark.createDataFrame(rows, "fov_key string, ct_name string, pos int, cell_id bigint, row double, col double")
+    fovs = spark.createDataFrame([("f", 2.0, "IMC", "lung")], "fov_key string, scale_factor double, domain string, tissue string")
+    labels, attempts = ops.resolve_annotations(notes, grid, fovs)
+    assert {(r.cell_id, r.ct_name, r.duplicates) for r in labels.collect()} == {(1, "CD4T", 1), (3, "Odd", 0)}
+    lost = attempts.where("cell_id IS NULL").groupBy("kind").count()
+    assert {r.kind: r["count"] for r in lost.collect()} == {"id": 1, "centroid": 1}
+    types = spark.createDataFrame([("CD4T",), ("CD8T",)], "name string")
+    index = ops.cell_index(labels, grid, fovs, types).collect()
+    assert [(r.dataset_name, r.fov_name, r.domain, r.cell_id, r.ct_label, r.c_row) for r in index] == [("f", "f", "IMC", 1, "CD4T", 10.0)]

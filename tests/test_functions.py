@@ -108,7 +108,7 @@ def test_resolution_order(spark):
         "cd3": "CD3",
         "Keratin": "Ki67",  # a later entry replaces an earlier one of the same spelling
         "KERATIN": "CD3",
-        "keratin": "PanCK",  # ignoring case the first entry wins
+        "keratin": "Ki67",  # ignoring case the first spelling wins, with its last target
         "KI67": "Ki67",
         "CD209": "cd209",
         "Ghost": None,

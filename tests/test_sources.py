@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from spatialframes.operators import features, quality
 from spatialframes.sources import archive, tables
 
 
@@ -128,3 +129,62 @@ def test_prediction_files(spark, tmp_path, fmt):
     back = spark.read.option("header", "true").format(fmt).load(str(tmp_path / "p"))
     assert back.columns == ["A", "B", "cell_type_actual", "cell_index", "dataset_name", "fov_name"]
     assert float(back.first().B) == 0.75
+
+
+def test_contract_of_a_tree(spark, tmp_path):
+    root = tmp_path / "arch"
+
+    def good(key):
+        put(root, key, {"modality": "imc"})
+        put(root, f"{key}/preprocessed", {"channel_names": ["CD3", "CD20", "CD8"], "centroids": {"1": [1, 1]}, "scale_factor": 1.0})
+        put(root, f"{key}/preprocessed/raw", text=json.dumps({"shape": [3, 8, 8], "data_type": "float32"}))
+        put(root, f"{key}/preprocessed/mask", text=json.dumps({"shape": [8, 8], "data_type": "uint32"}))
+        put(root, f"{key}/cell_types/annotations", {"standardized_source": {"T": [1]}})
+        put(root, f"{key}/marker_positivity", {"markers": ["CD3"], "cell_types": ["T"], "positivity_matrix": [[1]]})
+
+    for key in ("ok", "mask", "names", "attrs", "notes", "matrix"):
+        good(key)
+    put(root, "mask/preprocessed/mask", text=json.dumps({"shape": [8, 9], "data_type": "float32"}))
+    put(root, "names/preprocessed", {"channel_names": ["CD3"], "centroids": {}, "scale_factor": 1.0})
+    put(root, "attrs/preprocessed", {"channel_names": ["CD3", "CD20", "CD8"]})
+    put(root, "notes/cell_types/annotations", {"caitlinb": {}})
+    put(root, "matrix/marker_positivity", {"markers": ["CD3", "CD20"], "cell_types": ["T"], "positivity_matrix": [[1]]})
+    meta = archive.read_contract(spark, str(root))
+    vocab = spark.createDataFrame([("cell_type", "T", 0), ("marker", "CD3", 0), ("marker", "CD20", 1)], "kind string, name string, idx int")
+    frame = lambda *xs: spark.createDataFrame([(x, i) for i, x in enumerate(xs)], "name string, idx int")
+    required = spark.createDataFrame([("ok", "CD3"), ("names", "CD20"), ("absent", "CD3")], "fov_key string, marker string")
+    splits = spark.createDataFrame([("ok", "ok", "train"), ("gone", "gone", "val")], "dataset_name string, fov_name string, split string")
+    out = quality.validate(meta, vocab, frame("T", "B"), frame("CD20", "CD3"), required, splits)
+    assert {(r.check, r.key) for r in out.collect()} == {
+        ("mask_type", "mask"),
+        ("extent", "mask"),
+        ("name_count", "names"),
+        ("missing_centroids", "attrs"),
+        ("missing_scale_factor", "attrs"),
+        ("missing_source", "notes"),
+        ("matrix_shape", "matrix"),
+        ("missing_from_mapping", "B"),
+        ("marker_first_out_of_order", "CD20"),
+        ("marker_missing", "names"),
+        ("sentinel_absent", "absent"),
+        ("absent_from_archive", "gone/gone"),
+    }
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path, capsys):
+    n = spark.range(4096)
+    pixels = n.selectExpr("'f' AS fov_key", "'c' AS channel", "CAST(id DIV 64 AS int) AS row", "CAST(id % 64 AS int) AS col", "CAST(id AS double) AS value")
+    mask = n.selectExpr("'f' AS fov_key", "CAST(id DIV 64 AS int) AS row", "CAST(id % 64 AS int) AS col", "id % 9 AS cell_id")
+    tables.write_bucketed(pixels, "b_pixels", str(tmp_path / "p"), 4, ["fov_key", "row", "col"])
+    tables.write_bucketed(mask, "b_mask", str(tmp_path / "m"), 4, ["fov_key", "row", "col"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = features.cell_means(spark.table("b_pixels"), spark.table("b_mask"))
+        assert out.count() == 8
+        out.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and plan.count("Exchange") == 1  # only the final aggregate
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE b_pixels")
+        spark.sql("DROP TABLE b_mask")
