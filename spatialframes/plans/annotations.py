@@ -114,32 +114,36 @@ def tissue_rows(spark, sf):
     return rows.select(F.concat(F.lit("r"), "tissue").alias("tissue"), F.col("ct_label").alias("name"), "dataset_name", "fov_name")
 
 
+def joined_names(df):
+    return df.withColumn("ct_names", F.array_join("ct_names", ","))
+
+
 def priorities(spark, sf):
     return b.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("name")).distinct()
 
 
 @query(
     "tissue_types",
-    "SELECT tissue, list(DISTINCT name ORDER BY name) AS ct_names FROM v_tissue_rows WHERE name IN (SELECT o_orderpriority FROM orders) GROUP BY tissue",
+    "SELECT tissue, array_to_string(list(DISTINCT name ORDER BY name), ',') AS ct_names FROM v_tissue_rows WHERE name IN (SELECT o_orderpriority FROM orders) GROUP BY tissue",
 )
 def tissue_types(spark, sf):
-    return ops.tissue_types(tissue_rows(spark, sf), priorities(spark, sf))
+    return joined_names(ops.tissue_types(tissue_rows(spark, sf), priorities(spark, sf)))
 
 
 @query(
     "tissue_types_train",
-    """SELECT tissue, list(DISTINCT name ORDER BY name) AS ct_names FROM v_tissue_rows SEMI JOIN (SELECT * FROM v_strat WHERE split = 'train' AND domain = 'BUILDING') USING (dataset_name, fov_name)
+    """SELECT tissue, array_to_string(list(DISTINCT name ORDER BY name), ',') AS ct_names FROM v_tissue_rows SEMI JOIN (SELECT * FROM v_strat WHERE split = 'train' AND domain = 'BUILDING') USING (dataset_name, fov_name)
        WHERE name IN (SELECT o_orderpriority FROM orders) GROUP BY tissue""",
 )
 def tissue_types_train(spark, sf):
     splits = strat(spark, sf).where("domain = 'BUILDING'")
-    return ops.tissue_types_train(tissue_rows(spark, sf), splits, priorities(spark, sf))
+    return joined_names(ops.tissue_types_train(tissue_rows(spark, sf), splits, priorities(spark, sf)))
 
 
-@query("dataset_types", "SELECT dataset_name AS \"key\", list(DISTINCT ct_label ORDER BY ct_label) AS ct_names FROM v_labeled GROUP BY dataset_name")
+@query("dataset_types", "SELECT dataset_name AS \"key\", array_to_string(list(DISTINCT ct_label ORDER BY ct_label), ',') AS ct_names FROM v_labeled GROUP BY dataset_name")
 def dataset_types(spark, sf):
     rows = b.labeled(spark, sf).select(F.col("dataset_name").alias("key"), F.array("ct_label").alias("ct_names"))
-    return ops.dataset_types(rows)
+    return joined_names(ops.dataset_types(rows))
 
 
 @query(
@@ -154,3 +158,55 @@ def domain_fallback(spark, sf):
     fovs = c.select(F.col("c_custkey").alias("fov_key"), modality.alias("modality"))
     mapping = c.where("c_acctbal > 5000").select(F.col("c_custkey").alias("fov_key"), F.upper("c_mktsegment").alias("domain"))
     return ops.domain_fallback(fovs, mapping).select("fov_key", "domain")
+
+
+# every point names its own id as an annotation, those that are no cell miss; marks come on top
+view("entries", """SELECT fov_key, 't' || label AS ct_name, vec_id AS pos, vec_id AS cell_id, CAST(NULL AS DOUBLE) AS "row", CAST(NULL AS DOUBLE) AS "col" FROM v_points
+       UNION ALL SELECT fov_key, ct_name, pos, NULL, "row", "col" FROM v_marks""")
+view(
+    "attempts",
+    """SELECT e.fov_key, 'id' AS kind, c.cell_id, e.ct_name FROM v_entries e LEFT JOIN v_cells c ON c.fov_key = e.fov_key AND c.cell_id = e.cell_id WHERE e.cell_id IS NOT NULL
+       UNION ALL SELECT e.fov_key, 'centroid', n.cell_id, e.ct_name FROM v_entries e LEFT JOIN (SELECT m.fov_key, m.pos, arg_min(c.cell_id, (sqrt((m."row" - c_row) * (m."row" - c_row) + (m."col" - c_col) * (m."col" - c_col)), c.cell_id)) AS cell_id
+       FROM v_marks m JOIN v_cells c ON m.fov_key = c.fov_key AND sqrt((m."row" - c_row) * (m."row" - c_row) + (m."col" - c_col) * (m."col" - c_col)) < 1.5 GROUP BY ALL) n
+       ON n.fov_key = e.fov_key AND n.pos = e.pos WHERE e.cell_id IS NULL""",
+)
+
+
+def resolved(spark, sf):
+    points = b.points(spark, sf)
+    nothing = F.lit(None).cast("double")
+    ids = points.select("fov_key", F.concat(F.lit("t"), "label").alias("ct_name"), F.col("vec_id").alias("pos"), F.col("vec_id").alias("cell_id"), nothing.alias("row"), nothing.alias("col"))
+    marks = b.marks(spark, sf).select("fov_key", "ct_name", "pos", F.lit(None).cast("bigint").alias("cell_id"), "row", "col")
+    fovs = points.select("fov_key", F.lit(1.0).alias("scale_factor")).distinct()
+    return ops.resolve_annotations(ids.unionByName(marks), b.cells(spark, sf), fovs)
+
+
+@query(
+    "resolve_annotations",
+    """SELECT fov_key, cell_id, min(ct_name) AS ct_name, count(*) - 1 AS duplicates FROM v_attempts WHERE cell_id IS NOT NULL GROUP BY fov_key, cell_id HAVING count(DISTINCT ct_name) = 1""",
+)
+def resolve_annotations(spark, sf):
+    return resolved(spark, sf)[0]
+
+
+@query(
+    "resolve_drop_rate",
+    """SELECT fov_key, kind, count(*) AS attempts, count(*) FILTER (cell_id IS NULL) AS drops, round(count(*) FILTER (cell_id IS NULL) / count(*), 6) AS rate
+       FROM v_attempts GROUP BY ALL HAVING count(*) FILTER (cell_id IS NULL) / count(*) > 0.05""",
+)
+def resolve_drop_rate(spark, sf):
+    return quality.annotation_drop_rate(resolved(spark, sf)[1]).withColumn("rate", r6("rate"))
+
+
+@query(
+    "cell_index",
+    """SELECT a.fov_key AS dataset_name, a.fov_key AS fov_name, upper(a.fov_key) AS domain, 'lung' AS tissue, a.cell_id, a.ct_name AS ct_label, round(c_row, 6) + 0 AS c_row, round(c_col, 6) + 0 AS c_col
+       FROM (SELECT fov_key, cell_id, min(ct_name) AS ct_name FROM v_attempts WHERE cell_id IS NOT NULL GROUP BY fov_key, cell_id HAVING count(DISTINCT ct_name) = 1) a
+       JOIN v_cells c ON c.fov_key = a.fov_key AND c.cell_id = a.cell_id WHERE ct_name <> 't3'""",
+)
+def cell_index(spark, sf):
+    points = b.points(spark, sf)
+    fovs = points.select("fov_key", F.upper("fov_key").alias("domain"), F.lit("lung").alias("tissue")).distinct()
+    types = points.where("label <> 3").select(F.concat(F.lit("t"), "label").alias("name"))
+    out = ops.cell_index(resolved(spark, sf)[0], b.cells(spark, sf), fovs, types)
+    return out.withColumn("c_row", r6("c_row")).withColumn("c_col", r6("c_col"))

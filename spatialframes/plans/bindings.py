@@ -18,6 +18,16 @@ def r6(column: Column | str) -> Column:
     return F.round(column, 6) + F.lit(0.0)
 
 
+def spread(df: DataFrame, column: str, keys: list[str], value: Column | None = None) -> DataFrame:
+    """An array column as rows ``(keys..., pos, value)``."""
+    out = df.select(*keys, F.posexplode(column).alias("pos", "value"))
+    return out.withColumn("value", r6("value") if value is None else value)
+
+
+def spread_sql(keys: str, column: str, source: str) -> str:
+    return f"SELECT {keys}, CAST(unnest(range(0, len({column}))) AS INTEGER) AS pos, unnest({column}) AS value FROM {source}"
+
+
 # --- pixels and masks: one event is one pixel -------------------------------------------------
 
 view(

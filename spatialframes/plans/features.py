@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spatialframes.functions.names import index_names
 from spatialframes.operators import features as ops
 from spatialframes.plans import bindings as b
-from spatialframes.plans.bindings import r6
+from spatialframes.plans.bindings import r6, spread_sql
 from spatialframes.plans.registry import query, view
 from spatialframes.session import settle
 
@@ -187,15 +187,16 @@ def channel_vocab(spark, sf):
        g AS (SELECT c.fov_key, c.cell_id, c.area, v.idx, CASE WHEN p.marker IS NULL THEN -1.0 ELSE coalesce(f.mean_value, 0.0) END AS value
        FROM cell c CROSS JOIN vocab v LEFT JOIN panel p ON p.fov_key = c.fov_key AND p.marker = v.name
        LEFT JOIN v_channel_features f ON f.fov_key = c.fov_key AND f.cell_id = c.cell_id AND f.marker = v.name)
-       SELECT fov_key, cell_id, list_append(list(round(value, 6) ORDER BY idx), CAST(max(area) AS DOUBLE)) AS features
-       FROM g GROUP BY fov_key, cell_id""",
+       """
+    + spread_sql("fov_key, cell_id", "features", """(SELECT fov_key, cell_id, list_append(list(round(value, 6) ORDER BY idx), CAST(max(area) AS DOUBLE)) AS features
+       FROM g GROUP BY fov_key, cell_id)"""),
 )
 def feature_matrix(spark, sf):
     feats = channel_features(spark, sf).join(ops.cell_areas(b.mask(spark, sf)), ["fov_key", "cell_id"])
     panel = b.pixels(spark, sf).select("fov_key", F.col("channel").alias("marker")).distinct()
     vocab = settle(channel_vocab(spark, sf))
     out = ops.feature_matrix(feats, vocab, vocab.count(), panel, missing=-1.0, size="area")
-    return out.select("fov_key", "cell_id", F.transform("features", r6).alias("features"))
+    return b.spread(out, "features", ["fov_key", "cell_id"])
 
 
 @query(
@@ -220,7 +221,8 @@ def absent_fill(spark, sf):
     """, mean AS (SELECT 'm' || label AS name, pos, avg(CAST(v AS DOUBLE)) AS v FROM v_image_pos WHERE label < 7 GROUP BY ALL),
        saved AS (SELECT name, list(round(v, 6) + 0 ORDER BY pos) AS vec FROM mean GROUP BY name),
        vocab AS (SELECT name, CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT 'm' || label AS name FROM embeddings))
-       SELECT name, idx, coalesce(vec, list_transform(range(64), lambda e: 0.0::DOUBLE)) AS vec FROM vocab LEFT JOIN saved USING (name)""",
+       """
+    + spread_sql("name, idx", "vec", "(SELECT name, idx, coalesce(vec, list_transform(range(64), lambda e: 0.0::DOUBLE)) AS vec FROM vocab LEFT JOIN saved USING (name))"),
 )
 def embedding_align(spark, sf):
     """The registry has every label, vectors were saved (as the mean of their rows) for the first seven."""
@@ -230,22 +232,21 @@ def embedding_align(spark, sf):
     packed = means.groupBy("marker").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("p"))
     saved = packed.select("marker", F.transform("p", lambda x: x["v"]).alias("vec"))
     out = ops.embedding_align(index_names(e, "marker"), saved, 64)
-    return out.select("name", "idx", F.transform("vec", r6).alias("vec"))
+    return b.spread(out, "vec", ["name", "idx"])
 
 
 @query(
     "scatter_dense",
     """, vocab AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS idx FROM (SELECT DISTINCT marker AS name FROM v_readings)),
        cell AS (SELECT DISTINCT cell_id FROM v_readings)
-       SELECT cell_id, list(round(coalesce(mean_value, 0.0), 6) ORDER BY idx) AS dense
-       FROM (SELECT c.cell_id, v.idx, f.mean_value FROM cell c CROSS JOIN vocab v
-       LEFT JOIN v_cell_features f ON f.cell_id = c.cell_id AND f.marker = v.name) GROUP BY cell_id""",
+       SELECT c.cell_id, CAST(v.idx AS INTEGER) AS pos, round(coalesce(f.mean_value, 0.0), 6) AS value FROM cell c CROSS JOIN vocab v
+       LEFT JOIN v_cell_features f ON f.cell_id = c.cell_id AND f.marker = v.name""",
 )
 def scatter_dense(spark, sf):
     f = cell_features(spark, sf)
     vocab = settle(index_names(f, "marker"))
     out = ops.scatter_dense(f, vocab, vocab.count(), ["cell_id"], "mean_value")
-    return out.select("cell_id", F.transform("dense", r6).alias("dense"))
+    return b.spread(out, "dense", ["cell_id"])
 
 
 @query(

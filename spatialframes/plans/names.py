@@ -100,12 +100,12 @@ def stable_hash(spark, sf):
 
 @query(
     "names_by_index",
-    "SELECT n_regionkey, list(n_name ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey",
+    "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey",
 )
 def names_by_index(spark, sf):
     n = b.table(spark, sf, "nation")
     maps = n.groupBy("n_regionkey").agg(F.map_from_entries(F.collect_list(F.struct("n_name", "n_nationkey"))).alias("m"))
-    return maps.select("n_regionkey", fn.names_by_index(F.col("m")).alias("names"))
+    return maps.select("n_regionkey", F.array_join(fn.names_by_index(F.col("m")), ",").alias("names"))
 
 
 @query(

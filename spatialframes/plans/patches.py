@@ -60,24 +60,24 @@ GRID = f"(SELECT unnest(range(0, {CROP})) AS pr) CROSS JOIN (SELECT unnest(range
 
 @query(
     "patch_arrays",
-    f"""SELECT k.fov_key, k.cell_id, c.channel, list(round(CASE WHEN m.cell_id = k.cell_id THEN p.value ELSE 0 END, 6) + 0 ORDER BY pr, pc) AS patch
+    f"""SELECT k.fov_key, k.cell_id, c.channel, CAST(pr * {CROP} + pc AS INTEGER) AS pos, round(CASE WHEN m.cell_id = k.cell_id THEN p.value ELSE 0 END, 6) + 0 AS value
        FROM v_boxes k JOIN (SELECT DISTINCT fov_key, channel FROM v_images) c USING (fov_key) CROSS JOIN {GRID}
-       LEFT JOIN v_images p ON p.fov_key = k.fov_key AND p."row" = r0 + pr AND p."col" = c0 + pc LEFT JOIN v_image_mask m ON m.fov_key = k.fov_key AND m."row" = r0 + pr AND m."col" = c0 + pc GROUP BY ALL""",
+       LEFT JOIN v_images p ON p.fov_key = k.fov_key AND p."row" = r0 + pr AND p."col" = c0 + pc LEFT JOIN v_image_mask m ON m.fov_key = k.fov_key AND m."row" = r0 + pr AND m."col" = c0 + pc""",
 )
 def patch_arrays(spark, sf):
     out = ops.patch_arrays(icells(spark, sf), b.images(spark, sf), b.image_mask(spark, sf), CROP)
-    return out.withColumn("patch", F.transform("patch", r6))
+    return b.spread(out, "patch", ["fov_key", "cell_id", "channel"])
 
 
 @query(
     "patch_arrays_full",
-    f"""SELECT k.fov_key, k.cell_id, c.channel, list(round(coalesce(p.value, 0), 6) + 0 ORDER BY pr, pc) AS patch
+    f"""SELECT k.fov_key, k.cell_id, c.channel, CAST(pr * {CROP} + pc AS INTEGER) AS pos, round(coalesce(p.value, 0), 6) + 0 AS value
        FROM v_boxes k JOIN (SELECT DISTINCT fov_key, channel FROM v_images) c USING (fov_key) CROSS JOIN {GRID}
-       LEFT JOIN v_images p ON p.fov_key = k.fov_key AND p."row" = r0 + pr AND p."col" = c0 + pc GROUP BY ALL""",
+       LEFT JOIN v_images p ON p.fov_key = k.fov_key AND p."row" = r0 + pr AND p."col" = c0 + pc""",
 )
 def patch_arrays_full(spark, sf):
     out = ops.patch_arrays(icells(spark, sf), b.images(spark, sf), None, CROP)
-    return out.withColumn("patch", F.transform("patch", r6))
+    return b.spread(out, "patch", ["fov_key", "cell_id", "channel"])
 
 
 @query(
@@ -87,11 +87,11 @@ def patch_arrays_full(spark, sf):
        d AS (SELECT a.fov_key, a.cell_id, a.pr, a.pc, CASE WHEN a.own THEN min(sqrt((a.pr - o.pr) * (a.pr - o.pr) + (a.pc - o.pc) * (a.pc - o.pc))) ELSE 0.0 END AS v
        FROM g a JOIN g o ON a.fov_key = o.fov_key AND a.cell_id = o.cell_id AND NOT o.own GROUP BY a.fov_key, a.cell_id, a.pr, a.pc, a.own),
        n AS (SELECT *, max(v) OVER (PARTITION BY fov_key, cell_id) AS mx FROM d)
-       SELECT fov_key, cell_id, list(round(v / mx, 6) ORDER BY pr, pc) AS distance FROM n WHERE mx > 0 GROUP BY ALL""",
+       SELECT fov_key, cell_id, CAST(pr * {CROP} + pc AS INTEGER) AS pos, round(v / mx, 6) AS value FROM n WHERE mx > 0""",
 )
 def distance_map(spark, sf):
     out = ops.distance_map(icells(spark, sf), b.image_mask(spark, sf), CROP)
-    return out.withColumn("distance", F.transform("distance", r6))
+    return b.spread(out, "distance", ["fov_key", "cell_id"])
 
 
 # fields by label: shrunk, kept, grown

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spatialframes.functions.vectors import softmax
 from spatialframes.operators import scoring as ops
 from spatialframes.plans import bindings as b
-from spatialframes.plans.bindings import CLASSES, r6
+from spatialframes.plans.bindings import CLASSES, r6, spread_sql
 from spatialframes.plans.registry import query, view
 
 
@@ -17,10 +17,10 @@ def scored(spark, sf):
 
 @query(
     "softmax",
-    "SELECT cell_index, list_transform(probs, lambda p: round(p, 6)) AS probs FROM v_predictions",
+    spread_sql("cell_index", "probs", "(SELECT cell_index, list_transform(probs, lambda p: round(p, 6)) AS probs FROM v_predictions)"),
 )
 def softmax_query(spark, sf):
-    return b.logits(spark, sf).select("cell_index", F.transform(softmax(F.col("logits")), r6).alias("probs"))
+    return b.spread(b.logits(spark, sf).withColumn("probs", softmax(F.col("logits"))), "probs", ["cell_index"])
 
 
 @query(
@@ -134,9 +134,8 @@ def linear_model():
 
 @query(
     "batch_score",
-    """SELECT vec_id, list_transform(range(0, 10), lambda c: round(list_sum(list_transform(list_filter(range(0, 64), lambda d: d % 10 = c),
-       lambda d: CAST(embedding[d + 1] AS DOUBLE))), 6) + 0) AS logits FROM embeddings""",
+    """SELECT vec_id, CAST(pos % 10 AS INTEGER) AS pos, round(sum(CAST(v AS DOUBLE)), 6) + 0 AS value FROM v_image_pos GROUP BY ALL""",
 )
 def batch_score(spark, sf):
     e = b.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
-    return ops.batch_score(e, linear_model).select("vec_id", F.transform("logits", r6).alias("logits"))
+    return b.spread(ops.batch_score(e, linear_model), "logits", ["vec_id"])

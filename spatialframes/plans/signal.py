@@ -178,7 +178,7 @@ _weights_sql = ", ".join(f"({m}, {c}, {w})" for m, row in enumerate(WEIGHTS) for
        q AS (SELECT fov_key, CASE WHEN count(*) >= 4 THEN quantile_cont(top, 0.25) - 0.2 * (quantile_cont(top, 0.75) - quantile_cont(top, 0.25)) END AS fence FROM s GROUP BY fov_key),
        r AS (SELECT s.*, coalesce(top < fence, false) AS abstained FROM s JOIN q USING (fov_key))
        SELECT i.fov_key, i.cell_id, CASE WHEN abstained OR ct IS NULL THEN 'Unknown' ELSE ct END AS predicted_ct, coalesce(ct, 'Unknown') AS predicted_ct_raw,
-       coalesce(abstained, false) AS abstained, list_transform(coalesce(probs, [0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]), lambda x: round(x, 6)) AS probs
+       coalesce(abstained, false) AS abstained, round(coalesce(probs[1], 0.0), 6) AS k0, round(coalesce(probs[2], 0.0), 6) AS k1, round(coalesce(probs[3], 0.0), 6) AS k2
        FROM (SELECT DISTINCT fov_key, cell_id FROM v_mask WHERE cell_id <> 0) i LEFT JOIN r ON i.fov_key = r.fov_key AND i.cell_id = r.cell_id""",
 )
 def predict_cells(spark, sf):
@@ -193,4 +193,4 @@ def predict_cells(spark, sf):
     aliases = markers.select(F.concat(F.lit("anti-"), "name").alias("alias"), F.col("name").alias("target"), F.col("idx").cast("bigint").alias("ord"))
     fovs = panel.select("fov_key").distinct().withColumn("native_mpp", F.lit(0.5))
     out = predict(p, b.mask(spark, sf), panel, fovs, markers, aliases, panel_model, ["k0", "k1", "k2"], abstention_k=0.2)
-    return out.withColumn("probs", F.transform("probs", r6))
+    return out.select("*", *[r6(F.get("probs", F.lit(i))).alias(f"k{i}") for i in range(3)]).drop("probs")
