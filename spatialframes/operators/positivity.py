@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spatialframes.functions.joins import null_safe_join
 from spatialframes.functions.vectors import threshold_grid
 from spatialframes.session import settle
 
@@ -65,11 +66,14 @@ def positivity_lookup(wanted: DataFrame, truth: DataFrame) -> DataFrame:
         found = found.join(lower, ["dataset_name", "_key"], "left")
         return found.withColumn(f"_{column}", F.coalesce("_exact", "_lower")).drop("_exact", "_lower", "_key")
 
-    keyed = spelled(spelled(wanted, "cell_type"), "marker")
+    # many cells ask for the same combination: look each one up once
+    asked = wanted.select(*TRUTH_KEY).distinct()
+    keyed = spelled(spelled(asked, "cell_type"), "marker")
     entries = truth.select("dataset_name", F.col("cell_type").alias("_cell_type"), F.col("marker").alias("_marker"), "value")
-    joined = keyed.join(entries, ["dataset_name", "_cell_type", "_marker"], "left").drop("_cell_type", "_marker")
+    joined = keyed.join(entries, ["dataset_name", "_cell_type", "_marker"], "left")
     positive, valid = lenient_entry(F.col("value"))
-    return joined.withColumn("positive", positive).withColumn("valid", valid).drop("value")
+    answers = settle(joined.select(*TRUTH_KEY, positive.alias("positive"), valid.alias("valid")))
+    return null_safe_join(wanted, answers, TRUTH_KEY, "left")
 
 
 # --- counts and metrics --------------------------------------------------------------------------------
@@ -212,16 +216,42 @@ def uncalibrated(scores: DataFrame) -> DataFrame:
 
 
 def learned_vs_fixed(scores: DataFrame, thresholds: DataFrame, fixed: float = 0.5) -> DataFrame:
-    """Per-marker metrics at the learned thresholds and at the fixed one."""
-    thresholds = settle(thresholds.select("marker", "threshold"))
-    learned = marker_metrics(marker_counts(scores, thresholds)).withColumn("arm", F.lit("learned"))
-    return learned.unionByName(marker_metrics(marker_counts(scores, None, fixed)).withColumn("arm", F.lit("fixed")))
+    """Per-marker metrics at the learned thresholds and at the fixed one, from one pass."""
+    known = settle(thresholds.select("marker", F.col("threshold").alias("_t")))
+    joined = scores.join(known, "marker", "left")
+    truth = F.col("target") == 1
+    arms = {"learned": F.coalesce("_t", F.lit(0.5)), "fixed": F.lit(float(fixed))}
+    columns = []
+    for arm, limit in arms.items():
+        positive = decide(F.col("score"), limit)
+        cells = {"tp": positive & truth, "fp": positive & ~truth, "fn": ~positive & truth, "tn": ~positive & ~truth}
+        columns.append(F.struct(F.lit(arm).alias("arm"), *[F.count_if(c).alias(n) for n, c in cells.items()]))
+    counts = joined.groupBy("marker").agg(F.array(*columns).alias("_arms"))
+    return marker_metrics(counts.select("marker", F.explode("_arms").alias("a")).select("marker", "a.*"))
+
+
+def truth_counts(predictions: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """tp, fp, fn, tn per marker against the strict truth.
+
+    Truth is one value per (dataset, type, marker), so cells are counted by that key and the truth
+    meets one row per key.
+    """
+    positive = decide(F.col("score"), F.lit(float(threshold)))
+    tallies = predictions.groupBy(*TRUTH_KEY).agg(F.count_if(positive).alias("hits"), F.count(F.lit(1)).alias("n"))
+    judged = tallies.join(strict_truth(truth), TRUTH_KEY)
+    missed = F.col("n") - F.col("hits")
+    part = lambda value, target: F.sum(F.when(F.col("target") == target, value).otherwise(F.lit(0)))
+    return judged.groupBy("marker").agg(
+        part(F.col("hits"), 1).alias("tp"),
+        part(F.col("hits"), 0).alias("fp"),
+        part(missed, 1).alias("fn"),
+        part(missed, 0).alias("tn"),
+    )
 
 
 def positivity_eval(predictions: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Pooled metrics and the macro / micro summary over all (cell, marker) pairs with truth."""
-    counts = marker_counts(positivity_join(predictions, truth), None, threshold)
-    pooled = marker_metrics(_reduce(counts)).where(F.col("n_samples") > 0)
+    pooled = marker_metrics(_reduce(truth_counts(predictions, truth, threshold))).where(F.col("n_samples") > 0)
     return pooled.drop("tp", "fp", "fn", "tn")
 
 
