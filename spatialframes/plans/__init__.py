@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["features", "signal", "scoring", "metrics", "positivity", "splits", "sampling", "annotations", "names", "quality", "patches", "composition", "streaming", "learning"]
+AREAS = ["features", "signal", "scoring", "metrics", "positivity", "splits", "sampling", "annotations", "names", "quality", "patches", "composition", "streaming", "learning", "files"]
 
 
 def load_all() -> None:

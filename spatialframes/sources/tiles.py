@@ -50,6 +50,31 @@ def tiles_to_pixels(tiles: DataFrame) -> DataFrame:
     )
 
 
+def hook_on_tiles(tiles: DataFrame, hook) -> DataFrame:
+    """Run ``hook(raw, names) -> raw`` on numpy arrays of shape (channels, h, w), one tile at a time.
+
+    For hooks that are written on arrays and look at one pixel across its channels; statistics over
+    a whole channel belong in a DataFrame hook. The result must keep the shape and be finite and in
+    [0, 1] up to 1e-6.
+    """
+
+    def run(pdf):
+        import numpy as np
+
+        pdf = pdf.sort_values("channel").reset_index(drop=True)
+        h, w = int(pdf["h"].iloc[0]), int(pdf["w"].iloc[0])
+        raw = np.stack([np.asarray(v, dtype="float64").reshape(h, w) for v in pdf["values"]])
+        out = np.asarray(hook(raw, pdf["channel"].tolist()), dtype="float64")
+        if out.shape != raw.shape:
+            raise ValueError(f"hook changed the shape of a tile from {raw.shape} to {out.shape}")
+        if not np.isfinite(out).all() or out.min() < -1e-6 or out.max() > 1 + 1e-6:
+            raise ValueError("hook result must be finite and in [0, 1]")
+        pdf["values"] = [x.ravel() for x in out]
+        return pdf
+
+    return tiles.groupBy("fov_key", "tile_r", "tile_c").applyInPandas(run, tiles.schema)
+
+
 def write_tiles(tiles: DataFrame, path: str) -> None:
     """Partitioned by channel, so that a read of some channels lists only their files."""
     tiles.write.partitionBy("channel").parquet(path)

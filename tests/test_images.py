@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spatialframes.operators import features, patches, quality
 from spatialframes.operators.annotations import annotation_collapse, ann_by_id
 from spatialframes.functions.names import index_names
-from spatialframes.sources.tiles import pixels_to_tiles, read_tiles, tiles_to_pixels, write_tiles
+from spatialframes.sources.tiles import hook_on_tiles, pixels_to_tiles, read_tiles, tiles_to_pixels, write_tiles
 
 PIXELS = "fov_key string, channel string, row int, col int, value double"
 MASK = "fov_key string, row int, col int, cell_id bigint"
@@ -173,3 +173,16 @@ def test_recipe(spark, archive):
     area = {(r.fov_key, r.cell_id): r.area for r in where.collect()}
     assert area == {("fov_a", 1): 36, ("fov_a", 2): 36, ("fov_b", 1): 144, ("fov_b", 2): 144}
     assert patches.lost_cells(mask, labels).count() == 0
+
+
+def test_array_hooks_run_per_tile_and_are_checked(spark, archive):
+    pixels, _ = archive
+    tiles = pixels_to_tiles(pixels, 32, 32)
+    out = tiles_to_pixels(hook_on_tiles(tiles, lambda raw, names: raw * [[[0.5]], [[1.0]], [[0.0]]] if names == ["CD20", "CD3", "CD68"] else None))
+    factor = F.when(F.col("channel") == "CD20", 0.5).when(F.col("channel") == "CD68", 0.0).otherwise(1.0)
+    want = pixels.withColumn("value", F.col("value") * factor)
+    cols = ["fov_key", "channel", "row", "col", "value"]
+    assert out.count() == want.count() and out.select(cols).exceptAll(want.select(cols)).count() == 0
+    for bad in (lambda raw, names: raw[:1], lambda raw, names: raw + 5, lambda raw, names: raw * float("nan")):
+        with pytest.raises(Exception, match="hook"):
+            hook_on_tiles(tiles, bad).collect()
