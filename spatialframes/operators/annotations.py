@@ -25,8 +25,8 @@ def scale_marks(marks: DataFrame, fovs: DataFrame) -> DataFrame:
 
 
 _DENSE = 64  # places per grid cell above which the cell is refined instead of joined whole
-_FACTOR = 16  # refinement per axis and level
-_MAX_LEVELS = 6
+_FACTOR = 4  # refinement per axis and level
+_MAX_LEVELS = 12
 
 
 def _gap(low: Column, high: Column, at: Column) -> tuple[Column, Column]:
