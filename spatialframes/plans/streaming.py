@@ -60,12 +60,12 @@ def stream_thresholds(spark, sf):
 
 @query(
     "stream_moments",
-    "SELECT k // 25 AS domain, event_type AS marker, count(*) AS n, round(sum(value), 6) AS s, round(sum(value * value), 3) AS s2 FROM v_feed GROUP BY ALL",
+    "SELECT k // 25 AS domain, event_type AS marker, count(*) AS n, round(sum(value), 6) AS s, round(sum(value * value), 4) AS s2 FROM v_feed GROUP BY ALL",
 )
 def stream_moments(spark, sf):
     readings = arriving(spark, sf).select(F.floor(F.col("k") / 25).cast("int").alias("domain"), F.col("event_type").alias("marker"), "value")
     out = ops.run_available(ops.running_moments(readings), "complete")
-    return out.select("domain", "marker", "n", r6("s").alias("s"), F.round("s2", 3).alias("s2"))
+    return out.select("domain", "marker", "n", r6("s").alias("s"), F.round("s2", 4).alias("s2"))
 
 
 @query("stream_dedup", "SELECT event_id, user_id, event_type, value FROM events")
