@@ -111,6 +111,7 @@ def _at_most_255(part: Column) -> Column:
     return F.when(F.length(short) <= 3, short.cast("int") <= 255).otherwise(F.lit(False))
 
 
+_BLOCK = 128  # parts that are joined before they are appended to the rest
 _SPAN = "array<struct<kind:string,start:long,end:long,score:double>>"
 
 
@@ -128,10 +129,22 @@ def _spans(clean: Column, kind: str) -> Column:
         found = F.when(state["odd"] & _valid(part, kind), F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
         return F.struct(end.alias("at"), (~state["odd"]).alias("odd"), part.alias("last"), found.alias("spans"))
 
-    start = F.struct(
-        F.lit(0).cast("long").alias("at"), F.lit(False).alias("odd"), F.lit("").alias("last"), F.array().cast(_SPAN).alias("spans")
-    )
-    searched = F.aggregate(_parts(clean, kind), start, step, lambda state: state["spans"])
+    none = F.array().cast(_SPAN)
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("odd"), F.lit("").alias("last"), none.alias("spans"))
+
+    def block(parts: Column, state: Column, number: Column) -> Column:
+        own = F.struct(state["at"].alias("at"), state["odd"].alias("odd"), state["last"].alias("last"), none.alias("spans"))
+        done = F.aggregate(F.slice(parts, number * _BLOCK + 1, F.lit(_BLOCK)), own, step)
+        add = lambda s: F.struct(s["at"].alias("at"), s["odd"].alias("odd"), s["last"].alias("last"), F.concat(state["blocks"], F.array(s["spans"])).alias("blocks"))
+        return F.element_at(F.transform(F.array(done), add), 1)
+
+    def search(parts: Column) -> Column:
+        # spans are appended within blocks and blocks to each other: appending copies what is there
+        first = F.struct(start["at"].alias("at"), start["odd"].alias("odd"), start["last"].alias("last"), F.array().cast(f"array<{_SPAN}>").alias("blocks"))
+        numbers = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _BLOCK).cast("int"))
+        return F.aggregate(numbers, first, lambda state, number: block(parts, state, number), lambda state: F.flatten(state["blocks"]))
+
+    searched = F.element_at(F.transform(F.array(_parts(clean, kind)), search), 1)
     return F.when(clean.rlike(HINTS[kind]), searched).otherwise(F.array().cast(_SPAN))
 
 
