@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 #: What separates words: space and the control characters 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
@@ -39,3 +43,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8_0
                 start, held = i + 1, 0
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def combined(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every run of ``n`` of the 64-bit hashes; a single one of all if there are fewer."""
+    n = min(n, len(hashes))
+    if not n:
+        return hashes
+    out = np.full(len(hashes) - n + 1, n, np.uint64)
+    for i in range(n):
+        out ^= hashes[i : len(hashes) - n + 1 + i]
+        out *= _ODD
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a UTF-8 text, in order."""
+    return np.array(list(map(xxh3_64_intdigest, data.split())), np.uint64)
+
+
+def signed(hashes: np.ndarray) -> np.ndarray:
+    return hashes.view(np.int64)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from spatialframes.llm import mixing, pii
+from spatialframes.llm import chat, line_frequency, mixing, packing, pii, winnow
 
 QUERIES = {
     "op2_mixing": mixing.op2,
+    "op3_line_frequency": line_frequency.op3,
+    "op5_line_dedup": winnow.op5,
+    "op8_packing": packing.op8,
+    "op9_chat_format": chat.op9,
     "op10_personal_data": pii.op10,
 }
 
 ORACLES = {
     "op2_mixing": mixing.OP2_SQL,
+    "op3_line_frequency": line_frequency.OP3_SQL,
+    "op9_chat_format": chat.OP9_SQL,
 }
