@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from spatialframes.llm import chat, line_frequency, mixing, packing, pii, winnow
+from spatialframes.llm import chat, crf_toxicity, line_frequency, media, mixing, packing, pii, site_quality, winnow
 
 QUERIES = {
     "op2_mixing": mixing.op2,
     "op3_line_frequency": line_frequency.op3,
+    "op4_site_quality": site_quality.op4,
     "op5_line_dedup": winnow.op5,
+    "op6_media_columns": media.op6,
+    "op7_crf_toxicity": crf_toxicity.op7,
     "op8_packing": packing.op8,
     "op9_chat_format": chat.op9,
     "op10_personal_data": pii.op10,
