@@ -50,7 +50,8 @@ def repeated_words(hashes: np.ndarray, n: int = 5) -> int:
 
 
 def text_counts(text: str) -> tuple[list[int], dict[int, int]]:
-    """The five counts of a text, and the words in each distinct normalised line."""
+    """The five counts of a text, its words that equal the word before, and the words in each distinct
+    normalised line."""
     data = text.encode()
     hashes = word_hashes(data)
     chars = len(text) - (len(data) - len(data.translate(None, _SPACES)))
@@ -64,7 +65,8 @@ def text_counts(text: str) -> tuple[list[int], dict[int, int]]:
         seen.add(line)
         key = xxh3_64_intdigest(b" ".join(words))
         lines[key] = lines.get(key, 0) + len(words)
-    return [len(hashes), chars, symbols, repeats, repeated_words(hashes)], lines
+    stutter = int((hashes[1:] == hashes[:-1]).sum())
+    return [len(hashes), chars, symbols, repeats, repeated_words(hashes), stutter], lines
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +74,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [text_counts(t or "") for t in batch.column("__text").to_pylist()]
         arrays = [batch.column(c) for c in batch.schema.names if c != "__text"]
         names = [c for c in batch.schema.names if c != "__text"]
-        for i, name in enumerate(COUNTS):
+        for i, name in enumerate((*COUNTS, "__stutter")):
             arrays.append(pa.array([r[0][i] for r in rows], pa.int64()))
             names.append(name)
         ends = np.cumsum([0] + [len(r[1]) for r in rows]).astype(np.int32)
@@ -83,7 +85,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The rows without their text, with the counts, ``__host``, ``__digest``, ``__lines``, ``__line_words``."""
+    """The rows without their text, with the counts and the columns ``__stutter``, ``__host``, ``__digest``,
+    ``__lines`` and ``__line_words``."""
     kept = [c for c in docs.columns if c.lower() not in RESULTS and c != text]
     rows = docs.select(
         *[F.col(f"`{c}`") for c in kept],
@@ -92,7 +95,7 @@ def count(docs: DataFrame, text: str = "text", host: str = "source") -> DataFram
         F.col(text).alias("__text"),
     )
     fields = [f for f in rows.schema.fields if f.name != "__text"]
-    fields += [T.StructField(c, T.LongType()) for c in COUNTS]
+    fields += [T.StructField(c, T.LongType()) for c in (*COUNTS, "__stutter")]
     fields += [T.StructField(c, T.ArrayType(T.LongType())) for c in ("__lines", "__line_words")]
     return rows.mapInArrow(_counted, T.StructType(fields))
 
@@ -127,7 +130,7 @@ def judge(
     pairs = F.explode(F.arrays_zip(F.col("__lines").alias("l"), F.col("__line_words").alias("w"))).alias("__p")
     lines = counted.select("__row", "__host", pairs).select("__row", "__host", F.col("__p.l").alias("__line"), F.col("__p.w").alias("__w"))
     lost = lines.join(frequent, ["__host", "__line"]).groupBy("__row").agg(F.sum("__w").alias("n_common_words"))
-    rows = counted.drop("__lines", "__line_words", "__host", "__digest").join(lost, "__row", "left").drop("__row")
+    rows = counted.drop("__stutter", "__lines", "__line_words", "__host", "__digest").join(lost, "__row", "left").drop("__row")
     rows = rows.withColumn("n_common_words", F.coalesce("n_common_words", F.lit(0)).cast("long")).withColumn("base_failed", base)
     left = F.col("n_words") - F.col("n_common_words")
     return rows.withColumn("kept", ~F.col("base_failed") & (left >= F.col("n_words") * least_left))

@@ -1,8 +1,10 @@
 """Quality classifier: evidence of a document, pooled with its path and its host.
 
 1. Counts of a text are cut into bins; the labelled documents give every bin the log of how much more
-   often good documents fall into it than bad ones (add-``alpha`` smoothing). The sum over the
-   measures, damped because they are not independent, is a document's *evidence*.
+   often good documents fall into it than bad ones (counts of neighbouring bins are mixed, and
+   ``alpha`` is added to each). A document's
+   *evidence* is its worst measure plus, damped, the sum of the others: bad documents are bad in one
+   way or another, and being in order otherwise does not make up for it.
 2. With the global share of good documents as prior, evidence gives every document, labelled or not, a
    probability. A host's rate is the mean over its documents, shrunk towards the global rate with a
    prior strength that the spread between hosts tells (method of moments); a path's rate is shrunk
@@ -54,8 +56,7 @@ def measures() -> dict[str, Column]:
         "lines": _bin(F.col("n_dup_lines"), F.size("__lines") + F.col("n_dup_lines")),
         "upper": _bin(F.col("__upper"), chars),
         "bang": _bin(F.col("__bang"), n),
-        "words": F.least(F.length(F.bin(n)), F.lit(BINS - 1)).cast("int"),
-        "length": F.least(F.when(n > 0, F.floor(chars / n)).otherwise(F.lit(0)), F.lit(BINS - 1)).cast("int"),
+        "stutter": _bin(F.col("__stutter"), n),
     }
 
 
@@ -72,7 +73,7 @@ def measured(docs: DataFrame, text: str, host: str, path: str) -> DataFrame:
     return counted.select("__row", "__h", "__p", *[c.alias(f"__m_{name}") for name, c in measures().items()])
 
 
-def bin_weights(rows: DataFrame, labels: DataFrame, alpha: float, damping: float) -> tuple[dict[str, list[float]], float, int, int]:
+def bin_weights(rows: DataFrame, labels: DataFrame, alpha: float) -> tuple[dict[str, list[float]], float, int, int]:
     """Weight of every bin of every measure, the share of good labels, and the numbers of labels."""
     names = list(measures())
     marks = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("__good"))
@@ -86,10 +87,12 @@ def bin_weights(rows: DataFrame, labels: DataFrame, alpha: float, damping: float
         by = {(r["m"], r["b"]): (r["g"], r["n"] - r["g"]) for r in table}
         for m in names:
             for b in range(BINS):
-                g, w = by.get((m, b), (0, 0))
+                # neighbours tell about each other, but not about a share of 0
+                near = {0: {0: 1.0}, 1: {1: 0.75, 2: 0.25}}.get(b, {b - 1: 0.25, b: 0.5, b + 1: 0.25})
+                g, w = (sum(part * by.get((m, x), (0, 0))[i] for x, part in near.items()) for i in (0, 1))
                 ratio = math.log((g + alpha) / (good + alpha * BINS)) - math.log((w + alpha) / (bad + alpha * BINS))
                 # a bin that no label has says nothing
-                weights[m][b] = damping * ratio if g + w else 0.0
+                weights[m][b] = ratio if g + w else 0.0
     return weights, good / (good + bad) if good + bad else 0.5, good, bad
 
 
@@ -114,20 +117,20 @@ def classify(
     text: str = "text",
     host: str = "source",
     path: str = "lang",
-    least: float = 0.5,
-    alpha: float = 0.5,
-    damping: float = 0.7,
+    least: float = 0.2,
+    alpha: float = 0.25,
+    damping: float = 0.3,
 ) -> DataFrame:
     """The rows with ``evidence, host_rate, path_rate, score, kept``, without the text.
 
     ``labels`` has ``doc_id`` and ``quality`` (1 good, 0 bad).
     """
     rows = settle(measured(docs, text, host, path))
-    weights, share, good, bad = bin_weights(rows, labels, alpha, damping)
+    weights, share, good, bad = bin_weights(rows, labels, alpha)
     share = min(max(share, 0.001), 0.999)
-    evidence = F.lit(0.0)
-    for m, values in weights.items():
-        evidence = evidence + F.element_at(F.array(*[F.lit(v) for v in values]), F.col(f"__m_{m}") + 1)
+    parts = [F.element_at(F.array(*[F.lit(v) for v in values]), F.col(f"__m_{m}") + 1) for m, values in weights.items()]
+    worst = F.least(*parts)
+    evidence = worst + damping * (sum(parts, F.lit(0.0)) - worst)
     rows = rows.select("__row", "__h", "__p", evidence.alias("evidence"))
     millionths = F.round(_sigmoid(F.col("evidence") + math.log(share / (1 - share))) * 1e6).cast("long")
     paths = settle(rows.groupBy("__h", "__p").agg(F.sum(millionths).alias("s"), F.count("*").alias("n")))
