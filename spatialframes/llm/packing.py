@@ -22,7 +22,9 @@ input other than the id, the text and the source are not returned.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -36,12 +38,28 @@ from spatialframes.session import settle
 
 WINDOW = 2048
 CLOSING = 1
-_MARK = "<|startoftext|>"  # a token of the vocabulary that stands between words encoded together
-_HELD = 400_000  # words whose ids a task remembers
+_HELD = 500_000  # words whose ids a worker remembers
+#: Lower-case words whose parts are plain: letters that have no other form, then one mark at most.
+_PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]?)")
 
 
-class WordIds:
-    """Ids of words as bytes, two to an id; words between white space do not depend on each other."""
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies write for a byte: itself if it is printable, else the
+    next free one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
+
+class WordIds(dict):
+    """Ids of words as bytes, two to an id; words between white space do not depend on each other.
+
+    A plain word is looked up by its parts, which need no normalising; any other word goes through
+    the whole tokenizer.
+    """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -49,45 +67,39 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(file)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need two bytes")
-        self.mark = self.tokenizer.token_to_id(_MARK)
-        self.ids: dict[bytes, bytes] = {}
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
-
-    def learn(self, words: set[bytes]) -> None:
-        plain = [w for w in words if b"<|" not in w]
-        for start in range(0, len(plain), 5000):
-            some = plain[start : start + 5000]
-            ids = self._encode(_MARK.join(w.decode() for w in some))
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) != len(some) - 1:
-                raise ValueError("words cannot be told apart in their ids")
-            data, at = ids.tobytes(), 0
-            for word, cut in zip(some, [*cuts.tolist(), len(ids)], strict=True):
-                self.ids[word] = data[2 * at : 2 * cut]
-                at = cut + 1
-        for word in words.difference(plain):
-            self.ids[word] = self._encode(word.decode()).tobytes()
+        self.model, self.parts = self.tokenizer.model, {"": b""}
+
+    def part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            letters = part if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS)
+            found = self.parts[part] = array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return found
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        plain = _PLAIN.fullmatch(text.lower())
+        if plain and len(word) < 100:
+            found = self.part(plain[1]) + self.part(plain[2])
+        else:
+            found = array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self[word] = found
+        return found
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        closing = np.uint16(CLOSING).tobytes()
-        out, start = [], 0
-        while start < len(split):  # as many texts at a time as keep the memory bounded
-            if len(self.ids) > _HELD:
-                self.ids.clear()
-            end, new = start, set()
-            while end < len(split) and len(new) < _HELD // 4:
-                new.update(w for w in split[end] if w not in self.ids)
-                end += 1
-            if new:
-                self.learn(new)
-            out += [b"".join(map(self.ids.__getitem__, words)) + closing for words in split[start:end]]
-            start = end
+        closing, out = array("H", [CLOSING]).tobytes(), []
+        for text in texts:
+            if len(self) > _HELD:
+                self.clear()
+            if len(self.parts) > _HELD:
+                self.parts = {"": b""}
+            out.append(b"".join(map(self.__getitem__, (text or "").encode().split())) + closing)
         return out
 
 
+_KNOWN: dict[str, WordIds] = {}  # a worker process serves one task after the other
+
+
 def word_file() -> str:
     import public_tokenizers
 
@@ -98,7 +110,10 @@ def tokenize(docs: DataFrame, text: str, file: str | None = None) -> DataFrame:
     """The rows with ``__ids`` (binary, two bytes to an id) instead of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(file or word_file())
+        name = file or word_file()
+        if name not in _KNOWN:
+            _KNOWN[name] = WordIds(name)
+        ids = _KNOWN[name]
         for batch in slices(batches, text, 2_000_000):
             found = ids.texts(batch.column(text).to_pylist())
             names = [c for c in batch.schema.names if c != text]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from spatialframes.llm import chat, crf_toxicity, line_frequency, media, mixing, packing, pii, site_quality, winnow
+from spatialframes.llm import chat, crf_toxicity, line_frequency, media, mixing, ngram_join, packing, pii, site_quality, winnow
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1,
     "op2_mixing": mixing.op2,
     "op3_line_frequency": line_frequency.op3,
     "op4_site_quality": site_quality.op4,
