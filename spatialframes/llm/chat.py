@@ -89,7 +89,7 @@ MAPPINGS: dict[int, dict] = dict(
     [
         *_layout("row", "", "conv_id turn role text", row=("turn", "role", "text")),
         *_layout("prompt", "conv_id prompt", "response", turns=(("user", "prompt"), ("assistant", "response"))),
-        *_layout("completion", "conv_id prompt", "completion", turns=(("user", "prompt"), ("assistant", "completion"))),
+        *_layout("completion", "conv_id prompt completion", "", turns=(("user", "prompt"), ("assistant", "completion"))),
         *_layout("instruction", "conv_id instruction", "input output", turns=(("system", "instruction"), ("user", "input"), ("assistant", "output"))),
         *_layout("question", "conv_id question", "answer system", turns=(("system", "system"), ("user", "question"), ("assistant", "answer"))),
         *_layout("messages", "conv_id messages[].role messages[].content", "", list=("messages", "role", "content")),

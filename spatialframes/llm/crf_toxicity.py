@@ -101,8 +101,9 @@ def marginals(potential: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> n
 
 
 def amounts(probabilities: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Toxic tokens of each text. Squares keep the small doubt at each of many tokens from adding up."""
-    sums = np.concatenate([[0.0], np.cumsum(probabilities**2)])
+    """Toxic tokens of each text. The small doubt at each of many tokens must not add up: tokens below
+    a tenth do not count, others by their squares."""
+    sums = np.concatenate([[0.0], np.cumsum(np.where(probabilities >= 0.1, probabilities**2, 0.0))])
     ends = np.cumsum(lengths)
     return np.maximum(sums[ends] - sums[ends - lengths], 0)
 
