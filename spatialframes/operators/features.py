@@ -42,12 +42,19 @@ def cell_means(pixels: DataFrame, mask: DataFrame) -> DataFrame:
 
 
 def cell_means_of_tiles(tiles: DataFrame, mask_tiles: DataFrame) -> DataFrame:
-    """The same from tiles: arrays meet by tile key, pixels exist only inside the partial sums."""
+    """The same from tiles: arrays meet by tile key, pixels exist only inside the partial sums.
+
+    Both sides must be cut with the same shape of the field; a place without a value counts for
+    nothing, a tile of another size raises.
+    """
     key = ["fov_key", "tile_r", "tile_c"]
     both = tiles.join(mask_tiles.select(*key, "labels"), key)
-    pairs = both.select("fov_key", "channel", F.explode(F.arrays_zip("values", "labels")).alias("p"))
+    zipped = F.when(F.size("values") == F.size("labels"), F.arrays_zip("values", "labels")).otherwise(
+        F.raise_error(F.lit("tiles of values and labels differ in size"))
+    )
+    pairs = both.select("fov_key", "channel", F.explode(zipped).alias("p"))
     pairs = pairs.select("fov_key", "channel", F.col("p.values").alias("value"), F.col("p.labels").alias("cell_id"))
-    return pairs.where(F.col("cell_id") != 0).groupBy("fov_key", "cell_id", "channel").agg(
+    return pairs.where((F.col("cell_id") != 0) & F.col("value").isNotNull()).groupBy("fov_key", "cell_id", "channel").agg(
         F.avg("value").alias("mean_value"), F.sum("value").alias("sum_value"), F.count(F.lit(1)).alias("n_pixels")
     )
 
@@ -91,29 +98,29 @@ def apply_fov_norm(pixels: DataFrame, factors: DataFrame, q: float = 0.999) -> D
 def domain_moments(readings: DataFrame, std_floor: float = 1e-6) -> DataFrame:
     """Mean and population standard deviation per (domain, marker); unseen pairs get (0, 1)."""
     seen = readings.groupBy("domain", "marker").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("s2")
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.stddev_pop("value").alias("d")
     )
     seen = settle(seen)
     # vocabularies, not rows: both sets are as small as the registry
     grid = seen.agg(F.collect_set("domain").alias("d"), F.collect_set("marker").alias("m"))
     grid = grid.select(F.explode("d").alias("domain"), "m").select("domain", F.explode("m").alias("marker"))
-    mean = F.col("s") / F.col("n")
-    variance = F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0))
     full = grid.join(seen, ["domain", "marker"], "left")
     return full.select(
         "domain",
         "marker",
         F.coalesce("n", F.lit(0)).alias("n"),
-        F.coalesce(mean, F.lit(0.0)).alias("mean"),
+        F.coalesce("m", F.lit(0.0)).alias("mean"),
         # greatest() skips NULL, so an unseen pair needs its own branch
-        F.when(F.col("n").isNull(), F.lit(1.0)).otherwise(F.greatest(F.sqrt(variance), F.lit(std_floor))).alias("std"),
+        F.when(F.col("n").isNull(), F.lit(1.0)).otherwise(F.greatest("d", F.lit(std_floor))).alias("std"),
     )
 
 
 def apply_domain_norm(readings: DataFrame, moments: DataFrame) -> DataFrame:
+    """Readings less the mean, over the deviation, of their pair; a pair that was not fitted has (0, 1)."""
     small = settle(moments.select("domain", "marker", "mean", "std"))
-    joined = readings.join(small, ["domain", "marker"])
-    return joined.withColumn("value", (F.col("value") - F.col("mean")) / F.col("std")).drop("mean", "std")
+    joined = readings.join(small, ["domain", "marker"], "left")
+    value = (F.col("value") - F.coalesce("mean", F.lit(0.0))) / F.coalesce("std", F.lit(1.0))
+    return joined.withColumn("value", value).drop("mean", "std")
 
 
 def feature_moments(features: DataFrame, value: str = "mean_value") -> DataFrame:
@@ -127,12 +134,16 @@ def feature_moments(features: DataFrame, value: str = "mean_value") -> DataFrame
 def zscore_features(
     features: DataFrame, train: DataFrame, value: str = "mean_value", z: bool = True, scale: float = 255.0
 ) -> DataFrame:
-    """Training-set z-score and division by ``scale``; only the division with ``z=False``."""
+    """Training-set z-score and division by ``scale``; only the division with ``z=False``.
+
+    A marker that the training set lacks has mean 0 and deviation 1.
+    """
     if not z:
         return features.withColumn("scaled", F.col(value) / scale)
     small = settle(feature_moments(train, value))
-    joined = features.join(small, "marker")
-    return joined.withColumn("scaled", (F.col(value) - F.col("mean")) / F.col("std") / scale).drop("mean", "std")
+    joined = features.join(small, "marker", "left")
+    scored = (F.col(value) - F.coalesce("mean", F.lit(0.0))) / F.coalesce("std", F.lit(1.0))
+    return joined.withColumn("scaled", scored / scale).drop("mean", "std")
 
 
 # --- matrices ----------------------------------------------------------------------------------------

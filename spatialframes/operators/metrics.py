@@ -6,6 +6,7 @@ classes x classes rows per group.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -123,9 +124,13 @@ def label_remap(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
 
 
 def focal_loss(pt: Column, gamma: float = 2.0, alpha: Column | float = 1.0) -> Column:
-    """Per-row focal loss from the probability of the true class."""
+    """Per-row focal loss from the probability of the true class.
+
+    A probability of 0 counts as the smallest positive number: its loss is large but finite.
+    """
     weight = F.lit(alpha) if isinstance(alpha, (int, float)) else alpha
-    return F.pow(1.0 - pt, F.lit(float(gamma))) * -F.ln(pt) * weight
+    log = F.when(pt.isNotNull(), F.ln(F.greatest(pt, F.lit(sys.float_info.min))))
+    return F.pow(1.0 - pt, F.lit(float(gamma))) * -log * weight
 
 
 def reduce_loss(df: DataFrame, loss: Column, ignored: Column | None = None, by: Sequence[str] = ()) -> DataFrame:

@@ -63,9 +63,11 @@ def self_pixels(cells: DataFrame, mask: DataFrame, crop: int = CROP, center: str
 
 def neighbor_area(cells: DataFrame, mask: DataFrame, crop: int = CROP, center: str = "round") -> DataFrame:
     """Pixels of the cell itself and of all other cells in its window."""
-    return patch_labels(cells, mask, crop, center).groupBy("fov_key", "cell_id").agg(
+    areas = patch_labels(cells, mask, crop, center).groupBy("fov_key", "cell_id").agg(
         F.count_if("is_self").alias("self_area"), F.count_if(~F.col("is_self")).alias("neighbor_area")
     )
+    every = cells.select("fov_key", "cell_id").join(areas, ["fov_key", "cell_id"], "left")
+    return every.select("fov_key", "cell_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("self_area", "neighbor_area")])
 
 
 def patch_arrays(
@@ -74,6 +76,7 @@ def patch_arrays(
     """One window per (cell, channel) as a row-major array, zero outside the image.
 
     With a mask only the cell's own pixels keep their value; without one the whole window does.
+    Every cell has a window for every channel of its field, of zeros where nothing lies in it.
     """
     if mask is not None:
         rows = pixels.join(self_pixels(cells, mask, crop, center), ["fov_key", "row", "col"])
@@ -81,7 +84,13 @@ def patch_arrays(
         rows = patch_pixels(cells, pixels, crop, center)
     entry = F.struct((F.col("pr") * crop + F.col("pc")).alias("at"), F.col("value").cast("double").alias("value"))
     packed = rows.groupBy("fov_key", "cell_id", "channel").agg(F.collect_list(entry).alias("_entries"))
-    return packed.select("fov_key", "cell_id", "channel", scatter(F.col("_entries"), crop * crop).alias("patch"))
+    panel = settle(pixels.select("fov_key", "channel").distinct())
+    every = cells.select("fov_key", "cell_id").join(panel, "fov_key").join(packed, ["fov_key", "cell_id", "channel"], "left")
+    return every.select("fov_key", "cell_id", "channel", scatter(_or_none(F.col("_entries")), crop * crop).alias("patch"))
+
+
+def _or_none(entries: Column) -> Column:
+    return F.coalesce(entries, F.array().cast("array<struct<at:int,value:double>>"))
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
@@ -108,12 +117,14 @@ def _distance(masks: pd.Series, crop: pd.Series) -> pd.Series:
 def distance_map(cells: DataFrame, mask: DataFrame, crop: int = CROP, center: str = "round") -> DataFrame:
     """Normalised distance to the cell's boundary inside its window, as a row-major array.
 
-    A window without one outside pixel has no boundary and gives zeros.
+    A window without one outside pixel has no boundary and gives zeros, and so does one without a
+    pixel of the cell.
     """
     own = self_pixels(cells, mask, crop, center)
     entry = F.struct((F.col("pr") * crop + F.col("pc")).alias("at"), F.lit(1.0).alias("value"))
     packed = own.groupBy("fov_key", "cell_id").agg(F.collect_list(entry).alias("_entries"))
-    packed = packed.withColumn("_own", scatter(F.col("_entries"), crop * crop))
+    packed = cells.select("fov_key", "cell_id").join(packed, ["fov_key", "cell_id"], "left")
+    packed = packed.withColumn("_own", scatter(_or_none(F.col("_entries")), crop * crop))
     return packed.select("fov_key", "cell_id", _distance(F.col("_own"), F.lit(crop)).alias("distance"))
 
 
@@ -129,20 +140,34 @@ def _targets(at: Column, scale: Column) -> Column:
     return F.filter(F.sequence(low, high), lambda i: (i >= 0) & (F.floor((i + 0.5) / scale) == at))
 
 
-def resample_nearest(mask: DataFrame, scales: DataFrame) -> DataFrame:
+def field_shapes(pixels: DataFrame) -> DataFrame:
+    """``fov_key, n_rows, n_cols`` of the fields, from the last pixel any channel has."""
+    return pixels.groupBy("fov_key").agg((F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"))
+
+
+def new_length(n: Column, scale: Column) -> Column:
+    """Pixels of an axis of ``n`` pixels at another resolution, one at least."""
+    return F.greatest(F.bround(n * scale, 0), F.lit(1)).cast("int")
+
+
+def resample_nearest(mask: DataFrame, scales: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
     """Labels at another resolution: every source pixel fans out to the targets it is nearest to.
 
-    ``scales(fov_key, scale)``; no neighbouring pixel is needed, so nothing is shuffled.
+    ``scales(fov_key, scale)``, and ``shapes(fov_key, n_rows, n_cols)`` if the mask does not hold
+    every pixel. The new shape is rounded, and positions follow the ratio of the two shapes, as they
+    do for the image. No neighbouring pixel is needed, so no pixel is shuffled.
     """
-    scaled = mask.join(scales.select("fov_key", "scale"), "fov_key")
-    scaled = scaled.withColumn("_row", F.explode(_targets(F.col("row"), F.col("scale"))))
-    scaled = scaled.withColumn("_col", F.explode(_targets(F.col("col"), F.col("scale"))))
+    sizes = settle((field_shapes(mask) if shapes is None else shapes).join(scales.select("fov_key", "scale"), "fov_key"))
+    scaled = mask.join(sizes, "fov_key")
+    ratio = lambda n: new_length(F.col(n), F.col("scale")) / F.col(n)
+    scaled = scaled.withColumn("_row", F.explode(_targets(F.col("row"), ratio("n_rows"))))
+    scaled = scaled.withColumn("_col", F.explode(_targets(F.col("col"), ratio("n_cols"))))
     rest = [c for c in mask.columns if c not in ("row", "col")]
     return scaled.select(*rest, F.col("_row").cast("int").alias("row"), F.col("_col").cast("int").alias("col")).select(mask.columns)
 
 
 def _bilinear(line: Column, n: Column, i: Column, scale: Column) -> Column:
-    at = (i + 0.5) / scale - 0.5
+    at = (i + 0.5) * n / new_length(n, scale) - 0.5
     low = F.floor(at)
     part = at - low
     clamp = lambda x: F.greatest(F.least(x, n - 1), F.lit(0)).cast("int")
@@ -152,9 +177,8 @@ def _bilinear(line: Column, n: Column, i: Column, scale: Column) -> Column:
 def resample_bilinear(pixels: DataFrame, scales: DataFrame) -> DataFrame:
     """Linear interpolation at pixel centres, edges held, one pass per axis; no smoothing first."""
     scaled = pixels.join(scales.select("fov_key", "scale"), "fov_key")
-    size = lambda n, extra: F.bround(n * extra, 0).cast("int")
     for axis in ("row", "col"):
-        scaled = on_lines(scaled, axis, _bilinear, ["scale"], size)
+        scaled = on_lines(scaled, axis, _bilinear, ["scale"], new_length)
     return scaled.select(*CHANNEL, "row", "col", "value")
 
 
@@ -179,7 +203,7 @@ def to_resolution(
         return pixels, mask
     cols = ["fov_key", "channel", "row", "col", "value"]
     scaled = settle(resample_bilinear(pixels, moved)).unionByName(pixels.join(kept, "fov_key", "left_semi").select(cols))
-    labels = resample_nearest(mask, moved).unionByName(mask.join(kept, "fov_key", "left_semi"))
+    labels = resample_nearest(mask, moved, field_shapes(pixels)).unionByName(mask.join(kept, "fov_key", "left_semi"))
     return scaled, labels
 
 

@@ -71,14 +71,20 @@ def class_pad(sample: DataFrame, full: DataFrame, label: str, order: str) -> Dat
 def weighted_draw(df: DataFrame, weight: str, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """``n`` rows drawn with replacement, proportional to ``weight``, as ``(draw, keys...)``.
 
-    Rows are laid end to end in seeded order, each as long as its weight (to twelve places, so that
-    lengths add up exactly); a draw is a point on that line. Line and points meet by equal pieces
+    Rows are laid end to end in seeded order, each as long as its weight relative to the largest, in
+    whole steps of 1e-20 of it, so that lengths add up exactly at any scale of the weights; a draw
+    is a point on that line. Weights that are not positive and finite are never drawn. Line and points meet by equal pieces
     of the line: a heavy row spans many pieces, so neither it nor its draws land in one task.
     """
     nothing = df.select(F.lit(0).cast("bigint").alias("draw"), *keys).limit(0)
     if n <= 0:
         return nothing
-    rows = df.select(*keys, F.col(weight).cast("decimal(28,12)").alias("_length")).where(F.col("_length") > 0)
+    value = F.col(weight).cast("double")
+    value = F.when(~F.isnan(value) & (value > 0) & (value < float("inf")), value)
+    largest = df.agg(F.max(value)).first()[0]
+    if largest is None:
+        return nothing
+    rows = df.select(*keys, (value / F.lit(largest) * F.lit(1e20)).cast("decimal(22,0)").alias("_length")).where(F.col("_length") > 0)
     placed = place(rows, [], keys, seed, {"length": F.col("_length")})
     whole = placed.select(F.col("_total_length").cast("double").alias("length"), F.col("_total_rows").alias("rows")).first()
     if whole is None:

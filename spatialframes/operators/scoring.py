@@ -66,6 +66,8 @@ def iqr_abstain(
 def tissue_argmax(df: DataFrame, names: Sequence[str], allowed: DataFrame, probs: str = "probs") -> DataFrame:
     """Best class among those listed for the tissue; a tissue without a list is unrestricted.
 
+    A list without any known class gives NULL.
+
     ``allowed(tissue, name)`` is reduced to one array per tissue, as long as the vocabulary.
     """
     lists = settle(allowed.groupBy("tissue").agg(F.collect_set("name").alias("_allowed")))
@@ -76,7 +78,7 @@ def tissue_argmax(df: DataFrame, names: Sequence[str], allowed: DataFrame, probs
         lambda n, p: F.when(F.col("_allowed").isNull() | F.array_contains("_allowed", n), p).otherwise(F.lit(-1.0)),
     )
     joined = joined.withColumn("_usable", usable)
-    return joined.withColumn("predicted_ct", F.get(class_names(names), argmax(F.col("_usable")))).drop("_usable", "_allowed")
+    return joined.withColumn("predicted_ct", F.when(F.exists("_usable", lambda p: p > -1.0), F.get(class_names(names), argmax(F.col("_usable"))))).drop("_usable", "_allowed")
 
 
 def reinstate_cells(ids: DataFrame, scored: DataFrame, key: Sequence[str], n_classes: int) -> DataFrame:

@@ -141,7 +141,7 @@ def on_lines(pixels: DataFrame, axis: str, compute: Callable[..., Column], extra
         F.array_sort(F.collect_list(F.struct(F.col(axis).alias("at"), F.col("value").alias("v")))).alias("_line")
     )
     size = F.size("_line")
-    whole = F.element_at("_line", -1)["at"] == size - 1
+    whole = ~F.exists(F.transform("_line", lambda p, i: p["at"] != i), lambda odd: odd)
     lines = lines.withColumn(
         "_line", F.when(whole, F.col("_line")).otherwise(F.raise_error(F.lit("image line with missing pixels")))
     )

@@ -141,6 +141,20 @@ def apply_domain_norm(spark, sf):
     return out.select("domain", "marker", "cell_id", r6("value").alias("value"))
 
 
+@query(
+    "apply_domain_norm_unseen",
+    """SELECT domain, marker, cell_id, round((value - coalesce(mean, 0)) / coalesce(std, 1), 6) + 0 AS value
+       FROM v_readings LEFT JOIN (SELECT * FROM v_moments WHERE domain <> (SELECT min(domain) FROM v_readings)) USING (domain, marker)""",
+)
+def apply_domain_norm_unseen(spark, sf):
+    """Fitted without the first domain, applied to all."""
+    r = b.readings(spark, sf)
+    first = r.agg(F.min("domain").alias("_first"))
+    fitted = r.join(first, F.col("domain") != F.col("_first")).drop("_first")
+    out = ops.apply_domain_norm(r, ops.domain_moments(fitted))
+    return out.select("domain", "marker", "cell_id", r6("value").alias("value"))
+
+
 view("cell_features", "SELECT cell_id, marker, avg(value) AS mean_value FROM v_readings GROUP BY ALL")
 
 
@@ -163,6 +177,21 @@ def zscore_features(spark, sf):
     return out.select("cell_id", "marker", r6("z").alias("scaled"), r6("scaled").alias("plain"))
 
 
+@query(
+    "zscore_features_unseen",
+    """SELECT cell_id, marker, round((mean_value - coalesce(m, 0)) / coalesce(s, 1) / 255.0, 6) + 0 AS scaled
+       FROM v_cell_features LEFT JOIN (SELECT marker, avg(mean_value) AS m,
+       CASE WHEN stddev_pop(mean_value) = 0 THEN 1.0 ELSE stddev_pop(mean_value) END AS s
+       FROM v_cell_features WHERE marker <> (SELECT min(marker) FROM v_cell_features) GROUP BY marker) USING (marker)""",
+)
+def zscore_features_unseen(spark, sf):
+    """Fitted without the first marker, applied to all."""
+    f = cell_features(spark, sf)
+    first = f.agg(F.min("marker").alias("_first"))
+    train = f.join(first, F.col("marker") != F.col("_first")).drop("_first")
+    return ops.zscore_features(f, train).select("cell_id", "marker", r6("scaled").alias("scaled"))
+
+
 view(
     "channel_features",
     """SELECT fov_key, cell_id, channel AS marker, avg(value) AS mean_value, count(*) AS n_pixels

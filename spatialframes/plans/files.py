@@ -37,16 +37,18 @@ def prediction_file(spark, sf):
     "registry_file",
     """SELECT 'cell_type' AS kind, name, CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT p_type AS name FROM part)
        UNION ALL SELECT 'marker', name, CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) FROM (SELECT DISTINCT p_brand AS name FROM part)
-       UNION ALL SELECT 'domain', name, CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) FROM (SELECT DISTINCT p_name AS name FROM part)""",
+       UNION ALL SELECT 'domain', name, CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) FROM (SELECT DISTINCT CAST(p_size AS VARCHAR) AS name FROM part)""",
 )
 def registry_file(spark, sf):
     names = lambda c: F.array_sort(F.collect_set(c)).alias(c)
-    lists = b.table(spark, sf, "part").agg(names("p_type"), names("p_brand"), names("p_name"))
+    # vocabularies of bounded size: the file is one document
+    part = b.table(spark, sf, "part").withColumn("p_size", F.col("p_size").cast("string"))
+    lists = part.agg(names("p_type"), names("p_brand"), names("p_size"))
     places = F.transform("p_type", lambda x, i: i)
     doc = lists.select(
         F.map_from_arrays("p_type", places).alias("cell_type_mapping"),
         F.col("p_brand").alias("all_standardized_channels"),
-        F.col("p_name").alias("domains"),
+        F.col("p_size").alias("domains"),
     )
     path = fresh_path(spark, "registry")
     doc.coalesce(1).write.json(path)

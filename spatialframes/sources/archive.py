@@ -7,6 +7,7 @@ key, whether the tree is flat or nested. Listing and parsing are distributed ove
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from spatialframes.functions.names import normalize_modality, normalize_tissue
 
 # Names the archive format uses.
 META = "zarr.json"
-LABEL_SOURCES = ["standardized_source", "caitlinb"]  # the first one present is read
+LABEL_SOURCE = "standardized_source"
 
 
 def _relative(path: Column, root: str) -> Column:
@@ -48,16 +49,18 @@ def _part(documents: DataFrame, part: str) -> DataFrame:
     )
 
 
-def read_metadata(spark: SparkSession, root: str) -> DataFrame:
+def read_metadata(spark: SparkSession, root: str, label_sources: Sequence[str] = (LABEL_SOURCE,)) -> DataFrame:
     """Domain, tissue, annotated type names and presence of a positivity matrix per field.
 
+    Type names are those of any of ``label_sources``.
+
     A missing file leaves its part empty. Malformed JSON is tolerated as well: it ends the reading
     of that field, so what would have come after it stays at its default.
     """
     documents = _documents(spark, root)
     fovs = discover_fovs(spark, root)
     attrs = "attributes struct<modality: string, tissue: string>"
-    sources = "attributes struct<" + ", ".join(f"{s}: map<string,string>" for s in LABEL_SOURCES) + ">"
+    sources = "attributes struct<" + ", ".join(f"{s}: map<string,string>" for s in label_sources) + ">"
     fine = F.try_parse_json("value").isNotNull()
 
     top = _part(documents, "").join(fovs, "fov_key", "left_semi")
@@ -69,7 +72,7 @@ def read_metadata(spark: SparkSession, root: str) -> DataFrame:
     joined = fovs.join(top, "fov_key", "left").join(notes, "fov_key", "left").join(matrix, "fov_key", "left")
     present, good = F.col("_top_ok").isNotNull(), F.coalesce("_top_ok", F.lit(True))
     empty = F.array().cast("array<string>")
-    names = F.concat(*[F.coalesce(F.map_keys(F.col("_s")[s]), empty) for s in LABEL_SOURCES])
+    names = F.concat(*[F.coalesce(F.map_keys(F.col("_s")[s]), empty) for s in label_sources])
     names = F.array_sort(F.array_distinct(F.filter(names, lambda n: n.isNotNull() & (n != "null"))))
     read = present & good
     domain = F.when(read, normalize_modality(F.coalesce("_a.modality", F.lit("unknown")))).otherwise(F.lit("UNKNOWN"))
@@ -83,21 +86,19 @@ def read_metadata(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def read_annotations(spark: SparkSession, root: str) -> DataFrame:
+def read_annotations(spark: SparkSession, root: str, label_sources: Sequence[str] = (LABEL_SOURCE,)) -> DataFrame:
     """``(fov_key, source, ct_name, pos, cell_id, row, col)`` of every annotation entry.
 
-    An entry is a cell id or a [row, col] pair. The first source a field has is read, types named
-    "null" are skipped, and so is any entry of another shape.
+    An entry is a cell id or a [row, col] pair. The first of ``label_sources`` that a field has is
+    read, types named "null" are skipped, and so is any entry of another shape.
     """
     notes = _part(_documents(spark, root), "cell_types/annotations")
     parsed = notes.select("fov_key", F.try_parse_json("value").alias("v"))
-    first, second = (F.try_variant_get("v", f"$.attributes.{s}", "variant") for s in LABEL_SOURCES)
+    found = [F.try_variant_get("v", f"$.attributes.{s}", "variant") for s in label_sources]
     usable = lambda s: s.isNotNull() & ~F.is_variant_null(s)
-    chosen = parsed.select(
-        "fov_key",
-        F.when(usable(first), F.lit(LABEL_SOURCES[0])).otherwise(F.lit(LABEL_SOURCES[1])).alias("source"),
-        F.when(usable(first), first).otherwise(second).alias("s"),
-    ).where(usable(F.col("s")))
+    name = F.coalesce(*[F.when(usable(v), F.lit(s)) for s, v in zip(label_sources, found)])
+    chosen = parsed.select("fov_key", name.alias("source"), F.coalesce(*[F.when(usable(v), v) for v in found]).alias("s"))
+    chosen = chosen.where(F.col("source").isNotNull())
 
     def spread(df: DataFrame, column: str) -> DataFrame:
         return df.lateralJoin(spark.tvf.variant_explode(F.col(column).outer()))
@@ -163,7 +164,7 @@ def read_contract(spark: SparkSession, root: str) -> DataFrame:
     mask = part("preprocessed/mask", "shape array<bigint>, data_type string", F.col("d.shape").alias("mask_shape"), F.col("d.data_type").alias("mask_type"))
     names = "attributes struct<channel_names: array<string>, centroids: string, scale_factor: double>"
     image = part("preprocessed", names, F.col("d.attributes.channel_names").alias("channel_names"), F.col("d.attributes.centroids").alias("centroids"), F.col("d.attributes.scale_factor").alias("scale_factor"))
-    source = LABEL_SOURCES[0]
+    source = LABEL_SOURCE
     notes = part("cell_types/annotations", f"attributes struct<{source}: string>", F.lit(True).alias("has_annotations"), F.col(f"d.attributes.{source}").alias("source"))
     lists = "attributes struct<markers: array<string>, cell_types: array<string>, positivity_matrix: array<array<string>>>"
     matrix = part("marker_positivity", lists, F.lit(True).alias("has_mp"), F.col("d.attributes.markers").alias("markers"), F.col("d.attributes.cell_types").alias("cell_types"), F.col("d.attributes.positivity_matrix").alias("matrix"))

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spatialframes.session import settle
 
-def pixels_to_tiles(pixels: DataFrame, height: int, width: int) -> DataFrame:
+
+def pixels_to_tiles(pixels: DataFrame, height: int, width: int, shapes: DataFrame | None = None) -> DataFrame:
     """Tiles of at most ``height`` x ``width``; a pixel the tile lacks is NULL.
 
+    A tile reaches as far as the field does, so the tiles of all channels and of the mask have the
+    same extent. ``shapes(fov_key, n_rows, n_cols)`` tells the field's; without it, the last pixel
+    of any channel does.
+
     A tile bounds what one group holds, whatever the size of the field. Full tiles, the rule for
     images, are put in order by one sort; only a tile with holes is filled position by position.
     """
@@ -25,10 +31,13 @@ def pixels_to_tiles(pixels: DataFrame, height: int, width: int) -> DataFrame:
         ).alias("_p"),
     )
     packed = placed.groupBy("fov_key", "channel", "tile_r", "tile_c").agg(
-        F.array_sort(F.collect_list("_p")).alias("_p"),
-        (F.max("_p.r") + 1).alias("h"),
-        (F.max("_p.c") + 1).alias("w"),
+        F.array_sort(F.collect_list("_p")).alias("_p")
     )
+    if shapes is None:
+        shapes = pixels.groupBy("fov_key").agg((F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"))
+    packed = packed.join(settle(shapes.select("fov_key", "n_rows", "n_cols")), "fov_key")
+    reach = lambda n, at, most: F.least(F.lit(most), F.col(n) - F.col(at) * most).cast("int")
+    packed = packed.withColumn("h", reach("n_rows", "tile_r", height)).withColumn("w", reach("n_cols", "tile_c", width))
     size = F.col("h") * F.col("w")
     at = F.map_from_entries(F.transform("_p", lambda p: F.struct((p["r"] * F.col("w") + p["c"]).alias("k"), p["value"].alias("v"))))
     holed = packed.withColumn("_at", F.when(F.size("_p") < size, at))
@@ -55,7 +64,7 @@ def hook_on_tiles(tiles: DataFrame, hook) -> DataFrame:
 
     For hooks that are written on arrays and look at one pixel across its channels; statistics over
     a whole channel belong in a DataFrame hook. The result must keep the shape and be finite and in
-    [0, 1] up to 1e-6.
+    [0, 1] up to 1e-6. A missing pixel comes in as NaN and stays missing.
     """
 
     def run(pdf):
@@ -67,9 +76,10 @@ def hook_on_tiles(tiles: DataFrame, hook) -> DataFrame:
         out = np.asarray(hook(raw, pdf["channel"].tolist()), dtype="float64")
         if out.shape != raw.shape:
             raise ValueError(f"hook changed the shape of a tile from {raw.shape} to {out.shape}")
-        if not np.isfinite(out).all() or out.min() < -1e-6 or out.max() > 1 + 1e-6:
+        there = ~np.isnan(raw)
+        if not np.isfinite(out[there]).all() or (out[there] < -1e-6).any() or (out[there] > 1 + 1e-6).any():
             raise ValueError("hook result must be finite and in [0, 1]")
-        pdf["values"] = [x.ravel() for x in out]
+        pdf["values"] = [[v if t else None for v, t in zip(x.ravel().tolist(), own.ravel(), strict=True)] for x, own in zip(out, there, strict=True)]
         return pdf
 
     return tiles.groupBy("fov_key", "tile_r", "tile_c").applyInPandas(run, tiles.schema)

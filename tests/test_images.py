@@ -139,11 +139,11 @@ def test_resampling(spark, scale):
     rows, cols = round(7 * scale), round(10 * scale)
     for i in range(rows):
         for j in range(cols):
-            r, c = int((i + 0.5) / scale), int((j + 0.5) / scale)
-            if r < 7 and c < 10:
-                assert got[i, j] == label[r, c]
+            # positions follow the ratio of the rounded shape, not the nominal scale
+            assert got[i, j] == label[int((i + 0.5) * 7 / rows), int((j + 0.5) * 10 / cols)]
+    assert len(got) == rows * cols
     out = patches.resample_bilinear(spark.createDataFrame(pixel_rows("f", "c", image), PIXELS), scales)
-    line = lambda n, size: np.clip((np.arange(size) + 0.5) / scale - 0.5, 0, n - 1)
+    line = lambda n, size: np.clip((np.arange(size) + 0.5) * n / size - 0.5, 0, n - 1)
     one = np.array([[np.interp(y, np.arange(7), image[:, j]) for j in range(10)] for y in line(7, rows)])
     want = np.array([[np.interp(x, np.arange(10), one[i]) for x in line(10, cols)] for i in range(rows)])
     assert {(r.row, r.col) for r in out.collect()} == {(i, j) for i in range(rows) for j in range(cols)}

@@ -5,6 +5,8 @@ import pytest
 from spatialframes.operators import features, quality
 from spatialframes.sources import archive, tables
 
+SOURCES = ("standardized_source", "older_source")
+
 
 def put(root, path, attributes=None, text=None):
     file = root / path / "zarr.json"
@@ -18,11 +20,11 @@ def tree(tmp_path):
     put(root, "", {"schema_version": 8})
     put(root, "imc/lung/c/s/f1", {"modality": "imc", "tissue": " Lymph Node "})
     put(root, "imc/lung/c/s/f1/preprocessed", {"scale_factor": 2.0, "centroids": {"1": [10, 10], "2": [20.5, 20], "x": [0, 0]}})
-    put(root, "imc/lung/c/s/f1/cell_types/annotations", {"standardized_source": {"CD4T": [1, 1, [5.0, 5.0]], "null": [2], "CD8T": [2.0, [10, 10, 10], "odd"]}, "caitlinb": {"Old": [9]}})
+    put(root, "imc/lung/c/s/f1/cell_types/annotations", {"standardized_source": {"CD4T": [1, 1, [5.0, 5.0]], "null": [2], "CD8T": [2.0, [10, 10, 10], "odd"]}, "older_source": {"Old": [9]}})
     put(root, "imc/lung/c/s/f1/marker_positivity", {"markers": ["CD3", "CD20"], "cell_types": ["T", "B"], "positivity_matrix": [[1, "?"], [0.5, 2]]})
     put(root, "flat", {"tissue": "liver"})
     put(root, "flat/preprocessed")
-    put(root, "flat/cell_types/annotations", {"caitlinb": {"Tumor": [3]}})
+    put(root, "flat/cell_types/annotations", {"older_source": {"Tumor": [3]}})
     put(root, "flat/marker_positivity", {"markers": ["CD3"], "cell_types": ["T"], "positivity_matrix": []})
     put(root, "broken", text="{not json")
     put(root, "broken/preprocessed")
@@ -38,7 +40,7 @@ def test_discovery(spark, tree):
 
 
 def test_metadata_tolerates_gaps_and_bad_json(spark, tree):
-    got = {r.key: (r.domain, r.tissue, r.ct_names, r.has_mp) for r in archive.read_metadata(spark, str(tree)).collect()}
+    got = {r.key: (r.domain, r.tissue, r.ct_names, r.has_mp) for r in archive.read_metadata(spark, str(tree), SOURCES).collect()}
     assert got == {
         "imc/lung/c/s/f1": ("IMC", "lymphnode", ["CD4T", "CD8T", "Old"], True),
         "flat": ("UNKNOWN", "liver", ["Tumor"], True),
@@ -48,15 +50,15 @@ def test_metadata_tolerates_gaps_and_bad_json(spark, tree):
 
 
 def test_annotations(spark, tree):
-    rows = archive.read_annotations(spark, str(tree)).collect()
+    rows = archive.read_annotations(spark, str(tree), SOURCES).collect()
     got = sorted((r.fov_key, r.source, r.ct_name, r.cell_id, r.row, r.col) for r in rows if r.fov_key == "imc/lung/c/s/f1" and r.cell_id is not None)
     assert got == [("imc/lung/c/s/f1", "standardized_source", t, i, None, None) for t, i in (("CD4T", 1), ("CD4T", 1), ("CD8T", 2))]
     assert [(r.ct_name, r.row, r.col) for r in rows if r.row is not None] == [("CD4T", 5.0, 5.0)]
-    assert [(r.ct_name, r.source) for r in rows if r.fov_key == "flat"] == [("Tumor", "caitlinb")]
+    assert [(r.ct_name, r.source) for r in rows if r.fov_key == "flat"] == [("Tumor", "older_source")]
 
 
 def test_fallback_only_where_nothing_was_found(spark, tree):
-    resolved = archive.read_annotations(spark, str(tree))
+    resolved = archive.read_annotations(spark, str(tree), SOURCES)
     arrays = spark.createDataFrame([("flat", "Z", 1), ("bare", "Z", 1)], "fov_key string, ct_name string, cell_id bigint")
     out = archive.with_fallback(resolved, arrays)
     assert {(r.fov_key, r.ct_name) for r in out.where("source = 'cell_type_info'").collect()} == {("bare", "Z")}
@@ -147,7 +149,7 @@ def test_contract_of_a_tree(spark, tmp_path):
     put(root, "mask/preprocessed/mask", text=json.dumps({"shape": [8, 9], "data_type": "float32"}))
     put(root, "names/preprocessed", {"channel_names": ["CD3"], "centroids": {}, "scale_factor": 1.0})
     put(root, "attrs/preprocessed", {"channel_names": ["CD3", "CD20", "CD8"]})
-    put(root, "notes/cell_types/annotations", {"caitlinb": {}})
+    put(root, "notes/cell_types/annotations", {"older_source": {}})
     put(root, "matrix/marker_positivity", {"markers": ["CD3", "CD20"], "cell_types": ["T"], "positivity_matrix": [[1]]})
     meta = archive.read_contract(spark, str(root))
     vocab = spark.createDataFrame([("cell_type", "T", 0), ("marker", "CD3", 0), ("marker", "CD20", 1)], "kind string, name string, idx int")
