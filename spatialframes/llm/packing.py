@@ -257,7 +257,16 @@ def _packed(shard: int, batches: list[pa.RecordBatch], window: int, least_piece:
             shares[name], credit[name] = share, owed
         else:
             queues.setdefault(name, deque()).append([i, 0, len(data) // 2])
-    crc = lambda i, start, n: zlib.crc32(np.frombuffer(ids[i], np.uint16)[start : start + n].astype("<u4").tobytes())
+    wide: dict[int, memoryview] = {}  # ids in four bytes, of the documents that are being served
+
+    def crc(i: int, start: int, n: int) -> int:
+        data = wide.get(i)
+        if data is None:
+            data = wide[i] = memoryview(np.frombuffer(ids[i], np.uint16).astype("<u4").tobytes())
+        if 2 * (start + n) == len(ids[i]):
+            del wide[i]
+        return zlib.crc32(data[4 * start : 4 * (start + n)])
+
     rows, number = [], shard << 32
     for pieces in fill(queues, shares, credit, window, least_piece):
         for sequence in sequences(pieces, window):
