@@ -219,10 +219,13 @@ def dataset_canonical(spark) -> DataFrame:
 
 
 def canonical_metadata(datasets: DataFrame, canonical: DataFrame, strict: bool = False) -> DataFrame:
-    """Registered tissue and modality per dataset; ``strict`` refuses unknown and substituted ones."""
+    """Registered tissue and modality per dataset; an unknown one is refused, with ``strict`` also a
+    substituted one."""
     joined = datasets.join(canonical, "dataset_key", "left")
+    refused = F.col("tissue").isNull()
     if strict:
-        bad = joined.where(F.col("tissue").isNull() | ~F.col("is_direct")).select("dataset_key").limit(5).collect()
-        if bad:
-            raise ValueError(f"no direct registered name for {[r[0] for r in bad]}")
+        refused = refused | ~F.col("is_direct")
+    bad = joined.where(refused).select("dataset_key").limit(5).collect()
+    if bad:
+        raise ValueError(f"no {'direct ' if strict else ''}registered name for {[r[0] for r in bad]}")
     return joined

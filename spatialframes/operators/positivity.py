@@ -13,7 +13,7 @@ from spatialframes.functions.vectors import threshold_grid
 from spatialframes.session import settle
 
 TRUTH_KEY = ["dataset_name", "cell_type", "marker"]
-_SCORE_SLICES = 1 << 16
+_OCTAVE_SLICES = 1 << 10  # slices of an octave of scores
 
 
 # --- truth -------------------------------------------------------------------------------------------
@@ -54,14 +54,16 @@ def melt_scores(wide: DataFrame, meta: Sequence[str] = ("cell_index", "cell_type
 def positivity_lookup(wanted: DataFrame, truth: DataFrame) -> DataFrame:
     """``positive`` and ``valid`` for each (dataset, cell type, marker), lenient reading.
 
-    Row and column are each matched exactly and then ignoring case; the last spelling in name
-    order wins. A combination without an entry is invalid.
+    Row and column are each matched exactly and then ignoring case; the last spelling wins, in the
+    order of ``cell_type_pos`` and ``marker_pos`` where the truth has them, else of the names. A
+    combination without an entry is invalid.
     """
 
     def spelled(df: DataFrame, column: str) -> DataFrame:
-        names = truth.select("dataset_name", column).distinct()
+        place = f"{column}_pos" if f"{column}_pos" in truth.columns else column
+        names = truth.groupBy("dataset_name", column).agg(F.max(place).alias("_place"))
         exact = names.select("dataset_name", F.col(column), F.col(column).alias("_exact"))
-        lower = names.groupBy("dataset_name", F.lower(column).alias("_key")).agg(F.max(column).alias("_lower"))
+        lower = names.groupBy("dataset_name", F.lower(column).alias("_key")).agg(F.max_by(column, "_place").alias("_lower"))
         found = df.join(exact, ["dataset_name", column], "left").withColumn("_key", F.lower(column))
         found = found.join(lower, ["dataset_name", "_key"], "left")
         return found.withColumn(f"_{column}", F.coalesce("_exact", "_lower")).drop("_exact", "_lower", "_key")
@@ -138,13 +140,25 @@ def marker_summary(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return _reduce(counts, by).drop("tp", "fp", "fn", "tn")
 
 
+def _octave_slice(score: Column) -> Column:
+    """A number that never falls as the score rises."""
+    size = F.abs(score)
+    octave = F.floor(F.log2(size))
+    inside = F.floor((size / F.pow(F.lit(2.0), octave) - 1) * _OCTAVE_SLICES)
+    # octaves of doubles begin at -1074
+    place = F.when(size == float("inf"), 4096 * _OCTAVE_SLICES).otherwise((octave + 1100) * _OCTAVE_SLICES + inside)
+    return F.when(size == 0, F.lit(0)).otherwise(place * F.signum(score)).cast("long")
+
+
 def marker_auroc(scores: DataFrame) -> DataFrame:
     """Area under the ROC curve per marker with both classes, from counts of distinct scores.
 
-    Scores are probabilities, so they are cut into 65,536 slices of [0, 1]: slice totals give the
-    negatives below a slice, and only the distinct scores of one slice are ordered together.
+    Every octave of scores is cut into equal slices, whatever the range of the scores: slice totals
+    give the negatives below a slice, and only the distinct scores of one slice are ordered together.
+    A NaN score is never positive, so it ranks below all others; a row without a score is left out.
     """
-    slices = F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * (_SCORE_SLICES - 1))
+    scores = scores.withColumn("score", F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score")))
+    slices = _octave_slice(F.col("score"))
     by_score = scores.groupBy("marker", slices.alias("_slice"), "score").agg(
         F.count_if(F.col("target") == 1).alias("pos"), F.count_if(F.col("target") != 1).alias("neg")
     )

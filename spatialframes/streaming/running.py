@@ -13,22 +13,28 @@ from spatialframes.operators.scoring import iqr_fences
 from spatialframes.session import fresh_path
 
 
-def run_available(stream: DataFrame, mode: str) -> DataFrame:
+def run_available(stream: DataFrame, mode: str, out: str | None = None, log: str | None = None) -> DataFrame:
     """Process what has arrived and return the result table.
 
-    ``append`` writes finished rows as they come; ``complete`` keeps the last full result, whose
-    size is that of the state. Offsets, state and output live in the shared folder, so a restarted
-    driver goes on where the last one stopped.
+    ``append`` writes finished rows as they come; ``complete`` writes the full result of every batch
+    beside the last one, which stands until the new one is whole, and returns the newest. ``out``
+    holds the result, ``log`` offsets and state: a driver that is started again with the same folders
+    goes on where the last one stopped. Without them both are new folders in the shared folder.
     """
     spark = stream.sparkSession
-    out, log = fresh_path(spark, "stream"), fresh_path(spark, "stream-log")
+    out, log = out or fresh_path(spark, "stream"), log or fresh_path(spark, "stream-log")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True)
     if mode == "append":
         writer = writer.format("parquet").option("path", out)
     else:
-        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+        # a batch that is repeated after a failure writes its own folder again
+        writer = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch-{number}"))
     writer.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(out)
+    newest = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{out}/batch-*")
+    number = newest.agg(F.max(F.regexp_extract("path", "batch-([0-9]+)", 1).cast("long"))).first()[0]
+    return spark.read.schema(stream.schema).parquet(f"{out}/batch-{number}")
 
 
 def running_confusion(pairs: DataFrame) -> DataFrame:

@@ -98,3 +98,55 @@ def test_draws_over_thirty_orders_of_magnitude(spark):
     drawn = {r["id"] for r in sampling.weighted_draw(df, "w", 1000, ["id"]).collect()}
     assert sampling.weighted_draw(df, "w", 1000, ["id"]).count() == 1000 and drawn <= set(range(31))
     assert sampling.weighted_draw(df.where("id > 90"), "w", 10, ["id"]).count() == 10 - 10
+
+
+def test_auroc_of_any_range(spark):
+    from spatialframes.operators.positivity import marker_auroc
+
+    values = [-1e300, -5.0, -1e-9, 0.0, 1e-300, 1e-12, 1.1e-12, 0.3, 0.3, 7.0, 1e20, float("inf")]
+    rows = [(m, v, (i * k) % 3 == 1) for m, k in (("a", 1), ("b", 2), ("c", 5)) for i, v in enumerate(values)]
+    rows += [("a", float("nan"), True), ("b", float("nan"), False)]
+    df = spark.createDataFrame([(m, v, int(t)) for m, v, t in rows], "marker string, score double, target int")
+    got = {r.marker: r.auroc for r in marker_auroc(df).collect()}
+    rank = lambda v: -math.inf if math.isnan(v) else v
+    for marker in "abc":
+        pos = [rank(v) for m, v, t in rows if m == marker and t]
+        neg = [rank(v) for m, v, t in rows if m == marker and not t]
+        wins = sum((p > n) + (p == n) / 2 for p in pos for n in neg)
+        assert got[marker] == pytest.approx(wins / len(pos) / len(neg))
+
+
+def test_last_spelling_in_list_order(spark):
+    from spatialframes.operators.positivity import positivity_lookup
+
+    truth = spark.createDataFrame(
+        [("d", "T", "CD3", "0", 0, 1), ("d", "T", "Cd3", "1", 0, 0)], "dataset_name string, cell_type string, marker string, value string, cell_type_pos int, marker_pos int"
+    )
+    wanted = spark.createDataFrame([("d", "T", "cd3")], "dataset_name string, cell_type string, marker string")
+    by_place = positivity_lookup(wanted, truth).first()
+    by_name = positivity_lookup(wanted, truth.drop("cell_type_pos", "marker_pos")).first()
+    assert (by_place["positive"], by_name["positive"]) == (0, 1)
+
+
+def test_unknown_dataset_is_refused(spark):
+    from spatialframes.operators import annotations
+
+    df = spark.createDataFrame([("nowhere",)], "dataset_key string")
+    with pytest.raises(ValueError, match="nowhere"):
+        annotations.canonical_metadata(df, annotations.dataset_canonical(spark))
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    from spatialframes.streaming import running
+
+    source, out, log = (str(tmp_path / x) for x in ("source", "out", "log"))
+    part = lambda *rows: spark.createDataFrame(rows, "actual string, pred string").coalesce(1).write.mode("append").parquet(source)
+    run = lambda: {
+        (r.actual, r.pred): r.n
+        for r in running.run_available(running.running_confusion(spark.readStream.schema("actual string, pred string").parquet(source)), "complete", out, log).collect()
+    }
+    part(("a", "a"), ("a", "b"))
+    assert run() == {("a", "a"): 1, ("a", "b"): 1}
+    part(("a", "b"))
+    assert run() == {("a", "a"): 1, ("a", "b"): 2}
+    assert run() == {("a", "a"): 1, ("a", "b"): 2}
