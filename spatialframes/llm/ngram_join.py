@@ -1,17 +1,18 @@
 """N-gram Jaccard join by signature trees; its result is complete.
 
-A document's set holds the hashes of its word n-grams. Equal sets are one *node* of the work below.
+A document's set holds the hashes of its word n-grams. Equal sets are one *node* of the work below;
+it is named by 63 bits of the set's digest.
 
 1. **Order.** A fixed-size table of counters, summed over all documents, tells frequent n-grams from
    rare ones. N-grams are ordered by its level, then by hash. The result does not depend on the order.
-2. **Blocks.** Two sets that are alike share an n-gram among the first ``n - ceil(limit * n) + 1`` of
-   either in that order. Only these are shuffled, one row each. An n-gram of a single node, or of
+2. **Blocks.** Two sets that are alike share ``k`` n-grams among the first ``n - ceil(limit * n) + k``
+   of either in that order (``SHARED``). Only these are shuffled, one row each. An n-gram of a single node, or of
    nodes whose sizes rule each other out, is dropped. The smallest node of a block is its hub.
 3. **Groups.** A node joins the group of the hub it shares most blocks with, so near copies meet once
    and not once for each n-gram that they share. A group is joined by a signature tree (see
    ``signature_tree``); a large one is cut into chunks, every two of which meet in a task of their own.
-4. **Rest.** A block whose nodes are linked by now, or all of one group, is done. The others are joined
-   block by block with trees over the bitmaps alone; the few pairs that these cannot rule out are then
+4. **Rest.** A block whose nodes are linked by now, or all of one group, is done, and so is a node that
+   is in fewer than ``k`` of the blocks left. What remains is joined block by block with trees over the bitmaps alone; the few pairs that these cannot rule out are then
    compared by their sets.
 5. **Components** of all links, by alternating stars: linear in the links, a few rounds.
 
@@ -31,9 +32,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_intdigest
 
 from spatialframes.llm import signature_tree as tree
 from spatialframes.llm.common import combined, read, signed, slices, word_hashes
@@ -42,6 +43,7 @@ from spatialframes.session import settle
 SKETCH_BITS = 20
 FILTER_BITS = 22
 CHUNK_TOKENS = 1 << 20
+SHARED = 4  # blocks that a pair must share, where its sets are large enough
 _FEW = 12  # nodes of a block that are compared without a tree
 _PART = 1 << 12  # counters to a row while they are summed up
 
@@ -52,18 +54,29 @@ def ngrams(text: str | None, n: int) -> np.ndarray:
     return np.unique(combined(words, n))
 
 
-def levels(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """How frequent the n-grams of each counter are: 0, or the binary logarithm of their number."""
+def _node(own: np.ndarray) -> int:
+    return xxh3_64_intdigest(own.tobytes()) >> 1
+
+
+def count(docs: DataFrame, text: str, n: int) -> tuple[DataFrame, np.ndarray]:
+    """``doc_id, size, node`` of every document, and how frequent the n-grams of each counter are: 0,
+    or the binary logarithm of their number."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, any_rows = np.zeros(1 << SKETCH_BITS, np.uint32), False
-        for batch in slices(batches, text):
-            own = np.concatenate([ngrams(t, n) for t in batch.column(text).to_pylist()])
-            counts += np.bincount((own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-            any_rows = True
-        if any_rows:
-            parts = counts.reshape(-1, _PART)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counts"])
+        counts, ids = np.zeros(1 << SKETCH_BITS, np.uint32), None
+        names = ["doc_id", "size", "node", "part", "counts"]
+        for batch in slices(batches, "__text"):
+            sets = [ngrams(t, n) for t in batch.column("__text").to_pylist()]
+            places = (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+            counts += np.bincount(places, minlength=len(counts)).astype(np.uint32)
+            ids = batch.column("doc_id")
+            none = [pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(map(len, sets), pa.int64()), pa.array(map(_node, sets), pa.int64()), *none], names=names)
+        if ids is not None:
+            parts = [c.tobytes() for c in counts.reshape(-1, _PART)]
+            none = [pa.nulls(len(parts), t) for t in (ids.type, pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -73,51 +86,57 @@ def levels(docs: DataFrame, text: str, n: int) -> np.ndarray:
         rows = {p: np.where(s > 0, np.log2(np.maximum(s, 1)), 0).astype(np.uint8).tobytes() for p, s in sums.items()}
         yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array(list(rows.values()), pa.binary())], names=["part", "levels"])
 
-    parts = docs.select(text).mapInArrow(run, "part int, counts binary")
+    rows = docs.select("doc_id", F.col(text).alias("__text"))
+    both = settle(rows.mapInArrow(run, f"doc_id {kind}, size long, node long, part int, counts binary"))
+    parts = both.where("part is not null").select("part", "counts")
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in parts.repartition("part").mapInArrow(add, "part int, levels binary").collect():  # a byte per counter in all
         out[r["part"] * _PART : (r["part"] + 1) * _PART] = np.frombuffer(r["levels"], np.uint8)
     # what a counter holds by chance is no sign of a frequent n-gram
     usual = int(np.median(out)) + 2
-    return np.where(out >= usual, out, 0).astype(np.uint8)
+    return both.where("part is null").select("doc_id", "size", "node"), np.where(out >= usual, out, 0).astype(np.uint8)
+
+
+def shared_least(size: int, percent: int) -> int:
+    """Blocks that a pair of this size must share."""
+    return min(SHARED, -(-percent * size // 100))
 
 
 def prefix_size(size: int, percent: int) -> int:
-    return size - -(-percent * size // 100) + 1
+    """Two sets of this size that are alike share ``shared_least`` n-grams among so many of either."""
+    return size - -(-percent * size // 100) + shared_least(size, percent)
 
 
-def prepare(docs: DataFrame, text: str, n: int, percent: int, level: np.ndarray) -> DataFrame:
-    """``doc_id, size, key, prefix, bits`` of every document."""
+def prefixes(docs: DataFrame, text: str, n: int, percent: int, level: np.ndarray) -> DataFrame:
+    """``token, size, node``: the first n-grams of every set. A task gives the rows of a set once."""
     shared = docs.sparkSession.sparkContext.broadcast(level.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(shared.value, np.uint8)
-        for batch in slices(batches, "__text"):
-            sizes, keys, prefixes, bits = [], [], [], []
-            for t in batch.column("__text").to_pylist():
+        known, seen = np.frombuffer(shared.value, np.uint8), set()
+        for batch in slices(batches, text):
+            tokens, sizes, nodes = [np.zeros(0, np.uint64)], [], []
+            for t in batch.column(text).to_pylist():
                 own = ngrams(t, n)
-                first = own[:0]
-                if len(own):
-                    rank = known[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    first = own[np.argsort(rank, kind="stable")[: prefix_size(len(own), percent)]]
+                node = _node(own)
+                if not len(own) or node in seen:
+                    continue
+                seen.add(node)
+                rank = known[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                tokens.append(own[np.argsort(rank, kind="stable")[: prefix_size(len(own), percent)]])
                 sizes.append(len(own))
-                keys.append(xxh3_128_digest(own.tobytes()))
-                prefixes.append(first)
-                bits.append(tree.bitmap(own, tree.width(len(own), 2)).tobytes())
-            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-            flat = signed(np.concatenate([*prefixes, np.zeros(0, np.uint64)]))
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, flat), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "key", "prefix", "bits"])
+                nodes.append(node)
+            reps = list(map(len, tokens[1:]))
+            columns = [signed(np.concatenate(tokens)), np.repeat(np.array(sizes, np.int64), reps), np.repeat(np.array(nodes, np.int64), reps)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "size", "node"])
 
-    rows = docs.select("doc_id", F.col(text).alias("__text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, size long, key binary, prefix array<long>, bits binary")
+    return docs.select(text).mapInArrow(run, "token long, size long, node long")
 
 
-def blocks(nodes: DataFrame, percent: int) -> DataFrame:
+def blocks(rows: DataFrame, percent: int) -> DataFrame:
     """``token, node, size, hub``: the rows of blocks in which a node has another of fitting size.
 
-    Rows come by token and size; a row is compared with its neighbours, so no block is held.
+    ``rows`` has ``token, size, node``. They come by token and size; a row is compared with its
+    neighbours, so no block is held. Rows of equal sets from several tasks become one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,6 +144,11 @@ def blocks(nodes: DataFrame, percent: int) -> DataFrame:
         hub = (None, 0, 0)
         for batch in batches:
             token, size, node = (batch.column(c).to_numpy() for c in ("token", "size", "node"))
+            fresh = np.ones(len(token), bool)
+            fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+            if held is not None and len(token):
+                fresh[0] = held[0] != token[0] or held[2] != node[0]
+            token, size, node = token[fresh], size[fresh], node[fresh]
             if not len(token):
                 continue
             fits = np.zeros(len(token) + 1, bool)
@@ -141,7 +165,6 @@ def blocks(nodes: DataFrame, percent: int) -> DataFrame:
         if held is not None and held[3]:
             yield _with_hubs([held[:3]], hub, percent)[0]
 
-    rows = nodes.select(F.explode("prefix").alias("token"), "size", "node")
     return rows.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(run, "token long, node long, size long, hub long")
 
 
@@ -156,7 +179,7 @@ def _with_hubs(rows: list[tuple], hub: tuple, percent: int) -> tuple[pa.RecordBa
 
 
 def sets_of(docs: DataFrame, text: str, n: int, wanted: DataFrame) -> DataFrame:
-    """``node, tokens`` of the nodes of ``wanted`` (``node, key, doc``), read from the texts again.
+    """``node, tokens, bits`` of the nodes of ``wanted`` (``node, doc``), read from the texts again.
 
     Documents are first told by a bitmap of fixed size over the ids wanted, then exactly by a join.
     """
@@ -176,13 +199,13 @@ def sets_of(docs: DataFrame, text: str, n: int, wanted: DataFrame) -> DataFrame:
             own = [ngrams(batch.column("__text")[int(i)].as_py(), n) for i in chosen]
             ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
             flat = signed(np.concatenate([*own, np.zeros(0, np.uint64)]))
-            keys = pa.array([xxh3_128_digest(s.tobytes()) for s in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(ends, flat)], names=["key", "tokens"])
+            bits = pa.array([tree.bitmap(s, tree.width(len(s), 1)).tobytes() for s in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(map(_node, own), pa.int64()), pa.ListArray.from_arrays(ends, flat), bits], names=["node", "tokens", "bits"])
 
     rows = docs.withColumn("doc", F.col("doc_id")).select(code.alias("__code"), F.col(text).alias("__text"))
-    found = rows.mapInArrow(run, "key binary, tokens array<long>").join(wanted.select("node", "key"), "key")
+    found = rows.mapInArrow(run, "node long, tokens array<long>, bits binary").join(wanted.select("node"), "node", "left_semi")
     # copies of a set come with the same id only where rows repeat
-    return found.groupBy("node").agg(F.any_value("tokens").alias("tokens"))
+    return found.groupBy("node").agg(F.any_value("tokens").alias("tokens"), F.any_value("bits").alias("bits"))
 
 
 def join_groups(groups: DataFrame, sets: DataFrame, percent: int, chunk_tokens: int) -> DataFrame:
@@ -332,15 +355,14 @@ def components(links: DataFrame) -> DataFrame:
 def link(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row; ``percent`` is the least Jaccard similarity.
 
-    ``docs`` is read three or four times.
+    ``docs`` is read four times.
     """
     docs = docs.select("doc_id", text)
-    prepared = settle(prepare(docs, text, n, percent, levels(docs, text, n)))
-    nodes = prepared.where("size > 0").groupBy("key").agg(
-        F.min("doc_id").alias("doc"), F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits")
-    )
-    nodes = settle(nodes.withColumn("node", F.monotonically_increasing_id()))
-    rows = settle(blocks(nodes, percent))
+    members, level = count(docs, text, n)
+    nodes = members.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.any_value("size").alias("size"))
+    nodes = settle(nodes)
+    wanted = nodes.select("node", "doc")
+    rows = settle(blocks(prefixes(docs, text, n, percent, level), percent))
 
     shared = rows.where("node <> hub").groupBy("node", "hub", "size").agg(F.count("*").alias("c"))
     best = shared.groupBy("node", "size").agg(F.max(F.struct(F.col("c"), -F.col("hub"))).alias("b"))
@@ -350,34 +372,42 @@ def link(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80, chu
     best = settle(best.where(F.col("c") * 10 >= prefix).drop("c"))
     hubs = best.select(F.col("hub").alias("node")).distinct().join(nodes.select("node", "size"), "node")
     groups = settle(best.unionByName(hubs.select(F.col("node").alias("hub"), "node", "size")))
-    wanted = nodes.select("node", "key", "doc")
-    sets = settle(sets_of(docs, text, n, wanted.join(groups.select("node").distinct(), "node", "left_semi")))
+    sets = settle(sets_of(docs, text, n, wanted.join(groups.select("node").distinct(), "node", "left_semi")).drop("bits"))
     links = settle(join_groups(groups, sets, percent, chunk_tokens))
     found = components(links)
 
-    grouped = best.select("node", F.col("hub").alias("grp"))
-    own = rows.select("token", "node", "size").join(found, "node", "left").join(grouped, "node", "left")
     # a hub belongs to its own group unless it has joined another
-    own = own.select("token", "node", "size", F.coalesce("comp", "node").alias("comp"), F.coalesce("grp", "node").alias("grp"))
-    own = settle(own)
-    open_ = own.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("grp").alias("g0"), F.max("grp").alias("g1"))
-    open_ = open_.where("c0 < c1 and g0 < g1").select("token")
-    left = own.join(open_, "token").join(nodes.select("node", "bits"), "node")
-    more = settle(rest_pairs(left, percent, max(64, chunk_tokens // 256)))
-    if not more.isEmpty():
+    labels = found.join(best.select("node", F.col("hub").alias("grp")), "node", "full")
+    own = rows.select("token", "node", "size").join(labels, "node", "left")
+    left = own.select("token", "node", "size", F.coalesce("comp", "node").alias("comp"), F.coalesce("grp", "node").alias("grp"))
+    # a pair that is not linked yet shares several open blocks: nodes with fewer are done, and with
+    # them blocks that have no other nodes
+    needed = F.least(F.lit(SHARED), F.ceil(F.ceil(F.col("size") * percent / 100) * percent / 100))
+    for _ in range(2):
+        left = settle(_open(left))
+        left = left.withColumn("c", F.count("*").over(Window.partitionBy("node"))).where(F.col("c") >= needed).drop("c")
+    left = settle(_open(left))
+    if not left.isEmpty():
+        sets = settle(sets_of(docs, text, n, wanted.join(left.select("node").distinct(), "node", "left_semi")))
+        more = settle(rest_pairs(left.join(sets.select("node", "bits"), "node"), percent, max(64, chunk_tokens // 256)))
         stars = more.select(F.col("a").alias("hub"), F.col("b").alias("node")).unionByName(more.select(F.col("a").alias("hub"), F.col("a").alias("node")).distinct())
         stars = settle(stars.join(nodes.select("node", "size"), "node").select("hub", "node", "size"))
-        again = settle(sets_of(docs, text, n, wanted.join(stars.select("node").distinct(), "node", "left_semi")))
-        links = links.unionByName(join_groups(stars, again, percent, chunk_tokens))
+        links = links.unionByName(join_groups(stars, sets.drop("bits"), percent, chunk_tokens))
         found = components(links)
 
-    named = nodes.select("key", "node", "doc").join(found, "node", "left").select("key", "doc", F.coalesce("comp", "node").alias("comp"))
+    named = nodes.select("node", "doc").join(found, "node", "left").select("node", "doc", F.coalesce("comp", "node").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    named = settle(named.join(smallest, "comp").select("key", "component_id"))
-    members = prepared.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("key")).alias("key"))
-    out = members.join(named, "key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+    named = settle(named.join(smallest, "comp").select("node", "component_id"))
+    members = members.withColumn("node", F.when(F.col("size") > 0, F.col("node")))
+    out = members.join(named, "node", "left")
+    component = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows of blocks that have nodes of several components and of several groups."""
+    sums = rows.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("grp").alias("g0"), F.max("grp").alias("g1"))
+    return rows.join(sums.where("c0 < c1 and g0 < g1").select("token"), "token")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
