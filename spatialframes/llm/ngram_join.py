@@ -199,7 +199,7 @@ def sets_of(docs: DataFrame, text: str, n: int, wanted: DataFrame) -> DataFrame:
             own = [ngrams(batch.column("__text")[int(i)].as_py(), n) for i in chosen]
             ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
             flat = signed(np.concatenate([*own, np.zeros(0, np.uint64)]))
-            bits = pa.array([tree.bitmap(s, tree.width(len(s), 1)).tobytes() for s in own], pa.binary())
+            bits = pa.array([tree.bitmap(s, min(tree.width(len(s), 4), 512)).tobytes() for s in own], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(map(_node, own), pa.int64()), pa.ListArray.from_arrays(ends, flat), bits], names=["node", "tokens", "bits"])
 
     rows = docs.withColumn("doc", F.col("doc_id")).select(code.alias("__code"), F.col(text).alias("__text"))
@@ -372,7 +372,8 @@ def link(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80, chu
     best = settle(best.where(F.col("c") * 10 >= prefix).drop("c"))
     hubs = best.select(F.col("hub").alias("node")).distinct().join(nodes.select("node", "size"), "node")
     groups = settle(best.unionByName(hubs.select(F.col("node").alias("hub"), "node", "size")))
-    sets = settle(sets_of(docs, text, n, wanted.join(groups.select("node").distinct(), "node", "left_semi")).drop("bits"))
+    sets = sets_of(docs, text, n, wanted.join(groups.select("node").distinct(), "node", "left_semi")).drop("bits")
+    # the sets come grouped by node, as the join with them needs them
     links = settle(join_groups(groups, sets, percent, chunk_tokens))
     found = components(links)
 
