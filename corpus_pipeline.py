@@ -33,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the runs of lines that an earlier document has; what is a repeat as a whole goes."""
-    done = winnow.dedup(docs)
+    done = winnow.dedup(docs, extend=True)
     done = done.where((F.col("n_deleted") == 0) | (word_count(F.col("text")) > 0))
     chars = F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", chars).select(docs.columns)

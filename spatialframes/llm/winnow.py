@@ -1,15 +1,19 @@
 """Line dedup by winnowing: later copies of runs of lines are deleted.
 
 A *window* is the shortest run of lines from a given line on that has ``least_lines`` lines or
-``least_words`` words; lines without a word are not counted and not deleted. Where two documents
-share a run that holds a window, they share that window, because a window follows from its own lines.
+``least_words`` words; lines without a word are not counted and not deleted. A *closing* window is
+the shortest such run up to a given line. Where two documents share a run that holds a window, they
+share that window, because a window follows from its own lines.
 
 1. Of every window the smallest line hash is selected: a guaranteed fingerprint of each shared run.
 2. The positions of a fingerprint are joined: fingerprints with one position only are left out.
-3. From the positions that stay, matches are extended to both sides: every window that the
-   fingerprint was selected from is compared with the earliest equal window. Windows that equal an
-   earlier one overlap along a run, so their union is the whole repeated run, however long it is and
-   whichever earlier documents its parts come from.
+3. From the positions that stay, matches are extended to both sides (``extend``): every window and
+   closing window that the fingerprint was selected from is compared with the earliest equal one. In
+   a shared run of that size every line up to the start of the run's last closing window starts a
+   window inside the run, and that closing window holds the others. So the union of what equals an
+   earlier window is every maximal repeated run, however long it is and whichever earlier documents
+   its parts come from. Without ``extend`` closing windows are left out: lines at the end of a run
+   that are too few for a window of their own stay.
 4. The lines of that union are deleted. Each has an equal line in an earlier document or further up.
 
 Comparing with the earliest window instead of all pairs keeps every stage linear in the lines, also
@@ -37,8 +41,11 @@ from spatialframes.session import settle
 RESULTS = ("n_lines", "n_deleted")
 
 
-def windows(text: str, least_lines: int, least_words: int) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Of each window: the first and last line, its smallest line hash, and its hash."""
+def windows(text: str, least_lines: int, least_words: int, extend: bool = False) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Of each window: the first and last line, its smallest line hash, and its hash.
+
+    With ``extend`` also of each closing window that is not a window.
+    """
     places, sizes, hashes = [], [], []
     for i, line in enumerate(text.encode().split(b"\n")):
         words = line.split()
@@ -48,14 +55,25 @@ def windows(text: str, least_lines: int, least_words: int) -> tuple[list[int], l
             hashes.append(xxh3_64_intdigest(b" ".join(words)))
     first, last, least, whole = [], [], [], []
     sums = [0, *np.cumsum(sizes).tolist()]
+    spans = []
     end = 0
-    packed = np.array(hashes, np.uint64).tobytes()
     for start in range(len(places)):
         end = max(end, start)
         while end < len(places) and end - start < least_lines and sums[end] - sums[start] < least_words:
             end += 1
         if end - start < least_lines and sums[end] - sums[start] < least_words:
             break
+        spans.append((start, end))
+    if extend and spans:
+        known = set(spans)
+        start = 0
+        for end in range(spans[0][1], len(places) + 1):
+            while end - start - 1 >= least_lines or sums[end] - sums[start + 1] >= least_words:
+                start += 1
+            if (start, end) not in known:
+                spans.append((start, end))
+    packed = np.array(hashes, np.uint64).tobytes()
+    for start, end in spans:
         first.append(places[start])
         last.append(places[end - 1])
         least.append(min(hashes[start:end]))
@@ -67,12 +85,12 @@ def _key(text: str):
     return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
-def find_windows(docs: DataFrame, text: str, least_lines: int, least_words: int) -> DataFrame:
+def find_windows(docs: DataFrame, text: str, least_lines: int, least_words: int, extend: bool = False) -> DataFrame:
     """``key, doc_id, first, last, least, whole``: one row per document, lists with a place per window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
-            found = [windows(t or "", least_lines, least_words) for t in batch.column("__text").to_pylist()]
+            found = [windows(t or "", least_lines, least_words, extend) for t in batch.column("__text").to_pylist()]
             ends = np.cumsum([0] + [len(f[0]) for f in found]).astype(np.int32)
             flat = [[x for f in found for x in f[i]] for i in range(4)]
             lists = [pa.array(flat[0], pa.int32()), pa.array(flat[1], pa.int32())]
@@ -84,9 +102,9 @@ def find_windows(docs: DataFrame, text: str, least_lines: int, least_words: int)
     return rows.mapInArrow(run, "key string, doc_id string, first array<int>, last array<int>, least array<long>, whole array<long>")
 
 
-def repeated_lines(docs: DataFrame, text: str = "text", least_lines: int = 3, least_words: int = 50) -> DataFrame:
+def repeated_lines(docs: DataFrame, text: str = "text", least_lines: int = 3, least_words: int = 50, extend: bool = False) -> DataFrame:
     """``key, first, last``: the stretches of lines that repeat an earlier window."""
-    found = settle(find_windows(docs, text, least_lines, least_words).dropDuplicates(["key"]))
+    found = settle(find_windows(docs, text, least_lines, least_words, extend).dropDuplicates(["key"]))
     # numbers order by value, other ids as strings
     order = F.struct(
         F.col("doc_id").isNull().alias("none"), F.try_to_number(F.col("doc_id"), F.lit("S9999999999999999999")).alias("number"),
@@ -103,9 +121,9 @@ def repeated_lines(docs: DataFrame, text: str = "text", least_lines: int = 3, le
     return later.select("key", F.col("place.line").alias("first"), "last")
 
 
-def dedup(docs: DataFrame, text: str = "text", least_lines: int = 3, least_words: int = 50) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", least_lines: int = 3, least_words: int = 50, extend: bool = False) -> DataFrame:
     """The rows with later repeated runs deleted from their texts, ``n_lines`` and ``n_deleted``."""
-    spans = repeated_lines(docs, text, least_lines, least_words).groupBy("key")
+    spans = repeated_lines(docs, text, least_lines, least_words, extend).groupBy("key")
     # at most a stretch per line of a document
     spans = spans.agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("__spans")).withColumnRenamed("key", "__key")
     kept = [c for c in docs.columns if c.lower() not in RESULTS]
@@ -134,4 +152,4 @@ def dedup(docs: DataFrame, text: str = "text", least_lines: int = 3, least_words
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    return dedup(read(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "text", *RESULTS)
+    return dedup(read(spark, sf_dir, "documents", "doc_id", "text"), extend=True).select("doc_id", "text", *RESULTS)
