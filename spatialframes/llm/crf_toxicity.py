@@ -9,7 +9,8 @@ at least ``lean``.
 ending, and for the four transitions. It is fitted to the likelihood of the token labels in short
 stretches round toxic tokens and in stretches of clean documents. The fit sees at most ``most_docs``
 labelled documents of either kind, chosen by the digest of their id, and stretches of ``STRETCH``
-tokens, ``PER_DOC`` a document at most; its size does not depend on the corpus.
+tokens, ``PER_DOC`` a document at most; its size does not depend on the corpus. A shorter text is a
+stretch as a whole, drawn as often; what it lacks is masked in the messages and the gradient.
 
 **Scoring.** Forward-backward gives every token of a whole text its probability of the toxic state.
 With two states the messages are ratios, one number each, and all texts of a batch are advanced
@@ -133,13 +134,16 @@ class Model:
         return 1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * np.log1p(amounts(probabilities, lengths)))))
 
 
-def _fit_chain(rows: np.ndarray, mask: np.ndarray, goal: np.ndarray, n_features: int, rounds: int, decay: float):
-    """Weights and transitions by gradient steps on stretches of equal length.
+def _fit_chain(rows: np.ndarray, mask: np.ndarray, goal: np.ndarray, n_features: int, rounds: int, decay: float, sizes: np.ndarray):
+    """Weights and transitions by gradient steps on stretches of ``sizes`` tokens.
 
     ``rows`` has the feature numbers of each token of each stretch, ``mask`` is 0 where there is none.
+    What stands after the tokens of a stretch has no part in the likelihood.
     """
     weights, bias, moves = np.zeros(n_features), -2.0, np.zeros((2, 2))
     n, length, _ = rows.shape
+    real = np.arange(length) < sizes[:, None]
+    follows = real[:, 1:]
     state = [np.zeros(n_features), np.zeros(n_features), 0.0, 0.0, np.zeros((2, 2)), np.zeros((2, 2))]
     scale = 1.0 / max(1, n)
     for step in range(1, rounds + 1):
@@ -156,16 +160,17 @@ def _fit_chain(rows: np.ndarray, mask: np.ndarray, goal: np.ndarray, n_features:
         for t in range(length - 1, 0, -1):
             back[:, t - 1] = (both[:, t] * back[:, t]) @ move.T
             back[:, t - 1] /= back[:, t - 1].sum(1, keepdims=True)
+            back[~real[:, t], t - 1] = 1.0  # nothing follows
         token = ahead * back
         token = token[:, :, 1] / token.sum(2)
         pair = ahead[:, :-1, :, None] * move * (both[:, 1:] * back[:, 1:])[:, :, None, :]
         pair /= pair.sum((2, 3), keepdims=True)
         seen = np.zeros((2, 2))
-        np.add.at(seen, (goal[:, :-1].ravel(), goal[:, 1:].ravel()), 1)
-        error = token - goal
+        np.add.at(seen, (goal[:, :-1][follows], goal[:, 1:][follows]), 1)
+        error = (token - goal) * real
         g_weights = np.bincount(rows.ravel(), (error[:, :, None] * mask).ravel(), n_features) * scale + decay * weights
         g_bias = error.sum() * scale
-        g_moves = (pair.sum((0, 1)) - seen) * scale
+        g_moves = (pair[follows].sum(0) - seen) * scale
         rate = 0.3 / (1 + step / rounds)
         fresh = []
         for i, (value, slope) in enumerate(((weights, g_weights), (bias, g_bias), (moves, g_moves))):
@@ -206,9 +211,8 @@ def fit(toxic: list[str], clean: list[str], lean: float = 3.5, rounds: int = 60)
             for c in centres:
                 start = max(0, min(c - STRETCH // 2, len(doc) - STRETCH))
                 part, mark = doc[start : start + STRETCH], marks[start : start + STRETCH]
-                if len(part) == STRETCH:
-                    stretches.append(part)
-                    goals.append(mark)
+                stretches.append(part)
+                goals.append(mark + [False] * (STRETCH - len(part)))
     if not stretches:
         return None
     seen = Counter(f for part in stretches for w in part for f in features(w))
@@ -218,7 +222,8 @@ def fit(toxic: list[str], clean: list[str], lean: float = 3.5, rounds: int = 60)
         for t, word in enumerate(part):
             own = [number[f] for f in features(word) if f in number]
             rows[i, t, : len(own)] = own
-    weights, bias, move = _fit_chain(rows, rows > 0, np.array(goals, np.int64), len(number) + 1, rounds, 1e-4)
+    sizes = np.array(list(map(len, stretches)), np.int64)
+    weights, bias, move = _fit_chain(rows, rows > 0, np.array(goals, np.int64), len(number) + 1, rounds, 1e-4, sizes)
     model = Model({f: float(weights[i]) for f, i in number.items() if abs(weights[i]) > 1e-3}, bias, move, (0.0, 1.0))
     found, lengths = model.tokens([d for docs in words for d in docs], {})
     model.curve = _fit_curve(amounts(found, lengths), np.repeat([1.0, 0.0], [len(toxic), len(clean)]))

@@ -58,6 +58,38 @@ def test_fit_score_offsets(spark):
     assert crf.score(docs.limit(0), model).count() == 0
 
 
+def test_fit_on_short_texts():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(120)]
+
+    def short(n, toxic):
+        out = []
+        for _ in range(n):
+            own = [rng.choice(words) for _ in range(rng.randint(2, 19))]
+            own.insert(rng.randrange(len(own) + 1), rng.choice(["zzbad", "yywort"] if toxic else words))
+            out.append(" ".join(own))
+        return out
+
+    # all toxic labels stand on short texts; clean ones are short and long
+    model = crf.fit(short(200, True), short(100, False) + texts(rng, 100, False))
+    for docs, toxic in ((short(80, True), True), (short(80, False) + texts(rng, 40, False), False)):
+        split = [d.split() for d in docs]
+        found, lengths = model.tokens(split, {})
+        assert ((model.scores(found, lengths) >= 0.5) == toxic).all()
+        assert [w for w, p in zip((w for d in split for w in d), found, strict=True) if p >= 0.5] == [w for d in split for w in d if w in ("zzbad", "yywort")]
+
+
+def test_padding_has_no_part():
+    rng = np.random.default_rng(3)
+    rows, goal = rng.integers(0, 9, (40, 6, 8)), rng.integers(0, 2, (40, 6))
+    wide, more = rng.integers(0, 9, (40, 9, 8)), np.zeros((40, 9), np.int64)
+    wide[:, :6], more[:, :6] = rows, goal
+    one = crf._fit_chain(rows, rows > 0, goal, 9, 20, 1e-4, np.full(40, 6))
+    two = crf._fit_chain(wide, wide > 0, more, 9, 20, 1e-4, np.full(40, 6))
+    for a, b in zip(one, two, strict=True):
+        assert a == pytest.approx(b)
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 1)], "doc_id long, toxic int")
