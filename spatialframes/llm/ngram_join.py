@@ -16,6 +16,11 @@ it is named by 63 bits of the set's digest.
    compared by their sets.
 5. **Components** of all links, by alternating stars: linear in the links, a few rounds.
 
+With ``count_links`` the links are counted: nothing is left out for being connected already. Every two nodes
+of a group are compared that its tree cannot rule out, and a block is open unless it is all of one
+group. Links are as many as there are, so a group of near copies has a number of them that grows with
+its square. Without it only what connects is looked for.
+
 No stage holds a block, group or component whole: blocks and groups are read in chunks of
 ``CHUNK_TOKENS`` tokens, hubs are streamed. Broadcast are the counters' levels (one byte each) and a
 bitmap of ids of fixed size, which only spares work.
@@ -208,8 +213,11 @@ def sets_of(docs: DataFrame, text: str, n: int, wanted: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.any_value("tokens").alias("tokens"), F.any_value("bits").alias("bits"))
 
 
-def join_groups(groups: DataFrame, sets: DataFrame, percent: int, chunk_tokens: int) -> DataFrame:
-    """Links ``a, b`` that connect what is alike within each group of ``groups`` (``hub, node, size``)."""
+def join_groups(groups: DataFrame, sets: DataFrame, percent: int, chunk_tokens: int, want: str = "connected") -> DataFrame:
+    """Links ``a, b`` that connect what is alike within each group of ``groups`` (``hub, node, size``).
+
+    ``want`` "every": all links within a group; "hub": all links of its hub.
+    """
     sums = groups.groupBy("hub").agg(F.sum("size").alias("all"))
     sums = sums.select("hub", F.ceil(F.col("all") / chunk_tokens).cast("int").alias("chunks"))
     rows = groups.join(sums, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
@@ -217,27 +225,37 @@ def join_groups(groups: DataFrame, sets: DataFrame, percent: int, chunk_tokens:
     others = F.sequence(F.lit(0), F.col("chunks") - 1)
     every = F.flatten(F.transform(others, lambda i: F.transform(F.sequence(i, F.col("chunks") - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
     own = F.transform(others, lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
-    rows = rows.select("hub", "node", F.explode(F.when(F.col("hub") == F.col("node"), every).otherwise(own)).alias("t"))
-    rows = rows.join(sets, "node").select("hub", "t.i", "t.j", (F.col("node") != F.col("hub")).alias("other"), "node", "tokens")
+    if want == "hub":
+        every = F.transform(others, lambda k: F.struct(k.alias("i"), k.alias("j")))
+        own = F.array(F.struct(F.col("own").alias("i"), F.col("own").alias("j")))
+    rows = rows.select("hub", "node", "own", F.explode(F.when(F.col("hub") == F.col("node"), every).otherwise(own)).alias("t"))
+    rows = rows.join(sets, "node").select("hub", "t.i", "t.j", (F.col("node") != F.col("hub")).alias("other"), "node", "tokens", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sets_ = None, [], []
+        key, nodes, sets_, chunk = None, [], [], []
 
         def linked() -> pa.RecordBatch:
             hub = nodes.index(key[0]) if key and key[0] in nodes else None
-            found = tree.join(sets_, percent, hub) if len(nodes) > 1 else []
+            if want == "every":
+                # two nodes of one chunk meet where that chunk meets itself
+                found = tree.every(sets_, percent, np.array(chunk) if key[1] != key[2] else None)
+            elif want == "hub":
+                found = [(hub, i) for i, own in enumerate(sets_) if i != hub and tree.alike(sets_[hub], own, percent)]
+            else:
+                found = tree.join(sets_, percent, hub) if len(nodes) > 1 else []
             columns = [pa.array([nodes[p[i]] for p in found], pa.int64()) for i in (0, 1)]
             return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("hub", "i", "j")), strict=True))
-            ids, tokens = batch.column("node").to_pylist(), batch.column("tokens")
+            ids, tokens, owns = batch.column("node").to_pylist(), batch.column("tokens"), batch.column("own").to_pylist()
             for r, own in enumerate(keys):
                 if own != key:
                     if len(nodes) > 1:
                         yield linked()
-                    key, nodes, sets_ = own, [], []
+                    key, nodes, sets_, chunk = own, [], [], []
                 nodes.append(ids[r])
+                chunk.append(owns[r])
                 sets_.append(tokens[r].values.to_numpy().view(np.uint64))
         if len(nodes) > 1:
             yield linked()
@@ -352,10 +370,11 @@ def components(links: DataFrame) -> DataFrame:
         edges = small
 
 
-def link(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def link(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80, chunk_tokens: int = CHUNK_TOKENS, count_links: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row; ``percent`` is the least Jaccard similarity.
 
-    ``docs`` is read four times.
+    With ``count_links`` also ``n_links``, the number of other rows that the row is linked with, rows
+    of an equal set included. ``docs`` is read four times.
     """
     docs = docs.select("doc_id", text)
     members, level = count(docs, text, n)
@@ -374,14 +393,16 @@ def link(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80, chu
     groups = settle(best.unionByName(hubs.select(F.col("node").alias("hub"), "node", "size")))
     sets = sets_of(docs, text, n, wanted.join(groups.select("node").distinct(), "node", "left_semi")).drop("bits")
     # the sets come grouped by node, as the join with them needs them
-    links = settle(join_groups(groups, sets, percent, chunk_tokens))
+    links = settle(join_groups(groups, sets, percent, chunk_tokens, "every" if count_links else "connected"))
     found = components(links)
 
     # a hub belongs to its own group unless it has joined another
     labels = found.join(best.select("node", F.col("hub").alias("grp")), "node", "full")
     own = rows.select("token", "node", "size").join(labels, "node", "left")
     left = own.select("token", "node", "size", F.coalesce("comp", "node").alias("comp"), F.coalesce("grp", "node").alias("grp"))
-    # a pair that is not linked yet shares several open blocks: nodes with fewer are done, and with
+    if count_links:  # being connected is not being linked
+        left = left.withColumn("comp", F.col("node"))
+    # a pair that has not met yet shares several open blocks: nodes with fewer are done, and with
     # them blocks that have no other nodes
     needed = F.least(F.lit(SHARED), F.ceil(F.ceil(F.col("size") * percent / 100) * percent / 100))
     for _ in range(2):
@@ -393,7 +414,7 @@ def link(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80, chu
         more = settle(rest_pairs(left.join(sets.select("node", "bits"), "node"), percent, max(64, chunk_tokens // 256)))
         stars = more.select(F.col("a").alias("hub"), F.col("b").alias("node")).unionByName(more.select(F.col("a").alias("hub"), F.col("a").alias("node")).distinct())
         stars = settle(stars.join(nodes.select("node", "size"), "node").select("hub", "node", "size"))
-        links = links.unionByName(join_groups(stars, sets.drop("bits"), percent, chunk_tokens))
+        links = settle(links.unionByName(join_groups(stars, sets.drop("bits"), percent, chunk_tokens, "hub" if count_links else "connected")))
         found = components(links)
 
     named = nodes.select("node", "doc").join(found, "node", "left").select("node", "doc", F.coalesce("comp", "node").alias("comp"))
@@ -402,7 +423,15 @@ def link(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80, chu
     members = members.withColumn("node", F.when(F.col("size") > 0, F.col("node")))
     out = members.join(named, "node", "left")
     component = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))
+    result = [F.col("doc_id"), F.col("size").alias("n_shingles"), component.alias("component_id")]
+    if not count_links:
+        return out.select(result)
+    copies = settle(members.where("node is not null").groupBy("node").agg(F.count("*").alias("copies")))
+    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    ends = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("end")), F.struct(F.col("b").alias("node"), F.col("a").alias("end")))).alias("l")).select("l.*")
+    others = ends.join(copies.select(F.col("node").alias("end"), "copies"), "end").groupBy("node").agg(F.sum("copies").alias("others"))
+    counts = settle(copies.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+    return out.join(counts, "node", "left").select(*result, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -412,4 +441,4 @@ def _open(rows: DataFrame) -> DataFrame:
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return link(read(spark, sf_dir, "documents", "doc_id", "text"), n=4, percent=85)
+    return link(read(spark, sf_dir, "documents", "doc_id", "text"), n=4, percent=85, count_links=True)

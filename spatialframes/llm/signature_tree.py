@@ -6,7 +6,8 @@ pairs of nodes from the roots down and leaves a pair when no two sets below can
 * by size: the smaller size over the larger is below the limit;
 * by overlap: a set has at most as many tokens in common with a set below the other node as its bits
   in common with that node's bitmap, plus the tokens of it that share a bit;
-* by connection: all sets below both nodes are linked already, directly or through others.
+* by connection: all sets below both nodes are linked already, directly or through others
+  (:func:`every` goes without this rule and gives all links).
 
 What is left at the leaves is compared bit by bit, then token by token.
 """
@@ -164,3 +165,11 @@ def join(sets: list[np.ndarray], percent: int, hub: int | None = None, factor: i
         if alike(sets[i], sets[j], percent) and links.join(i, j):
             out.append((i, j))
     return out
+
+
+def every(sets: list[np.ndarray], percent: int, done: np.ndarray | None = None, factor: int = 8) -> list[tuple[int, int]]:
+    """All links between the sets, but those between sets of one label of ``done``."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    words = min(width(int(sizes.max()), factor), 512)
+    bits = np.stack([bitmap(s, words) for s in sets])
+    return [(i, j) for i, j in pairs(bits, sizes, percent, Links(len(sets)), done) if alike(sets[i], sets[j], percent)]

@@ -71,6 +71,18 @@ def test_components(spark, n, percent, chunk):
     assert sorted(got, key=str) == sorted(brute(docs, n, percent), key=str)
 
 
+@pytest.mark.parametrize("n,percent,chunk", [(4, 85, 1 << 20), (2, 60, 1500)])
+def test_number_of_links(spark, n, percent, chunk):
+    docs = corpus(random.Random(n + 10))
+    docs += [(900, None), (901, ""), (None, docs[0][1]), (903, "one two"), (904, "ONE\ttwo"), docs[3], docs[3]]
+    sets = [grams(t, n) for _, t in docs]
+    n_links = [sum(i != j and bool(a) and 100 * len(a & b) >= percent * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    want = [(*r, k) for r, k in zip(brute(docs, n, percent), n_links, strict=True)]
+    # in components of three texts and more, not every two are linked
+    assert max(n_links) > 10
+    assert sorted(run(spark, docs, n=n, percent=percent, chunk_tokens=chunk, count_links=True), key=str) == sorted(want, key=str)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None)]) == [(1, 0, 1)]
