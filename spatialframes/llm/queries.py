@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from spatialframes.llm import chat, crf_toxicity, line_frequency, media, mixing, ngram_join, packing, pii, site_quality, winnow
+from spatialframes.llm import (
+    chat,
+    chunk_dedup,
+    crf_toxicity,
+    line_frequency,
+    media,
+    merkle,
+    mixing,
+    ngram_join,
+    packing,
+    pii,
+    site_quality,
+    vantage_clusters,
+    winnow,
+)
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1,
@@ -15,10 +29,16 @@ QUERIES = {
     "op8_packing": packing.op8,
     "op9_chat_format": chat.op9,
     "op10_personal_data": pii.op10,
+    "op11_chunk_dedup": chunk_dedup.op11,
+    "op12_vantage_clusters": vantage_clusters.op12,
+    "op13_merkle_manifest": merkle.op13,
 }
 
 ORACLES = {
     "op2_mixing": mixing.OP2_SQL,
     "op3_line_frequency": line_frequency.OP3_SQL,
     "op9_chat_format": chat.OP9_SQL,
+    "op11_chunk_dedup": chunk_dedup.OP11_SQL,
+    "op12_vantage_clusters": vantage_clusters.OP12_SQL,
+    "op13_merkle_manifest": merkle.OP13_SQL,
 }
