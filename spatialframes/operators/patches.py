@@ -93,25 +93,27 @@ def _or_none(entries: Column) -> Column:
     return F.coalesce(entries, F.array().cast("array<struct<at:int,value:double>>"))
 
 
+def distance_to_edge(own):
+    """Distance of each pixel of a square window to the nearest pixel outside the cell, over its maximum."""
+    import numpy as np
+
+    n = len(own)
+    if own.all() or not own.any():
+        return np.zeros((n, n))
+    steps = np.arange(n)
+    apart = (steps[:, None] - steps[None, :]) ** 2
+    # down each column to the nearest outside pixel, then across the columns
+    down = np.where(own[None, :, :], np.inf, apart[:, :, None]).min(axis=1)
+    squared = (down[:, None, :] + apart[None, :, :]).min(axis=2)
+    distance = np.sqrt(squared)
+    return distance / distance.max()
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def _distance(masks: pd.Series, crop: pd.Series) -> pd.Series:
-    """Distance of each pixel of a window to the nearest pixel outside the cell, over its maximum."""
     import numpy as np
 
-    out = []
-    for flat, n in zip(masks, crop):
-        own = np.asarray(flat).reshape(n, n) > 0
-        if own.all() or not own.any():
-            out.append(np.zeros(n * n))
-            continue
-        steps = np.arange(n)
-        apart = (steps[:, None] - steps[None, :]) ** 2
-        # down each column to the nearest outside pixel, then across the columns
-        down = np.where(own[None, :, :], np.inf, apart[:, :, None]).min(axis=1)
-        squared = (down[:, None, :] + apart[None, :, :]).min(axis=2)
-        distance = np.sqrt(squared)
-        out.append((distance / distance.max()).ravel())
-    return pd.Series(out)
+    return pd.Series([distance_to_edge(np.asarray(flat).reshape(n, n) > 0).ravel() for flat, n in zip(masks, crop)])
 
 
 def distance_map(cells: DataFrame, mask: DataFrame, crop: int = CROP, center: str = "round") -> DataFrame:

@@ -310,3 +310,33 @@ view(
 def hierarchy(spark, sf) -> DataFrame:
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
     return n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("r_name").alias("parent"), F.col("n_name").alias("child"))
+
+
+# --- the same images as tiles: every image is cut from its array, no pixel becomes a row ---------
+
+
+def _cut(images: DataFrame, height: int, width: int, channel: Column, pixel: Column, name: str) -> DataFrame:
+    """Tiles of an 8 x 8 image given as one array of 64 pixels."""
+    down, across = -(-8 // height), -(-8 // width)
+    tiles = images.select(F.col("vec_id").alias("fov_key"), channel.alias("channel"), pixel.alias("_image"))
+    tiles = tiles.withColumn("tile_r", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    tiles = tiles.withColumn("tile_c", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    h = F.least(F.lit(height), F.lit(8) - F.col("tile_r") * height)
+    w = F.least(F.lit(width), F.lit(8) - F.col("tile_c") * width)
+    lines = F.sequence(F.col("tile_r") * height, F.col("tile_r") * height + h - 1)
+    values = F.flatten(F.transform(lines, lambda i: F.slice("_image", i * 8 + F.col("tile_c") * width + 1, w)))
+    return tiles.select(
+        "fov_key", "channel", "tile_r", "tile_c", F.lit(height).alias("tile_h"), F.lit(width).alias("tile_w"), h.alias("h"), w.alias("w"), values.alias(name)
+    )
+
+
+def image_tiles(spark, sf, height: int, width: int) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return _cut(e, height, width, F.concat(F.lit("t"), F.col("label")), F.col("embedding").cast("array<double>"), "values")
+
+
+def mask_tiles(spark, sf, height: int, width: int) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    quadrant = lambda i: 1 + 2 * F.floor(i / 32) + F.floor(i % 8 / 4)
+    label = F.transform("embedding", lambda v, i: F.when(v > 0, quadrant(i)).otherwise(0).cast("bigint"))
+    return _cut(e, height, width, F.lit("mask"), label, "labels")

@@ -58,23 +58,23 @@ def neighbor_area(spark, sf):
 GRID = f"(SELECT unnest(range(0, {CROP})) AS pr) CROSS JOIN (SELECT unnest(range(0, {CROP})) AS pc)"
 
 
-@query(
-    "patch_arrays",
-    f"""SELECT k.fov_key, k.cell_id, c.channel, CAST(pr * {CROP} + pc AS INTEGER) AS pos, round(CASE WHEN m.cell_id = k.cell_id THEN p.value ELSE 0 END, 6) + 0 AS value
+PATCH_SQL = f"""SELECT k.fov_key, k.cell_id, c.channel, CAST(pr * {CROP} + pc AS INTEGER) AS pos, round(CASE WHEN m.cell_id = k.cell_id THEN p.value ELSE 0 END, 6) + 0 AS value
        FROM v_boxes k JOIN (SELECT DISTINCT fov_key, channel FROM v_images) c USING (fov_key) CROSS JOIN {GRID}
-       LEFT JOIN v_images p ON p.fov_key = k.fov_key AND p."row" = r0 + pr AND p."col" = c0 + pc LEFT JOIN v_image_mask m ON m.fov_key = k.fov_key AND m."row" = r0 + pr AND m."col" = c0 + pc""",
-)
+       LEFT JOIN v_images p ON p.fov_key = k.fov_key AND p."row" = r0 + pr AND p."col" = c0 + pc LEFT JOIN v_image_mask m ON m.fov_key = k.fov_key AND m."row" = r0 + pr AND m."col" = c0 + pc"""
+
+
+@query("patch_arrays", PATCH_SQL)
 def patch_arrays(spark, sf):
     out = ops.patch_arrays(icells(spark, sf), b.images(spark, sf), b.image_mask(spark, sf), CROP)
     return b.spread(out, "patch", ["fov_key", "cell_id", "channel"])
 
 
-@query(
-    "patch_arrays_full",
-    f"""SELECT k.fov_key, k.cell_id, c.channel, CAST(pr * {CROP} + pc AS INTEGER) AS pos, round(coalesce(p.value, 0), 6) + 0 AS value
+PATCH_FULL_SQL = f"""SELECT k.fov_key, k.cell_id, c.channel, CAST(pr * {CROP} + pc AS INTEGER) AS pos, round(coalesce(p.value, 0), 6) + 0 AS value
        FROM v_boxes k JOIN (SELECT DISTINCT fov_key, channel FROM v_images) c USING (fov_key) CROSS JOIN {GRID}
-       LEFT JOIN v_images p ON p.fov_key = k.fov_key AND p."row" = r0 + pr AND p."col" = c0 + pc""",
-)
+       LEFT JOIN v_images p ON p.fov_key = k.fov_key AND p."row" = r0 + pr AND p."col" = c0 + pc"""
+
+
+@query("patch_arrays_full", PATCH_FULL_SQL)
 def patch_arrays_full(spark, sf):
     out = ops.patch_arrays(icells(spark, sf), b.images(spark, sf), None, CROP)
     return b.spread(out, "patch", ["fov_key", "cell_id", "channel"])

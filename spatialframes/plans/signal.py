@@ -115,13 +115,13 @@ def channel_weight(spark, sf):
 REFLECT = "CASE WHEN (({i}) + 160) % 16 < 8 THEN (({i}) + 160) % 16 ELSE 15 - (({i}) + 160) % 16 END"
 
 
-@query(
-    "denoise_median",
-    f"""SELECT t.fov_key, t.channel, t."row", t."col", round(list_sort(list(s.value))[5], 6) + 0 AS value
+MEDIAN_SQL = f"""SELECT t.fov_key, t.channel, t."row", t."col", round(list_sort(list(s.value))[5], 6) + 0 AS value
        FROM v_images t CROSS JOIN (SELECT unnest(range(-1, 2)) AS dr) CROSS JOIN (SELECT unnest(range(-1, 2)) AS dc)
        JOIN v_images s ON s.fov_key = t.fov_key AND s."row" = {REFLECT.format(i='t."row" + dr')} AND s."col" = {REFLECT.format(i='t."col" + dc')}
-       GROUP BY ALL""",
-)
+       GROUP BY ALL"""
+
+
+@query("denoise_median", MEDIAN_SQL)
 def denoise_median(spark, sf):
     return rounded(ops.denoise(b.images(spark, sf), "median", 3))
 
@@ -130,14 +130,14 @@ _weights = [math.exp(-0.5 * (d / 1.5) ** 2) for d in range(-6, 7)]
 _kernel = ", ".join(f"({d}, {w / sum(_weights)!r})" for d, w in zip(range(-6, 7), _weights))
 
 
-@query(
-    "denoise_gaussian",
-    f""", kernel AS (SELECT * FROM (VALUES {_kernel}) k(d, w)),
+GAUSSIAN_SQL = f""", kernel AS (SELECT * FROM (VALUES {_kernel}) k(d, w)),
        p1 AS (SELECT t.fov_key, t.channel, t."row", t."col", sum(CAST(w AS DOUBLE) * s.value) AS value FROM v_images t CROSS JOIN kernel
        JOIN v_images s ON s.fov_key = t.fov_key AND s."col" = t."col" AND s."row" = {REFLECT.format(i='t."row" + d')} GROUP BY ALL)
        SELECT t.fov_key, t.channel, t."row", t."col", round(sum(CAST(w AS DOUBLE) * s.value), 6) + 0 AS value FROM p1 t CROSS JOIN kernel
-       JOIN p1 s ON s.fov_key = t.fov_key AND s."row" = t."row" AND s."col" = {REFLECT.format(i='t."col" + d')} GROUP BY ALL""",
-)
+       JOIN p1 s ON s.fov_key = t.fov_key AND s."row" = t."row" AND s."col" = {REFLECT.format(i='t."col" + d')} GROUP BY ALL"""
+
+
+@query("denoise_gaussian", GAUSSIAN_SQL)
 def denoise_gaussian(spark, sf):
     return rounded(ops.denoise(b.images(spark, sf), "gaussian", 3))
 
