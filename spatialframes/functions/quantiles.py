@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatialframes.functions.joins import is_finite, null_safe_join
-from spatialframes.session import settle
+from spatialframes.session import settle, settle_and_tell
 
 _OCTAVE_STEPS = 64
 _LINEAR_STEPS = 4096
@@ -62,16 +62,31 @@ def _narrow(histogram: DataFrame, keys: list[str], bucket: str) -> DataFrame:
     )
 
 
+def octave_histogram(df: DataFrame, group: Sequence[str], value: str | Column) -> DataFrame:
+    """``_octave, _count, _low, _high`` per group: one scan for counts, range and the start of any quantile.
+
+    ``_octave`` is 0 for zeros only and NULL for values that are missing or not finite.
+    """
+    source = F.col(value) if isinstance(value, str) else value
+    rows = df.select(*group, source.cast("double").alias("_v"))
+    rows = rows.withColumn("_octave", F.when(is_finite(F.col("_v")), _octave(F.col("_v"))))
+    return rows.groupBy(*group, "_octave").agg(
+        F.count(F.lit(1)).alias("_count"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     group: Sequence[str],
     value: str | Column,
     probabilities: Mapping[str, float],
+    histogram: DataFrame | None = None,
 ) -> DataFrame:
     """One row per group with the linearly interpolated quantiles named in ``probabilities``.
 
     NULL, NaN and infinite values are ignored; a group without a finite value has no row. The
-    number of finite values is returned as ``n_values``.
+    number of finite values is returned as ``n_values``. With the :func:`octave_histogram` of the rows
+    at hand they are read once less.
     """
     group = list(group)
     names, wanted_p = list(probabilities), list(probabilities.values())
@@ -79,18 +94,15 @@ def exact_quantiles(
     rows = df.select(*group, source.cast("double").alias("_v")).where(is_finite(F.col("_v")))
     rows = rows.withColumn("_octave", _octave(F.col("_v")))
 
-    first = rows.groupBy(*group, "_octave").agg(
-        F.count(F.lit(1)).alias("_count"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
-    )
-    first = first.withColumn("_n", F.sum("_count").over(Window.partitionBy(*group)))
+    first = octave_histogram(df, group, value) if histogram is None else histogram
+    first = first.where(F.col("_octave").isNotNull()).withColumn("_n", F.sum("_count").over(Window.partitionBy(*group)))
     first = first.withColumn("_wanted", _ranks(F.col("_n"), wanted_p))
-    first = settle(_narrow(first, group, "_octave"))
+    first, told = settle_and_tell(_narrow(first, group, "_octave"), largest=F.col("_count"))
 
     keys = [*group, "_octave"]
     ranges = first.select(*keys, "_low", "_high")
     inside = null_safe_join(rows, ranges, keys, "inner")
-    largest = first.agg(F.max("_count")).first()[0] or 0
-    if largest > _SKIP_LINEAR_BELOW:
+    if (told["largest"] or 0) > _SKIP_LINEAR_BELOW:
         inside = inside.withColumn("_step", _linear(F.col("_v"), F.col("_low"), F.col("_high")))
         second = inside.groupBy(*keys, "_step").agg(F.count(F.lit(1)).alias("_count"))
         second = null_safe_join(second, first.select(*keys, "_n", "_wanted"), keys, "inner")

@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from spatialframes.functions.arrays import scatter
 from spatialframes.operators.features import centroids
 from spatialframes.operators.signal import CHANNEL, clip_and_normalize, on_lines
-from spatialframes.session import settle
+from spatialframes.session import settle, settle_and_tell
 
 CROP = 32  # fixed value: edge of the window a model sees
 
@@ -188,6 +188,17 @@ def needs_resampling(scale: Column, slack: float = SCALE_SLACK) -> Column:
     return F.abs(scale - 1.0) > slack
 
 
+def resolution_scales(fovs: DataFrame, target_mpp: float, slack: float) -> tuple[DataFrame, bool]:
+    """``fov_key, scale`` of the fields, and whether any is farther from 1 than ``slack``; bad resolutions raise."""
+    mpp = F.col("native_mpp")
+    bad = mpp.isNull() | F.isnan(mpp) | (mpp <= 0) | (mpp == float("inf"))
+    scales = fovs.select("fov_key", F.when(~bad, mpp / F.lit(float(target_mpp))).alias("scale"))
+    scales, told = settle_and_tell(scales, bad=F.col("scale").isNull(), moves=needs_resampling(F.col("scale"), slack))
+    if told["bad"]:
+        raise ValueError("native_mpp must be positive and finite")
+    return scales, bool(told["moves"])
+
+
 def to_resolution(
     pixels: DataFrame, mask: DataFrame, fovs: DataFrame, target_mpp: float, slack: float = SCALE_SLACK
 ) -> tuple[DataFrame, DataFrame]:
@@ -195,14 +206,11 @@ def to_resolution(
 
     Resampled pixels are written once: the conditioning that follows reads them several times.
     """
-    bad = fovs.where(F.col("native_mpp").isNull() | F.isnan("native_mpp") | (F.col("native_mpp") <= 0) | (F.col("native_mpp") == float("inf")))
-    if bad.limit(1).count():
-        raise ValueError("native_mpp must be positive and finite")
-    scales = settle(fovs.select("fov_key", (F.col("native_mpp") / F.lit(float(target_mpp))).alias("scale")))
+    scales, any_moves = resolution_scales(fovs, target_mpp, slack)
+    if not any_moves:
+        return pixels, mask
     moves = needs_resampling(F.col("scale"), slack)
     moved, kept = scales.where(moves), scales.where(~moves).select("fov_key")
-    if not moved.limit(1).count():
-        return pixels, mask
     cols = ["fov_key", "channel", "row", "col", "value"]
     scaled = settle(resample_bilinear(pixels, moved)).unionByName(pixels.join(kept, "fov_key", "left_semi").select(cols))
     labels = resample_nearest(mask, moved, field_shapes(pixels)).unionByName(mask.join(kept, "fov_key", "left_semi"))

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spatialframes.functions.joins import is_finite
-from spatialframes.functions.quantiles import exact_quantiles
-from spatialframes.session import settle
+from spatialframes.functions.quantiles import exact_quantiles, octave_histogram
+from spatialframes.session import settle, settle_and_tell
 
 CHANNEL = ["fov_key", "channel"]
 
@@ -29,9 +29,32 @@ def _with_stats(pixels: DataFrame, stats: DataFrame) -> DataFrame:
     return pixels.join(settle(stats), CHANNEL, "left")
 
 
-def nonzero_percentile(pixels: DataFrame, p: float) -> DataFrame:
-    """Per channel percentile of the pixels that are not zero; negatives count."""
-    return exact_quantiles(pixels.where(F.col("value") != 0), CHANNEL, "value", {"q": p / 100.0})
+def profile(pixels: DataFrame, finite: bool = False) -> DataFrame:
+    """Octave histogram of every channel, written once: what is finite, the range, and where percentiles lie.
+
+    The statistics of a channel in one scan. Zeros are alone in octave 0, what is not finite in octave NULL;
+    with ``finite`` such pixels raise.
+    """
+    odd = F.when(F.col("_octave").isNull(), F.col("fov_key").cast("string"))
+    known, told = settle_and_tell(octave_histogram(pixels, CHANNEL, "value"), odd=odd)
+    if finite and told["odd"] is not None:
+        raise ValueError(f"pixels of field {told['odd']!r} are not finite")
+    return known
+
+
+def nonzero_percentile(pixels: DataFrame, p: float, known: DataFrame | None = None) -> DataFrame:
+    """Per channel percentile of the pixels that are not zero; negatives count.
+
+    ``known`` is the :func:`profile` of the pixels.
+    """
+    known = None if known is None else known.where(F.col("_octave") != 0)
+    return exact_quantiles(pixels.where(F.col("value") != 0), CHANNEL, "value", {"q": p / 100.0}, known)
+
+
+def channel_range(known: DataFrame) -> DataFrame:
+    """``fov_key, channel, _min, _max`` of the finite pixels, from a :func:`profile`."""
+    finite = known.where(F.col("_octave").isNotNull())
+    return finite.groupBy(*CHANNEL).agg(F.min("_low").alias("_min"), F.max("_high").alias("_max"))
 
 
 def clip_percentile(pixels: DataFrame, p: float) -> DataFrame:
@@ -46,13 +69,14 @@ def min_max_normalize(pixels: DataFrame) -> DataFrame:
     return _with_stats(pixels, stats).withColumn("value", scaled).drop("_min", "_max")
 
 
-def clip_and_normalize(pixels: DataFrame, p: float) -> DataFrame:
+def clip_and_normalize(pixels: DataFrame, p: float, known: DataFrame | None = None) -> DataFrame:
     """:func:`clip_percentile` and then :func:`min_max_normalize`, with one statistics table.
 
-    The range of the clipped values follows from the range before and the clip.
+    Two scans give the statistics, the :func:`profile` and its refinement, one without it (``known``). The range
+    of the clipped values follows from the range before and the clip.
     """
-    span = pixels.groupBy(*CHANNEL).agg(F.min("value").alias("_min"), F.max("value").alias("_max"))
-    stats = span.join(nonzero_percentile(pixels, p).drop("n_values"), CHANNEL, "left")
+    known = profile(pixels) if known is None else known
+    stats = channel_range(known).join(nonzero_percentile(pixels, p, known).drop("n_values"), CHANNEL, "left")
     low, high = F.least("_min", "q"), F.least("_max", "q")
     stats = stats.select(*CHANNEL, "q", low.alias("_low"), F.when(high == low, F.lit(1.0)).otherwise(high - low).alias("_width"))
     scaled = (F.least("value", "q") - F.col("_low")) / F.col("_width")
@@ -259,6 +283,17 @@ def value_contract(pixels: DataFrame, low: float = 0.0, high: float = 1.0, slack
     return rows.select("v.check", "key", "v.detail")
 
 
+CONTRACT = "breaks the contract"
+
+
+def checked(pixels: DataFrame, low: float = 0.0, high: float = 1.0, slack: float = 1e-6) -> DataFrame:
+    """The pixels; reading one that is not finite or leaves [low, high] raises. No pass of its own."""
+    value = F.col("value")
+    good = is_finite(value) & (value >= low - slack) & (value <= high + slack)
+    told = F.concat_ws(" ", F.lit("value"), value.cast("string"), F.lit("of field"), F.col("fov_key").cast("string"), F.lit(CONTRACT))
+    return pixels.withColumn("value", F.when(good, value).otherwise(F.raise_error(told).cast("double")))
+
+
 def run_hook(pixels: DataFrame, hook: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Apply a user hook and refuse a result that changes the panel or breaks the value contract."""
     out = hook(pixels)

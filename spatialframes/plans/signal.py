@@ -10,6 +10,7 @@ from spatialframes.operators import signal as ops
 from spatialframes.plans import bindings as b
 from spatialframes.plans.bindings import r6
 from spatialframes.plans.registry import query, view
+from spatialframes.session import settle
 
 PIXEL = ["fov_key", "channel", "row", "col"]
 
@@ -187,7 +188,7 @@ def predict_cells(spark, sf):
 
     p = b.pixels(spark, sf)
     events = b.table(spark, sf, "events")
-    markers = index_names(events, "event_type")
+    markers = settle(index_names(events, "event_type"))
     panel = events.select(F.col("user_id").alias("fov_key"), F.col("event_type").alias("channel")).distinct()
     panel = panel.join(markers, F.col("channel") == F.col("name")).select("fov_key", F.col("idx").alias("pos"), F.lower("channel").alias("channel"))
     aliases = markers.select(F.concat(F.lit("anti-"), "name").alias("alias"), F.col("name").alias("target"), F.col("idx").cast("bigint").alias("ord"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 # What a cluster session should set besides its sizes: runtime re-planning, splitting of skewed
@@ -71,3 +72,13 @@ def settle(df: DataFrame) -> DataFrame:
     path = fresh_path(spark, "settled")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settle_and_tell(df: DataFrame, **largest: Column) -> tuple[DataFrame, dict]:
+    """:func:`settle`, and the largest value of each named column, seen while writing: no job of its own.
+
+    Only maxima are offered, as a task that runs twice does not change them. A frame without rows tells None.
+    """
+    seen = Observation()
+    settled = settle(df.observe(seen, *[F.max(c).alias(name) for name, c in largest.items()]))
+    return settled, {name: seen.get.get(name) for name in largest}

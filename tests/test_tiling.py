@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spatialframes.operators import patches, signal, tile_ops, tile_patches
+from spatialframes.operators import patches, phenotype, signal, tile_ops, tile_patches, tile_signal
 from spatialframes.operators.features import centroids
 from spatialframes.sources.tiles import pixels_to_tiles, tiles_to_pixels
 
@@ -167,3 +167,57 @@ def test_scores_pad_only_inside_a_batch(spark):
 
     got = {r["cell_id"]: r["logits"] for r in tile_patches.score_windows(cells, load, 2).collect()}
     assert got == {1: [12.0, 3.0], 2: [16.0, 5.0], 3: [0.0, 0.0]}
+
+
+def panel_of(spark):
+    markers = spark.createDataFrame([("x", 0), ("y", 1), ("z", 2)], "name string, idx int")
+    aliases = spark.createDataFrame([("why", "y", 0)], "alias string, target string, ord long")
+    channels = spark.createDataFrame([(n, i, c) for n in SHAPES for i, c in enumerate(["why", "x", "DAPI"])], "fov_key string, pos int, channel string")
+    return channels, markers, aliases
+
+
+def field_tiles(pixels, factor=1.0):
+    named = F.when(F.col("channel") == "y", F.lit("why")).otherwise(F.col("channel"))
+    return pixels_to_tiles(pixels.withColumn("channel", named).withColumn("value", F.abs("value") * factor), 4, 3)
+
+
+def test_predict_windows(spark, fields):
+    def window_totals():
+        def model(sample, context, positions, absent):
+            assert positions.tolist() == [[1, 0]] * len(positions) and not absent.any()
+            return np.stack([sample.sum(axis=(2, 3, 4))[:, 0], context.sum(axis=(2, 3))[:, 0]], axis=1)
+
+        return model
+
+    pixels, mask = fields
+    fovs = spark.createDataFrame([(n, 0.5) for n in SHAPES], "fov_key string, native_mpp double")
+    args = (labels_of(mask, 4, 3), *panel_of(spark)[:1], fovs, *panel_of(spark)[1:], window_totals, ["first", "second"])
+    out = phenotype.predict_windows(field_tiles(pixels), *args, crop=6).collect()
+    assert {(r["fov_key"], r["cell_id"]) for r in out} == {(r[0], r[1]) for r in mask.where("cell_id <> 0").select("fov_key", "cell_id").distinct().collect()}
+    assert all(abs(sum(r["probs"]) - 1) < 1e-9 and not r["abstained"] for r in out)
+    with pytest.raises(ValueError, match="breaks the contract"):
+        phenotype.predict_windows(field_tiles(pixels), *args, crop=6, preprocess=lambda t: t)
+    with pytest.raises(ValueError, match="not finite"):
+        phenotype.predict_windows(field_tiles(pixels, float("nan")), *args, crop=6)
+    nothing = lambda: lambda sample, *rest: np.full((len(sample), 2), np.nan)
+    with pytest.raises(ValueError, match="probabilities that are not finite"):
+        phenotype.predict_windows(field_tiles(pixels), *args[:-2], nothing, ["first", "second"], crop=6)
+
+
+def test_tiles_are_conditioned_like_pixels(fields):
+    pixels, _ = fields
+    for p in (99.9, 50.0, 0.0, 100.0):
+        want = by_place(signal.clip_and_normalize(pixels, p))
+        assert by_place(tiles_to_pixels(tile_signal.clip_and_normalize(pixels_to_tiles(pixels, 4, 3), p))) == pytest.approx(want, abs=1e-12)
+    flat = pixels.withColumn("value", F.when(F.col("channel") == "x", F.lit(0.0)).otherwise(F.lit(7.0)))
+    got = by_place(tiles_to_pixels(tile_signal.clip_and_normalize(pixels_to_tiles(flat, 4, 3), 99.0)))
+    assert set(got.values()) == {0.0} and len(got) == pixels.count()
+
+
+def test_a_profile_tells_range_zeros_and_what_is_not_finite(spark):
+    rows = [("f", "a", v) for v in (0.0, 0.0, 3.0, -2.0)] + [("f", "b", 0.0), ("f", "c", float("nan")), ("f", "c", None), ("f", "c", 1.0)]
+    known = signal.profile(spark.createDataFrame(rows, "fov_key string, channel string, value double"))
+    spans = {r["channel"]: (r["_min"], r["_max"]) for r in signal.channel_range(known).collect()}
+    assert spans == {"a": (-2.0, 3.0), "b": (0.0, 0.0), "c": (1.0, 1.0)}
+    assert known.where("_octave is null").select("channel", "_count").collect() == [("c", 2)]
+    assert known.where("channel = 'a' and _octave = 0").first()["_count"] == 2
