@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,13 @@ def run_available(stream: DataFrame, mode: str, out: str | None = None, log: str
     writer.start().awaitTermination()
     if mode == "append":
         return spark.read.schema(stream.schema).parquet(out)
-    newest = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{out}/batch-*")
+    try:
+        newest = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{out}/batch-*")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # nothing has arrived yet
+        return spark.createDataFrame([], stream.schema)
     number = newest.agg(F.max(F.regexp_extract("path", "batch-([0-9]+)", 1).cast("long"))).first()[0]
     return spark.read.schema(stream.schema).parquet(f"{out}/batch-{number}")
 
