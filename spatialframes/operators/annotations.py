@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spatialframes.operators.quality import violations
+
 # Fixed value: how far, in pixels, a placed annotation may lie from the centroid it means.
 CENTROID_TOLERANCE = 1.5
 
@@ -218,14 +220,24 @@ def dataset_canonical(spark) -> DataFrame:
     return spark.createDataFrame(DATASET_CANONICAL, schema)
 
 
-def canonical_metadata(datasets: DataFrame, canonical: DataFrame, strict: bool = False) -> DataFrame:
-    """Registered tissue and modality per dataset; an unknown one is refused, with ``strict`` also a
-    substituted one."""
-    joined = datasets.join(canonical, "dataset_key", "left")
-    refused = F.col("tissue").isNull()
+def canonical_violations(datasets: DataFrame, canonical: DataFrame, vocab: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """Violations ``(check, key, detail)`` of :func:`canonical_metadata`: a dataset that is not listed, with ``strict`` one
+    whose names were substituted, and with ``vocab(kind, name)`` a tissue or modality that is not registered."""
+    joined = datasets.select("dataset_key").distinct().join(canonical, "dataset_key", "left")
+    kinds = {"not_listed": (F.col("tissue").isNull(), F.lit(""))}
     if strict:
-        refused = refused | ~F.col("is_direct")
-    bad = joined.where(refused).select("dataset_key").limit(5).collect()
+        kinds["substituted"] = (~F.col("is_direct"), F.concat_ws(", ", "tissue_paper", "modality_paper"))
+    for kind, column in (("tissue", "tissue"), ("domain", "modality")) if vocab is not None else ():
+        known = vocab.where(F.col("kind") == kind).select(F.col("name").alias(column), F.lit(True).alias(f"_{kind}"))
+        joined = joined.join(known, column, "left")
+        kinds[f"unregistered_{column}"] = (F.col(column).isNotNull() & F.col(f"_{kind}").isNull(), F.col(column))
+    return violations(joined, F.col("dataset_key"), kinds)
+
+
+def canonical_metadata(datasets: DataFrame, canonical: DataFrame, strict: bool = False, vocab: DataFrame | None = None) -> DataFrame:
+    """Registered tissue and modality per dataset. An unknown dataset is refused, with ``strict`` also a substituted
+    name, and with a vocabulary a resolved name that is not part of it."""
+    bad = canonical_violations(datasets, canonical, vocab, strict).orderBy("check", "key").limit(5).collect()
     if bad:
-        raise ValueError(f"no {'direct ' if strict else ''}registered name for {[r[0] for r in bad]}")
-    return joined
+        raise ValueError(f"no {'direct ' if strict else ''}registered name for " + "; ".join(f"{r['key']}: {r['check']} {r['detail']}".strip() for r in bad))
+    return datasets.join(canonical, "dataset_key", "left")

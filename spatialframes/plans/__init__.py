@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["features", "signal", "scoring", "metrics", "positivity", "splits", "sampling", "annotations", "names", "quality", "patches", "tiling", "composition", "streaming", "learning", "files"]
+AREAS = ["features", "signal", "scoring", "metrics", "positivity", "splits", "sampling", "annotations", "names", "quality", "patches", "tiling", "composition", "streaming", "learning", "files", "archives"]
 
 
 def load_all() -> None:

@@ -35,6 +35,27 @@ def _documents(spark: SparkSession, root: str) -> DataFrame:
     return text.select(_relative(F.col("_metadata.file_path"), root).alias("rel"), "value")
 
 
+def write_documents(documents: DataFrame, root: str) -> int:
+    """Write ``(rel, value)`` as text files below the root, each by the task that holds it; how many there are.
+
+    A task that runs again writes the same files again.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for rel, value in zip(batch.column("rel").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                files.create_dir(f"{base}/{rel}".rsplit("/", 1)[0], recursive=True)
+                with files.open_output_stream(f"{base}/{rel}") as out:
+                    out.write(value.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return documents.select("rel", "value").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
 def discover_fovs(spark: SparkSession, root: str) -> DataFrame:
     """``(fov_key)`` of every field below the root."""
     key = F.regexp_extract("rel", "^(.*)/preprocessed/zarr\\.json$", 1)
@@ -49,6 +70,27 @@ def _part(documents: DataFrame, part: str) -> DataFrame:
     )
 
 
+def _fields(spark: SparkSession, root: str, columns: dict[str, dict[str, Column]]) -> DataFrame:
+    """One row per field with what is wanted of its files: ``columns[part][name]`` is taken from the text of that part.
+
+    The tree is read once: a file that belongs to no wanted part is left out by its path, the others are parsed where
+    they are read, and the parts of a field meet in one aggregate. The field's own group tells that it is one.
+    """
+    wanted = {**columns, "preprocessed": {"_field": F.lit(True), **columns.get("preprocessed", {})}}
+    documents = _documents(spark, root)
+    part = F.lit(None)
+    # a longer path wins: the last of the tests below comes first
+    for p in sorted(wanted, key=len):
+        part = F.when(F.col("rel").endswith(f"/{p}/{META}" if p else f"/{META}"), F.lit(p)).otherwise(part)
+    rows = documents.withColumn("part", part).where(F.col("part").isNotNull())
+    above = F.length("rel") - F.length("part") - F.when(F.col("part") == "", F.lit(len(META) + 1)).otherwise(F.lit(len(META) + 2))
+    rows = rows.withColumn("fov_key", F.substr("rel", F.lit(1), above))
+    parsed = [F.when(F.col("part") == p, c).alias(n) for p, named in wanted.items() for n, c in named.items()]
+    names = [n for named in wanted.values() for n in named]
+    found = rows.select("fov_key", *parsed).groupBy("fov_key").agg(*[F.first(n, ignorenulls=True).alias(n) for n in names])
+    return found.where("_field").drop("_field")
+
+
 def read_metadata(spark: SparkSession, root: str, label_sources: Sequence[str] = (LABEL_SOURCE,)) -> DataFrame:
     """Domain, tissue, annotated type names and presence of a positivity matrix per field.
 
@@ -57,19 +99,18 @@ def read_metadata(spark: SparkSession, root: str, label_sources: Sequence[str] =
     A missing file leaves its part empty. Malformed JSON is tolerated as well: it ends the reading
     of that field, so what would have come after it stays at its default.
     """
-    documents = _documents(spark, root)
-    fovs = discover_fovs(spark, root)
     attrs = "attributes struct<modality: string, tissue: string>"
     sources = "attributes struct<" + ", ".join(f"{s}: map<string,string>" for s in label_sources) + ">"
     fine = F.try_parse_json("value").isNotNull()
-
-    top = _part(documents, "").join(fovs, "fov_key", "left_semi")
-    top = top.select("fov_key", fine.alias("_top_ok"), F.when(fine, F.from_json("value", attrs)["attributes"]).alias("_a"))
-    notes = _part(documents, "cell_types/annotations")
-    notes = notes.select("fov_key", fine.alias("_notes_ok"), F.when(fine, F.from_json("value", sources)["attributes"]).alias("_s"))
-    matrix = _part(documents, "marker_positivity").select("fov_key", F.lit(True).alias("_mp"))
-
-    joined = fovs.join(top, "fov_key", "left").join(notes, "fov_key", "left").join(matrix, "fov_key", "left")
+    joined = _fields(
+        spark,
+        root,
+        {
+            "": {"_top_ok": fine, "_a": F.when(fine, F.from_json("value", attrs)["attributes"])},
+            "cell_types/annotations": {"_notes_ok": fine, "_s": F.when(fine, F.from_json("value", sources)["attributes"])},
+            "marker_positivity": {"_mp": F.lit(True)},
+        },
+    )
     present, good = F.col("_top_ok").isNotNull(), F.coalesce("_top_ok", F.lit(True))
     empty = F.array().cast("array<string>")
     names = F.concat(*[F.coalesce(F.map_keys(F.col("_s")[s]), empty) for s in label_sources])
@@ -154,23 +195,21 @@ def read_contract(spark: SparkSession, root: str) -> DataFrame:
 
     Only metadata files are read, never an image chunk.
     """
-    documents = _documents(spark, root)
-
-    def part(path: str, schema: str, *columns) -> DataFrame:
-        files = _part(documents, path)
-        return files.select("fov_key", F.from_json("value", schema).alias("d")).select("fov_key", *columns)
-
-    raw = part("preprocessed/raw", "shape array<bigint>", F.col("d.shape").alias("raw_shape"))
-    mask = part("preprocessed/mask", "shape array<bigint>, data_type string", F.col("d.shape").alias("mask_shape"), F.col("d.data_type").alias("mask_type"))
     names = "attributes struct<channel_names: array<string>, centroids: string, scale_factor: double>"
-    image = part("preprocessed", names, F.col("d.attributes.channel_names").alias("channel_names"), F.col("d.attributes.centroids").alias("centroids"), F.col("d.attributes.scale_factor").alias("scale_factor"))
-    source = LABEL_SOURCE
-    notes = part("cell_types/annotations", f"attributes struct<{source}: string>", F.lit(True).alias("has_annotations"), F.col(f"d.attributes.{source}").alias("source"))
     lists = "attributes struct<markers: array<string>, cell_types: array<string>, positivity_matrix: array<array<string>>>"
-    matrix = part("marker_positivity", lists, F.lit(True).alias("has_mp"), F.col("d.attributes.markers").alias("markers"), F.col("d.attributes.cell_types").alias("cell_types"), F.col("d.attributes.positivity_matrix").alias("matrix"))
-    out = discover_fovs(spark, root)
-    for frame in (image, raw, mask, notes, matrix):
-        out = out.join(frame, "fov_key", "left")
+    image, matrix = F.from_json("value", names)["attributes"], F.from_json("value", lists)["attributes"]
+    mask = F.from_json("value", "shape array<bigint>, data_type string")
+    out = _fields(
+        spark,
+        root,
+        {
+            "preprocessed": {"channel_names": image["channel_names"], "centroids": image["centroids"], "scale_factor": image["scale_factor"]},
+            "preprocessed/raw": {"raw_shape": F.from_json("value", "shape array<bigint>")["shape"]},
+            "preprocessed/mask": {"mask_shape": mask["shape"], "mask_type": mask["data_type"]},
+            "cell_types/annotations": {"has_annotations": F.lit(True), "source": F.from_json("value", f"attributes struct<{LABEL_SOURCE}: string>")["attributes"][LABEL_SOURCE]},
+            "marker_positivity": {"has_mp": F.lit(True), "markers": matrix["markers"], "cell_types": matrix["cell_types"], "matrix": matrix["positivity_matrix"]},
+        },
+    )
     false = F.lit(False)
     return out.withColumn("has_annotations", F.coalesce("has_annotations", false)).withColumn("has_mp", F.coalesce("has_mp", false))
 

@@ -112,3 +112,16 @@ def test_ids_and_positions_resolve_together(spark):
     types = spark.createDataFrame([("CD4T",), ("CD8T",)], "name string")
     index = ops.cell_index(labels, grid, fovs, types).collect()
     assert [(r.dataset_name, r.fov_name, r.domain, r.cell_id, r.ct_label, r.c_row) for r in index] == [("f", "f", "IMC", 1, "CD4T", 10.0)]
+
+
+def test_canonical_names_must_be_registered(spark):
+    listed = spark.createDataFrame([("a", "lung", "imc", "lung", "imc", True), ("b", "gut", "imc", "colon", "imc", False)], "dataset_key string, tissue_paper string, modality_paper string, tissue string, modality string, is_direct boolean")
+    data = spark.createDataFrame([("a",), ("b",), ("c",)], "dataset_key string")
+    vocab = spark.createDataFrame([("tissue", "lung"), ("domain", "imc"), ("tissue", "imc")], "kind string, name string")
+    got = lambda **more: sorted((r["check"], r["key"], r["detail"]) for r in ops.canonical_violations(data, listed, **more).collect())
+    assert got() == [("not_listed", "c", "")]
+    assert got(vocab=vocab) == [("not_listed", "c", ""), ("unregistered_tissue", "b", "colon")]
+    assert got(strict=True) == [("not_listed", "c", ""), ("substituted", "b", "gut, imc")]
+    assert ops.canonical_metadata(data.where("dataset_key = 'a'"), listed, True, vocab).first()["tissue"] == "lung"
+    with pytest.raises(ValueError, match="b: unregistered_tissue colon"):
+        ops.canonical_metadata(data.where("dataset_key = 'b'"), listed, vocab=vocab)

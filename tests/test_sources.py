@@ -190,3 +190,16 @@ def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path, capsys):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE b_pixels")
         spark.sql("DROP TABLE b_mask")
+
+
+def test_each_file_is_read_once(spark, tree):
+    for read in (archive.read_metadata, archive.read_contract):
+        plan = read(spark, str(tree))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_documents_are_written_where_they_say(spark, tmp_path):
+    rows = [(f"deep/f{i}/preprocessed/zarr.json", json.dumps({"attributes": {"scale_factor": float(i)}})) for i in range(20)]
+    root = (tmp_path / "made").as_uri()
+    assert archive.write_documents(spark.createDataFrame(rows, "rel string, value string").repartition(4), root) == 20
+    assert {r.fov_key: r.scale_factor for r in archive.read_contract(spark, root).collect()} == {f"deep/f{i}": float(i) for i in range(20)}
