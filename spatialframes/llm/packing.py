@@ -8,7 +8,8 @@ tokens, and what a window still lacks goes to the sources with the largest credi
 too much or too little goes on to the next window, and from shard to shard: the credit a shard starts
 with is what the shards before it owe each source, known from token counts alone.
 
-Shares are those of all tokens, so that every queue runs dry at the end and no token is left over.
+Shares are the caller's targets, or those of all tokens; with these every queue runs dry at the end. With targets
+windows hold them while all sources last, and then what is left. No token is left over.
 The tokens that do not fill a last window of a shard are cut into sequences of powers of two, which
 need no padding; all other sequences are full.
 
@@ -26,7 +27,7 @@ import re
 import zlib
 from array import array
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,10 @@ CLOSING = 1
 _HELD = 500_000  # words whose ids a worker remembers
 #: Lower-case words whose parts are plain: letters that have no other form, then one mark at most.
 _PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]?)")
+#: Words of ASCII without the signs that join parts or open a special token; their parts are runs of letters, single
+#: digits, and runs of anything else.
+_ASCII = re.compile("[!-&(-;=-~]{1,99}")
+_PARTS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -76,25 +81,44 @@ class WordIds(dict):
             found = self.parts[part] = array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
         return found
 
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        plain = _PLAIN.fullmatch(text.lower())
-        if plain and len(word) < 100:
+    def __missing__(self, word: str) -> bytes:
+        low = word.lower()
+        if low.isascii() and low.isalpha():
+            found = self.parts.get(low) or self.part(low)
+        elif _ASCII.fullmatch(low):
+            found = b"".join(map(self.part, _PARTS.findall(low)))
+        elif len(word) < 100 and (plain := _PLAIN.fullmatch(low)):
             found = self.part(plain[1]) + self.part(plain[2])
         else:
-            found = array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            found = array("H", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         self[word] = found
         return found
 
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        closing, out = array("H", [CLOSING]).tobytes(), []
-        for text in texts:
-            if len(self) > _HELD:
-                self.clear()
-            if len(self.parts) > _HELD:
-                self.parts = {"": b""}
-            out.append(b"".join(map(self.__getitem__, (text or "").encode().split())) + closing)
-        return out
+    def texts(self, texts: pa.Array) -> pa.Array:
+        """The ids of every text with the closing id, as binary.
+
+        A batch's distinct words are looked up once, and the ids of its words are gathered by their numbers.
+        """
+        lists = pa.compute.ascii_split_whitespace(texts.fill_null(""))
+        words = lists.flatten().dictionary_encode()
+        if len(self) > _HELD:
+            self.clear()
+        if len(self.parts) > _HELD:
+            self.parts = {"": b""}
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = [*map(self.__getitem__, distinct), array("H", [CLOSING]).tobytes()]
+        size = np.fromiter(map(len, known), np.int32, len(known)) // 2
+        start = np.cumsum(size, dtype=np.int32) - size
+        # a closing word after the last word of every text
+        ends = np.cumsum(np.asarray(pa.compute.list_value_length(lists), dtype=np.int64))
+        number = np.insert(np.asarray(words.indices, dtype=np.int32), ends, len(known) - 1)
+        size = size[number]
+        upto = np.cumsum(size, dtype=np.int32)
+        place = np.arange(upto[-1] if len(upto) else 0, dtype=np.int32)
+        place += np.repeat(start[number] - upto + size, size)
+        flat = np.frombuffer(b"".join(known), np.uint16)[place]
+        cuts = np.concatenate([[0], upto[ends + np.arange(len(ends))]]) * 2
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(flat)])
 
 
 _KNOWN: dict[str, WordIds] = {}  # a worker process serves one task after the other
@@ -114,10 +138,10 @@ def tokenize(docs: DataFrame, text: str, file: str | None = None) -> DataFrame:
         if name not in _KNOWN:
             _KNOWN[name] = WordIds(name)
         ids = _KNOWN[name]
-        for batch in slices(batches, text, 2_000_000):
-            found = ids.texts(batch.column(text).to_pylist())
+        for batch in slices(batches, text, 16_000_000):
+            found = ids.texts(batch.column(text))
             names = [c for c in batch.schema.names if c != text]
-            columns = [batch.column(c) for c in names] + [pa.array(found, pa.binary())]
+            columns = [batch.column(c) for c in names] + [found]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "__ids"])
 
     schema = docs.drop(text).withColumn("__ids", F.lit(b"")).schema
@@ -199,8 +223,13 @@ def pack(
     least_piece: int = 64,
     tokens_per_shard: int = 1 << 21,
     file: str | None = None,
+    targets: Mapping[str | None, float] | None = None,
 ) -> DataFrame:
-    """Pieces ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source``."""
+    """Pieces ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source``.
+
+    ``targets`` are the sources' proportions in a window, any positive numbers; a source that is not named has none
+    and is packed when the others have run dry. Without them they are those of all tokens.
+    """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
     rows = rows.withColumn("__order", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
@@ -216,12 +245,20 @@ def pack(
     totals = held.groupBy("__shard").agg(F.sum("n").alias("shard_n"))
     before = Window.orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("__shard", F.coalesce(F.sum("shard_n").over(before), F.lit(0)).alias("before_n"))
-    share = held.groupBy("source").agg((F.sum("n") / F.lit(float(max(whole, 1)))).alias("share"))
+    if targets is None:
+        share = held.groupBy("source").agg((F.sum("n") / F.lit(float(max(whole, 1)))).alias("share"))
+    else:
+        asked = [(s, float(t) / sum(targets.values())) for s, t in targets.items()]
+        asked = docs.sparkSession.createDataFrame(asked, "__a string, share double")
+        share = held.select("source").distinct().join(asked, F.col("source").eqNullSafe(F.col("__a")), "left")
+        share = share.select("source", F.coalesce("share", F.lit(0.0)).alias("share"))
     own = Window.partitionBy("source").orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
     owed = held.select("__shard", "source", F.coalesce(F.sum("n").over(own), F.lit(0)).alias("had"))
     owed = owed.join(totals, "__shard").join(share.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")))
+    # with targets a shard's last windows hold what is left of some source, which no later shard can make up for
+    credit = F.col("share") * F.col("before_n") - F.col("had") if targets is None else F.lit(0.0)
     owed = owed.select("__shard", F.lit(None).cast("string").alias("doc_id"), "source", F.lit(None).cast("binary").alias("__ids"),
-                       F.lit(None).cast("long").alias("__row"), "share", (F.col("share") * F.col("before_n") - F.col("had")).alias("credit"))
+                       F.lit(None).cast("long").alias("__row"), "share", credit.alias("credit"))
     data = tokens.select("__shard", F.col("doc_id").cast("string").alias("doc_id"), "source", "__ids", "__row",
                          F.lit(None).cast("double").alias("share"), F.lit(None).cast("double").alias("credit"))
 

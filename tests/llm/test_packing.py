@@ -6,7 +6,10 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from spatialframes.llm import packing
@@ -23,8 +26,21 @@ def expected():
 
 
 def test_ids():
-    got = packing.WordIds(packing.word_file()).texts(ODD)
-    assert [np.frombuffer(g, np.uint16).tolist() for g in got] == expected()
+    known = packing.WordIds(packing.word_file())
+    for _ in range(2):
+        got = known.texts(pa.array(ODD)).to_pylist()
+        assert [np.frombuffer(g, np.uint16).tolist() for g in got] == expected()
+    assert known.texts(pa.array(ODD)[3:7]).to_pylist() == got[3:7]
+    assert known.texts(pa.array([], pa.string())).to_pylist() == []
+    assert known.texts(pa.array([None, "", " \n"])).to_pylist() == [b"\x01\x00"] * 3
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("abTZ09.,!?-_/\\|<>'\"`~^@#é ß\n"), max_size=30))
+def test_words_by_their_parts(text):
+    tokenizer = Tokenizer.from_file(packing.word_file())
+    got = packing.WordIds(packing.word_file()).texts(pa.array([text])).to_pylist()[0]
+    assert np.frombuffer(got, np.uint16).tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1]
 
 
 def pieces(spark, rows, **rule):
@@ -81,3 +97,25 @@ def test_round_robin_carries_deficits():
 
 def test_empty(spark):
     assert pieces(spark, []) == []
+
+
+def test_target_proportions(spark):
+    rows = [(i, "ab"[i % 2], f"some words of text number {i} " * 40) for i in range(400)]
+    got = pieces(spark, rows, targets={"a": 7, "b": 3}, tokens_per_shard=1 << 15)
+    plain = pieces(spark, rows, tokens_per_shard=1 << 15)
+    assert sum(p["length"] for p in got) == sum(p["length"] for p in plain)
+    windows = defaultdict(lambda: defaultdict(int))
+    for p in got:
+        windows[p["sequence_id"]][p["source"]] += p["length"]
+    shards = defaultdict(list)
+    for number in sorted(windows):
+        shards[number >> 32].append(windows[number])
+    assert len(shards) > 3
+    for own in shards.values():
+        # a shard's windows, up to the one in which a source runs dry
+        last = max(i for i, w in enumerate(own) if w["a"])
+        assert last >= 3
+        for w in own[:last]:
+            assert abs(w["a"] - 0.7 * packing.WINDOW) <= 64 and w["a"] + w["b"] == packing.WINDOW
+        assert all(w["a"] == 0 for w in own[last + 1 :])
+    assert pieces(spark, rows[:6], targets={"a": 1})
