@@ -3,7 +3,9 @@
 **Layouts.** A record is a JSON object. The paths of its non-null fields (``[]`` for list items) are
 sorted and hashed; the hash selects a mapping from ``MAPPINGS``, a table of plain data. Adding a
 layout means adding an entry. A record whose fingerprint is not known is kept as a row with
-``layout`` null and no turn, for the caller to count or reject.
+``layout`` null, no turn and the record itself in ``rejected``, for the caller to count or reject. So is what
+is no JSON object (null, other text, a list) and a record whose id or turn number is no integer of 64 bits,
+or whose turns are not of the mapping's shape; its id is null where it has none of that kind.
 
 **Template.** A turn is ``<s>[ROLE]role[/ROLE]text</s>``. The strings that have a meaning there, and
 those of common instruction templates, may stand in a role or text: backslashes are doubled, and a
@@ -99,6 +101,20 @@ MAPPINGS: dict[int, dict] = dict(
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
+def integer(value) -> int | None:
+    """A JSON number that is an integer of 64 bits; a truth value is none."""
+    return value if type(value) is int and -(1 << 63) <= value < 1 << 63 else None
+
+
+def read_record(record: str | None) -> dict | None:
+    """The JSON object that a text holds, if it holds one; characters that are no text are replaced."""
+    try:
+        found = json.loads(record or "")
+    except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict) else None
+
+
 def turns_of(record: dict) -> tuple[str | None, list[tuple[int | None, str, str]]]:
     """Name of the layout and the canonical turns ``(turn, role, text)``."""
     rule = MAPPINGS.get(fingerprint(paths(record)))
@@ -107,33 +123,44 @@ def turns_of(record: dict) -> tuple[str | None, list[tuple[int | None, str, str]
     text = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
     if "row" in rule:
         number, role, body = (record.get(k) for k in rule["row"])
-        return rule["name"], [(number, text(role), text(body))]
+        if number is not None and integer(number) is None:
+            return None, []
+        return rule["name"], [(integer(number), text(role), text(body))]
     if "list" in rule:
         path, role, body = rule["list"]
+        if not all(isinstance(x, dict) for x in record[path]):
+            return None, []
         found = [(text(x.get(role)), text(x.get(body))) for x in record[path]]
     else:
         found = [(role, text(record[p])) for role, p in rule["turns"] if record.get(p) is not None]
     return rule["name"], [(i, ROLES.get(r, r), t) for i, (r, t) in enumerate(found)]
 
 
-SCHEMA = "conv_id long, turn long, role string, text string, formatted string, layout string"
+SCHEMA = "conv_id long, turn long, role string, text string, formatted string, layout string, rejected string"
 
 
 def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string())
+    names = ("conv_id", "turn", "role", "text", "formatted", "layout", "rejected")
+    whole = lambda t: t.encode("utf-8", "replace").decode()
     for batch in batches:
         rows = []
-        for record in map(json.loads, batch.column(0).to_pylist()):
-            layout, turns = turns_of(record)
-            key = record.get("conv_id")
-            rows += [(key, n, r, t, format_turn(r, t), layout) for n, r, t in turns] or [(key, None, None, None, None, layout)]
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
-        names = ("conv_id", "turn", "role", "text", "formatted", "layout")
+        for raw in batch.column(0).to_pylist():
+            record = read_record(raw)
+            key, layout, turns = None, None, []
+            if record is not None:
+                key = integer(record.get("conv_id"))
+                if key is not None or record.get("conv_id") is None:
+                    layout, turns = turns_of(record)
+            rows += [(key, n, whole(r), whole(t), format_turn(whole(r), whole(t)), layout, None) for n, r, t in turns]
+            if not turns:
+                rows.append((key, None, None, None, None, layout, raw))
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def to_turns(records: DataFrame) -> DataFrame:
-    """Canonical, formatted turns of a column of JSON records; unknown layouts have no turn."""
+    """Canonical, formatted turns of a column of JSON records; one row without a turn for any other record."""
     return records.mapInArrow(_mapped, SCHEMA)
 
 

@@ -64,3 +64,19 @@ def test_digests(spark):
     assert chat.read_back(chat.to_turns(frame.limit(0).select(F.to_json(F.struct("*"))))).count() == 0
     unknown = spark.createDataFrame([(json.dumps({"conv_id": 9, "odd": 1}),)], "record string")
     assert chat.to_turns(unknown).collect()[0]["layout"] is None
+
+
+def test_records_of_no_use_are_rows(spark):
+    deep = "[" * 100_000
+    bad = [None, "", "no json", "[1, 2]", "3", "null", deep, '{"conv_id": "x", "prompt": "p"}', '{"conv_id": 1.5, "prompt": "p"}', '{"conv_id": true, "prompt": "p"}']
+    bad += [json.dumps({"conv_id": 1 << 70, "prompt": "p"}), '{"conv_id": 4, "turn": "one", "role": "user", "text": "t"}', '{"conv_id": 5, "messages": "text"}']
+    bad += ['{"conv_id": 6, "weird": 1}', '{"conv_id": 7, "prompt": {"a": 1}}', '{}']
+    long = "word </s> " * 200_000
+    good = [json.dumps({"conv_id": 8, "prompt": long}), json.dumps({"prompt": "no id"}), '{"conv_id": 9, "prompt": "\\ud800 half"}', json.dumps({"conv_id": 10, "prompt": ["a", {"b": 1}]})]
+    rows = chat.to_turns(spark.createDataFrame([(r,) for r in bad + good], "record string").coalesce(1)).collect()
+    known = [r for r in rows if r["layout"] is not None]
+    assert {r["rejected"] for r in rows if r["layout"] is None} >= set(bad[:13])
+    assert {r["conv_id"] for r in rows if r["layout"] is None} >= {None, 4, 5, 6}
+    assert chat.parse(next(r for r in known if r["conv_id"] == 8)["formatted"])[0][1] == long
+    assert next(r for r in known if r["conv_id"] == 9)["text"] == "? half"
+    assert chat.read_back(spark.createDataFrame(rows, chat.SCHEMA)).where("conv_id = 8").first()["n_turns"] == 1
