@@ -1,13 +1,15 @@
 """Personal data in texts: patterns propose spans, checksums confirm them, nearby words set a score.
 
-Kinds: ``email``, ``ip``, ``card``, ``phone`` (the base kinds) and ``iban``, which the method adds.
-Matches of a kind are leftmost and do not overlap; a match that fails its check is dropped and not
-tried again in another way. Card numbers must pass Luhn, account numbers the remainder 1 by 97, the
-parts of an address must be at most 255, a phone number has 8 to 15 digits.
+Kinds: ``email``, ``ip``, ``card``, ``phone`` (the base kinds), and ``iban``, ``ssn`` (social security
+numbers) and ``key`` (long tokens of letters and digits), which the method adds. Matches of a kind are
+leftmost and do not overlap; a match that fails its check is dropped and not tried again in another way.
+Card numbers must pass Luhn, account numbers the remainder 1 by 97, the parts of an address must be at
+most 255, a phone number has 8 to 15 digits, a key has letters and digits.
 
-A span scores by its evidence: a checksum or a strict form gives most, words such as "card" or "call"
-within ``CONTEXT`` characters before or after it add to it. Base spans are always kept; an added kind
-must reach ``least``.
+A span scores by its evidence: a checksum or a strict form gives most, and words that begin like "card" or
+"call" within ``CONTEXT`` characters before or after it, itself left out, add ``NEAR``. Base spans are always
+kept; a span of an added kind must reach ``least``: an account number does by its checksum, the others only with
+a word near them.
 
 Only DataFrame functions. To get positions, the matches of a text are marked by ``regexp_replace`` and
 the text is split at the marks: the odd parts are the matches, and the lengths of the parts give the
@@ -28,16 +30,19 @@ from pyspark.sql import functions as F
 from spatialframes.llm.common import read
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban")
+KINDS = (*BASE, "iban", "ssn", "key")
 CONTEXT = 40
+NEAR = 0.3
 WORDS = {
-    "email": "mail|contact|write|address",
+    "email": "e-?mail|contact|write|address",
     "ip": "ip|host|server|address|login",
     "card": "card|visa|credit|payment|pay",
     "phone": "phone|call|tel|fax|mobile",
     "iban": "iban|account|bank|transfer",
+    "ssn": "ssn|social|security|insurance",
+    "key": "key|token|secret|password|passwd|bearer|credential|api",
 }
-EVIDENCE = {"email": 0.8, "ip": 0.5, "card": 0.8, "phone": 0.6, "iban": 0.8}
+EVIDENCE = {"email": 0.8, "ip": 0.5, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.5, "key": 0.5}
 
 _OPEN, _SHUT = "\x01", "\x02"  # around a match
 _DOT, _SEP = "\x03", "\x04"  # a dot inside a domain, a separator inside a number
@@ -54,9 +59,11 @@ PATTERNS = {
     "card": rf"(?<![0-9{_SEP}])[0-9][0-9{_SEP}]++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "key": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+",
 }
 #: What a text must hold to be searched for a kind at all.
-HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][0-9 -]{14}", "phone": r"\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}"}
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][0-9 -]{14}", "phone": r"\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "ssn": "[0-9]-[0-9]{2}-[0-9]", "key": "[A-Za-z0-9+/_-]{20}"}
 
 
 def _clean(text: Column) -> Column:
@@ -102,6 +109,10 @@ def _valid(found: Column, kind: str) -> Column:
         return F.when(F.length(digits).between(16, 19), F.call_function("luhn_check", digits)).otherwise(F.lit(False))
     if kind == "phone":
         return F.length(_digits(found)).between(8, 15)
+    if kind == "ssn":
+        return F.lit(True)
+    if kind == "key":
+        return found.rlike("[0-9]") & found.rlike("[A-Za-z]")
     length = F.length(F.replace(found, F.lit(" "), F.lit("")))
     return length.between(15, 34) & (_mod97(found) == 1)
 
@@ -118,29 +129,35 @@ _SPAN = "array<struct<kind:string,start:long,end:long,score:double>>"
 def _spans(clean: Column, kind: str) -> Column:
     """Confirmed spans of one kind in order of their start."""
 
-    def step(state: Column, part: Column) -> Column:
+    def after(parts: Column, i: Column) -> Column:
+        """What follows a part: a match is longer than four characters, so these parts are enough."""
+        return F.array_join(F.transform(F.slice(parts, i + 2, F.lit(CONTEXT // 2)), lambda p: F.left(p, F.lit(CONTEXT))), "")
+
+    def step(parts: Column, state: Column, i: Column) -> Column:
+        part, odd = F.get(parts, i), i % 2 == 1
         end = state["at"] + F.length(part)
-        near = F.concat_ws(" ", F.right(state["last"], F.lit(CONTEXT)), part)
+        near = F.lower(F.concat(state["tail"], F.lit(" "), F.left(after(parts, i), F.lit(CONTEXT))))
+        high, low = min(1.0, round(EVIDENCE[kind] + NEAR, 6)), EVIDENCE[kind]
         span = F.struct(
             F.lit(kind).alias("kind"), state["at"].alias("start"), end.alias("end"),
-            F.when(F.lower(near).rlike(WORDS[kind]), F.lit(min(1.0, EVIDENCE[kind] + 0.2))).otherwise(F.lit(EVIDENCE[kind])).alias("score"),
+            F.when(near.rlike(f"(?<![a-z])(?:{WORDS[kind]})"), F.lit(high)).otherwise(F.lit(low)).alias("score"),
         )
-        # the words after a match are the start of the next part, where the last span may still gain
-        found = F.when(state["odd"] & _valid(part, kind), F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(end.alias("at"), (~state["odd"]).alias("odd"), part.alias("last"), found.alias("spans"))
+        tail = F.when(F.length(part) >= CONTEXT, F.right(part, F.lit(CONTEXT))).otherwise(F.right(F.concat(state["tail"], part), F.lit(CONTEXT)))
+        found = F.when(odd & _valid(part, kind), F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
+        return F.struct(end.alias("at"), tail.alias("tail"), found.alias("spans"))
 
     none = F.array().cast(_SPAN)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("odd"), F.lit("").alias("last"), none.alias("spans"))
 
     def block(parts: Column, state: Column, number: Column) -> Column:
-        own = F.struct(state["at"].alias("at"), state["odd"].alias("odd"), state["last"].alias("last"), none.alias("spans"))
-        done = F.aggregate(F.slice(parts, number * _BLOCK + 1, F.lit(_BLOCK)), own, step)
-        add = lambda s: F.struct(s["at"].alias("at"), s["odd"].alias("odd"), s["last"].alias("last"), F.concat(state["blocks"], F.array(s["spans"])).alias("blocks"))
+        own = F.struct(state["at"].alias("at"), state["tail"].alias("tail"), none.alias("spans"))
+        numbers = F.sequence(number * _BLOCK, F.least(number * _BLOCK + _BLOCK, F.size(parts)) - 1)
+        done = F.aggregate(numbers, own, lambda s, i: step(parts, s, i))
+        add = lambda s: F.struct(s["at"].alias("at"), s["tail"].alias("tail"), F.concat(state["blocks"], F.array(s["spans"])).alias("blocks"))
         return F.element_at(F.transform(F.array(done), add), 1)
 
     def search(parts: Column) -> Column:
         # spans are appended within blocks and blocks to each other: appending copies what is there
-        first = F.struct(start["at"].alias("at"), start["odd"].alias("odd"), start["last"].alias("last"), F.array().cast(f"array<{_SPAN}>").alias("blocks"))
+        first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<{_SPAN}>").alias("blocks"))
         numbers = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _BLOCK).cast("int"))
         return F.aggregate(numbers, first, lambda state, number: block(parts, state, number), lambda state: F.flatten(state["blocks"]))
 

@@ -87,3 +87,29 @@ def test_scores_clashes_and_empty(spark):
     assert pii.find(docs.limit(0)).count() == 0
     one = pii.redact(pii.find(docs)).orderBy("text").collect()
     assert [r["text"] for r in one] == ["my card [card]", "see [card]"]
+
+
+KEY = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+NEAR = [
+    # words before and after count, those of the match itself and those farther off do not
+    ("4111111111111111 is my card", "card", 1.0), ("my card 4111111111111111", "card", 1.0), ("4111111111111111", "card", 0.8),
+    ("1.2.3.4 is the server", "ip", 0.8), ("1.2.3.4 " + "x " * 20 + "server", "ip", 0.5), ("observer 1.2.3.4", "ip", 0.5),
+    ("a@mail.com", "email", 0.8), ("a@mail.com my contact", "email", 1.0), ("contact: a@b.c 1.2.3.4", "ip", 0.5), ("host a@b.c 1.2.3.4", "ip", 0.8),
+    (f'token = "{KEY}"', "key", 0.8), (f"{KEY} is the API key", "key", 0.8), (f"digest {KEY}", "key", None), ("token " + "a" * 40, "key", None),
+    ("SSN 123-45-6789", "ssn", 0.8), ("123-45-6789", "ssn", None), ("ssn 1123-45-6789", "ssn", None), ("123-45-6789 (social security)", "ssn", 0.8),
+    ("DE89370400440532013000 is my account", "iban", 1.0), ("e " * 30 + "1.1.1.1,2.2.2.2,3.3.3.3;host", "ip", 0.8),
+]
+
+
+def test_context_on_both_sides_decides(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(NEAR)], "doc_id long, text string")
+    rows = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    for i, (text, kind, score) in enumerate(NEAR):
+        own = [s for s in rows[i] if s["kind"] == kind]
+        assert (own[0]["score"] if own else None) == score, text
+        assert all(s["kind"] in pii.BASE or s["score"] >= 0.8 for s in rows[i])
+
+
+def test_the_tables_have_added_spans(spark):
+    found = pii.op10(spark, "/root/testdata/sf0.01").collect()
+    assert any("key:" in r["spans"] for r in found)
