@@ -1,7 +1,7 @@
 """Dense arrays from (position, value) entries.
 
 Catalyst reads an array or map entry by entry, which is quadratic for filling a grid, so the fill
-runs over Arrow batches: one numpy assignment per row.
+runs over Arrow batches: one numpy assignment per batch.
 """
 
 from __future__ import annotations
@@ -16,13 +16,16 @@ from pyspark.sql.types import ArrayType, DoubleType
 def _fill(positions: pd.Series, values: pd.Series, size: pd.Series, missing: pd.Series) -> pd.Series:
     import numpy as np
 
-    filled = []
-    for at, value, n, empty in zip(positions, values, size, missing):
-        row = np.full(n, empty, dtype="float64")
-        if at is not None and len(at):
-            row[np.asarray(at, dtype="int64")] = value
-        filled.append(row)
-    return pd.Series(filled)
+    sizes = size.to_numpy(dtype="int64")
+    starts = np.cumsum(sizes) - sizes
+    flat = np.repeat(missing.to_numpy(dtype="float64"), sizes)
+    full = positions.notna().to_numpy()
+    if full.any():
+        own, given = positions[full], values[full]
+        at = np.concatenate(own.to_list()).astype("int64") + np.repeat(starts[full], own.map(len).to_numpy(dtype="int64"))
+        # of entries with one position the last wins, as it is assigned last
+        flat[at] = np.concatenate(given.to_list()).astype("float64")
+    return pd.Series(np.split(flat, np.cumsum(sizes)[:-1]))
 
 
 def scatter(entries: Column, size: int | Column, missing: float = 0.0) -> Column:

@@ -95,27 +95,47 @@ def fov_sequential(spark, sf):
     return ops.fov_sequential(rows, FOV, ["cell_id"], cap=10000).select("cell_id", "fov_name", "position")
 
 
-@query(
-    "balanced_epoch",
-    """, ranked AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY md5('42|' || dataset_name || '|' || fov_name), dataset_name, fov_name) AS rk FROM v_fovs),
+def epoch_sql(pool: str, weight: str) -> str:
+    """Draws of an epoch from the inner-train fields; ``pool`` filters the rows, ``weight`` is that of a class."""
+    return (
+        f""", ranked AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY md5('42|' || dataset_name || '|' || fov_name), dataset_name, fov_name) AS rk FROM v_fovs),
        inner_train AS (SELECT dataset_name, fov_name FROM ranked WHERE rk > least(greatest(1, CAST(round_even(n * 0.1::DOUBLE, 0) AS BIGINT)), n - 1)),
-       pool AS (SELECT l.* FROM v_labeled l SEMI JOIN inner_train USING (dataset_name, fov_name) QUALIFY row_number() OVER (PARTITION BY ct_label ORDER BY md5('42|' || cell_id), cell_id) <= 1500),
-       w AS (SELECT ct_label, CAST(sum(count(*)) OVER () / count(*) AS DECIMAL(28, 12)) AS w FROM pool GROUP BY ct_label),
+       pool AS (SELECT l.* FROM v_labeled l SEMI JOIN inner_train USING (dataset_name, fov_name) {pool}),
+       w AS (SELECT ct_label, CAST({weight} AS DECIMAL(28, 12)) AS w FROM pool GROUP BY ct_label),
        line AS (SELECT cell_id, dataset_name, fov_name, w, sum(w) OVER (ORDER BY md5('42|' || cell_id || '|' || dataset_name || '|' || fov_name), cell_id ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER () AS t FROM pool JOIN w USING (ct_label)),
        ends AS (SELECT cell_id, dataset_name, fov_name, CAST(c - w AS DOUBLE) AS lo, CAST(t AS DOUBLE) AS total FROM line),
        d AS (SELECT draw, cell_id, dataset_name, fov_name FROM (SELECT i AS draw, CAST(CAST('0x' || substr(md5('42|draw|' || i), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0::DOUBLE * (SELECT max(total) FROM ends) AS x
        FROM range(0, 3000) r(i) WHERE i < (SELECT count(*) FROM pool)) ASOF JOIN ends ON x >= lo)"""
-    + GROUPED.format(seed=42, rows="d", key="draw")
-    + 'SELECT draw, cell_id, "position" FROM o',
-    views=("labeled", "fovs"),
-)
-def balanced_epoch(spark, sf):
+        + GROUPED.format(seed=42, rows="d", key="draw")
+        + 'SELECT draw, cell_id, "position" FROM o'
+    )
+
+
+def epoch(spark, sf, scheme, cap=None):
     cells = b.labeled(spark, sf)
     inner = splits.inner_val(splits.fov_frame(cells), 0.1).where("split = 'train'")
-    out = ops.balanced_epoch(cells, inner, "ct_label", ["cell_id"], n=3000, scheme="equal", cap=1500)
+    out = ops.balanced_epoch(cells, inner, "ct_label", ["cell_id"], n=3000, scheme=scheme, cap=cap)
     return out.select("draw", "cell_id", "position")
 
 
+CAPPED = "QUALIFY row_number() OVER (PARTITION BY ct_label ORDER BY md5('42|' || cell_id), cell_id) <= 1500"
+
+
+@query("balanced_epoch", epoch_sql(CAPPED, "sum(count(*)) OVER () / count(*)"), views=("labeled", "fovs"))
+def balanced_epoch(spark, sf):
+    return epoch(spark, sf, "equal", 1500)
+
+
+@query("balanced_epoch_sqrt", epoch_sql("", "sqrt(sum(count(*)) OVER () / greatest(count(*), 1000))"), views=("labeled", "fovs"))
+def balanced_epoch_sqrt(spark, sf):
+    return epoch(spark, sf, "sqrt")
+
+
+@query("balanced_epoch_none", epoch_sql("", "1"), views=("labeled", "fovs"))
+def balanced_epoch_none(spark, sf):
+    return epoch(spark, sf, "none")
+
+
 RANKED_CHANNELS = """(SELECT fov_key, cell_id, marker, count(*) OVER (PARTITION BY fov_key, cell_id) AS valid, row_number() OVER (PARTITION BY fov_key, cell_id
        ORDER BY md5('42|' || fov_key || '|' || cell_id || '|' || marker), marker) AS rk FROM v_channel_features)"""
 
