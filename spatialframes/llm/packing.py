@@ -94,7 +94,10 @@ class WordIds(dict):
         self[word] = found
         return found
 
-    def texts(self, texts: pa.Array) -> pa.Array:
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        return self.column(pa.array(texts, pa.string())).to_pylist()
+
+    def column(self, texts: pa.Array) -> pa.Array:
         """The ids of every text with the closing id, as binary.
 
         A batch's distinct words are looked up once, and the ids of its words are gathered by their numbers.
@@ -139,7 +142,7 @@ def tokenize(docs: DataFrame, text: str, file: str | None = None) -> DataFrame:
             _KNOWN[name] = WordIds(name)
         ids = _KNOWN[name]
         for batch in slices(batches, text, 16_000_000):
-            found = ids.texts(batch.column(text))
+            found = ids.column(batch.column(text))
             names = [c for c in batch.schema.names if c != text]
             columns = [batch.column(c) for c in names] + [found]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "__ids"])

@@ -28,18 +28,18 @@ def expected():
 def test_ids():
     known = packing.WordIds(packing.word_file())
     for _ in range(2):
-        got = known.texts(pa.array(ODD)).to_pylist()
+        got = known.column(pa.array(ODD)).to_pylist()
         assert [np.frombuffer(g, np.uint16).tolist() for g in got] == expected()
-    assert known.texts(pa.array(ODD)[3:7]).to_pylist() == got[3:7]
-    assert known.texts(pa.array([], pa.string())).to_pylist() == []
-    assert known.texts(pa.array([None, "", " \n"])).to_pylist() == [b"\x01\x00"] * 3
+    assert known.column(pa.array(ODD)[3:7]).to_pylist() == got[3:7]
+    assert known.column(pa.array([], pa.string())).to_pylist() == []
+    assert known.column(pa.array([None, "", " \n"])).to_pylist() == [b"\x01\x00"] * 3
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.text(st.sampled_from("abTZ09.,!?-_/\\|<>'\"`~^@#é ß\n"), max_size=30))
 def test_words_by_their_parts(text):
     tokenizer = Tokenizer.from_file(packing.word_file())
-    got = packing.WordIds(packing.word_file()).texts(pa.array([text])).to_pylist()[0]
+    got = packing.WordIds(packing.word_file()).texts([text])[0]
     assert np.frombuffer(got, np.uint16).tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1]
 
 
