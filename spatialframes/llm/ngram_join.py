@@ -16,10 +16,13 @@ it is named by 63 bits of the set's digest.
    compared by their sets.
 5. **Components** of all links, by alternating stars: linear in the links, a few rounds.
 
-With ``count_links`` the links are counted: nothing is left out for being connected already. Every two nodes
-of a group are compared that its tree cannot rule out, and a block is open unless it is all of one
-group. Links are as many as there are, so a group of near copies has a number of them that grows with
-its square. Without it only what connects is looked for.
+With ``count_links`` the links are counted: nothing is left out for being connected already, and a block is
+open unless it is all of one group. A pair of nodes meets in one group at most, and in the rest only if it
+met in none, so each task adds up the links of its nodes and gives, besides these sums, only the links
+that connect. Within a group most links follow from the distances to the hub and are counted by rank; only
+pairs that these and the tree leave open are compared. What the rest links is given as links between
+the components of the groups. So no table has a row for every link of a group of near copies. Without
+``count_links`` only what connects is looked for.
 
 No stage holds a block, group or component whole: blocks and groups are read in chunks of
 ``CHUNK_TOKENS`` tokens, hubs are streamed. Broadcast are the counters' levels (one byte each) and a
@@ -184,7 +187,7 @@ def _with_hubs(rows: list[tuple], hub: tuple, percent: int) -> tuple[pa.RecordBa
 
 
 def sets_of(docs: DataFrame, text: str, n: int, wanted: DataFrame) -> DataFrame:
-    """``node, tokens, bits`` of the nodes of ``wanted`` (``node, doc``), read from the texts again.
+    """``node, copies, tokens, bits`` of the nodes of ``wanted`` (``node, doc, copies``), read from the texts again.
 
     Documents are first told by a bitmap of fixed size over the ids wanted, then exactly by a join.
     """
@@ -208,15 +211,17 @@ def sets_of(docs: DataFrame, text: str, n: int, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(map(_node, own), pa.int64()), pa.ListArray.from_arrays(ends, flat), bits], names=["node", "tokens", "bits"])
 
     rows = docs.withColumn("doc", F.col("doc_id")).select(code.alias("__code"), F.col(text).alias("__text"))
-    found = rows.mapInArrow(run, "node long, tokens array<long>, bits binary").join(wanted.select("node"), "node", "left_semi")
+    found = rows.mapInArrow(run, "node long, tokens array<long>, bits binary").join(wanted.select("node", "copies"), "node")
     # copies of a set come with the same id only where rows repeat
-    return found.groupBy("node").agg(F.any_value("tokens").alias("tokens"), F.any_value("bits").alias("bits"))
+    return found.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("copies", "tokens", "bits")])
 
 
 def join_groups(groups: DataFrame, sets: DataFrame, percent: int, chunk_tokens: int, want: str = "connected") -> DataFrame:
     """Links ``a, b`` that connect what is alike within each group of ``groups`` (``hub, node, size``).
 
-    ``want`` "every": all links within a group; "hub": all links of its hub.
+    ``want`` "every": besides them rows with ``n`` and without ``b``, whose sum is the number of documents
+    that node ``a`` is linked with in the group; "hub": the same for links with the hub only, and the links
+    are those between the ``comp`` of the nodes, which ``groups`` must have then.
     """
     sums = groups.groupBy("hub").agg(F.sum("size").alias("all"))
     sums = sums.select("hub", F.ceil(F.col("all") / chunk_tokens).cast("int").alias("chunks"))
@@ -228,46 +233,62 @@ def join_groups(groups: DataFrame, sets: DataFrame, percent: int, chunk_tokens:
     if want == "hub":
         every = F.transform(others, lambda k: F.struct(k.alias("i"), k.alias("j")))
         own = F.array(F.struct(F.col("own").alias("i"), F.col("own").alias("j")))
-    rows = rows.select("hub", "node", "own", F.explode(F.when(F.col("hub") == F.col("node"), every).otherwise(own)).alias("t"))
-    rows = rows.join(sets, "node").select("hub", "t.i", "t.j", (F.col("node") != F.col("hub")).alias("other"), "node", "tokens", "own")
+    comp = F.col("comp") if want == "hub" else F.lit(None).cast("long").alias("comp")
+    rows = rows.select("hub", "node", "own", comp, F.explode(F.when(F.col("hub") == F.col("node"), every).otherwise(own)).alias("t"))
+    rows = rows.join(sets, "node").select("hub", "t.i", "t.j", (F.col("node") != F.col("hub")).alias("other"), "node", "tokens", "own", "copies", "comp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sets_, chunk = None, [], [], []
+        key, held, sets_ = None, [], []  # the hub is first
 
         def linked() -> pa.RecordBatch:
-            hub = nodes.index(key[0]) if key and key[0] in nodes else None
-            if want == "every":
-                # two nodes of one chunk meet where that chunk meets itself
-                found = tree.every(sets_, percent, np.array(chunk) if key[1] != key[2] else None)
+            nodes, chunk, copies, comp = zip(*held, strict=True)
+            weights, n = np.array(copies, np.int64), np.zeros(0, np.int64)
+            if want == "connected":
+                hub = 0 if nodes[0] == key[0] else None
+                found = [(nodes[i], nodes[j]) for i, j in tree.join(sets_, percent, hub)]
             elif want == "hub":
-                found = [(hub, i) for i, own in enumerate(sets_) if i != hub and tree.alike(sets_[hub], own, percent)]
+                alike = [i for i in range(1, len(nodes)) if tree.alike(sets_[0], sets_[i], percent)]
+                found = sorted({(comp[0], comp[i]) for i in alike if comp[i] != comp[0]})
+                n = np.zeros(len(nodes), np.int64)
+                n[alike] = weights[0]
+                n[0] = weights[alike].sum()
+            elif key[1] == key[2]:
+                found, n = tree.tally(sets_[0], sets_, weights, percent)
+                found = [(nodes[i], nodes[j]) for i, j in found]
             else:
-                found = tree.join(sets_, percent, hub) if len(nodes) > 1 else []
-            columns = [pa.array([nodes[p[i]] for p in found], pa.int64()) for i in (0, 1)]
-            return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+                # two nodes of one chunk, and the hub and any other, meet where a chunk meets itself
+                found, n = tree.tally(sets_[0], sets_[1:], weights[1:], percent, np.array(chunk[1:]))
+                nodes = nodes[1:]
+                found = [(nodes[i], nodes[j]) for i, j in found]
+            some = np.flatnonzero(n)
+            a = [p[0] for p in found] + [nodes[i] for i in some]
+            b = [p[1] for p in found] + [None] * len(some)
+            columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([None] * len(found) + n[some].tolist(), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "n"])
 
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("hub", "i", "j")), strict=True))
-            ids, tokens, owns = batch.column("node").to_pylist(), batch.column("tokens"), batch.column("own").to_pylist()
-            for r, own in enumerate(keys):
+            keys = zip(*(batch.column(c).to_pylist() for c in ("hub", "i", "j")), strict=True)
+            values = zip(*(batch.column(c).to_pylist() for c in ("node", "own", "copies", "comp")), strict=True)
+            tokens = batch.column("tokens")
+            for r, (own, value) in enumerate(zip(keys, values, strict=True)):
                 if own != key:
-                    if len(nodes) > 1:
+                    if len(held) > 1:
                         yield linked()
-                    key, nodes, sets_, chunk = own, [], [], []
-                nodes.append(ids[r])
-                chunk.append(owns[r])
+                    key, held, sets_ = own, [], []
+                held.append(value)
                 sets_.append(tokens[r].values.to_numpy().view(np.uint64))
-        if len(nodes) > 1:
+        if len(held) > 1:
             yield linked()
 
     ordered = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "other", "node")
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(run, "a long, b long, n long")
 
 
 def rest_pairs(rows: DataFrame, percent: int, chunk_rows: int) -> DataFrame:
     """Pairs ``a, b`` of nodes in open blocks that bitmaps cannot rule out.
 
-    ``rows`` has ``token, node, size, comp, grp, bits``; nodes of one component or group need no pair.
+    ``rows`` has ``token, node, size, comp, grp, bits``; nodes of one component or group need no pair, nor do
+    a node and the hub of its group.
     """
     sums = rows.groupBy("token").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
     cut = rows.join(sums, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
@@ -291,7 +312,8 @@ def rest_pairs(rows: DataFrame, percent: int, chunk_rows: int) -> DataFrame:
                     inner.join(first.setdefault(held[i][2], p), p)
                 bits = np.stack([tree.fold(maps[i], words) for i in band])
                 label = np.array([held[i][3] for i in band])
-                out += [(held[band[p]][0], held[band[q]][0]) for p, q in tree.pairs(bits, sizes[band], percent, inner, label)]
+                may = [(held[band[p]], held[band[q]]) for p, q in tree.pairs(bits, sizes[band], percent, inner, label)]
+                out += [(x[0], y[0]) for x, y in may if x[3] != y[0] and y[3] != x[0]]
             out = sorted({(min(p), max(p)) for p in out})
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -319,7 +341,7 @@ def _few(held: list[tuple], percent: int) -> list[tuple[int, int]]:
     for p, (a, n, comp, grp, bits) in enumerate(held):
         for q in range(p):
             b, m, comp2, grp2, bits2 = held[q]
-            if comp == comp2 or grp == grp2 or 100 * min(n, m) < percent * max(n, m):
+            if comp == comp2 or grp == grp2 or grp == b or grp2 == a or 100 * min(n, m) < percent * max(n, m):
                 continue
             x, y, wide, wide2 = maps[p], maps[q], 8 * len(bits), 8 * len(bits2)
             while wide > wide2:
@@ -378,9 +400,9 @@ def link(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80, chu
     """
     docs = docs.select("doc_id", text)
     members, level = count(docs, text, n)
-    nodes = members.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.any_value("size").alias("size"))
+    nodes = members.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.any_value("size").alias("size"), F.count("*").alias("copies"))
     nodes = settle(nodes)
-    wanted = nodes.select("node", "doc")
+    wanted = nodes.select("node", "doc", "copies")
     rows = settle(blocks(prefixes(docs, text, n, percent, level), percent))
 
     shared = rows.where("node <> hub").groupBy("node", "hub", "size").agg(F.count("*").alias("c"))
@@ -394,7 +416,7 @@ def link(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80, chu
     sets = sets_of(docs, text, n, wanted.join(groups.select("node").distinct(), "node", "left_semi")).drop("bits")
     # the sets come grouped by node, as the join with them needs them
     links = settle(join_groups(groups, sets, percent, chunk_tokens, "every" if count_links else "connected"))
-    found = components(links)
+    found = components(links.where("b is not null"))
 
     # a hub belongs to its own group unless it has joined another
     labels = found.join(best.select("node", F.col("hub").alias("grp")), "node", "full")
@@ -413,9 +435,17 @@ def link(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80, chu
         sets = settle(sets_of(docs, text, n, wanted.join(left.select("node").distinct(), "node", "left_semi")))
         more = settle(rest_pairs(left.join(sets.select("node", "bits"), "node"), percent, max(64, chunk_tokens // 256)))
         stars = more.select(F.col("a").alias("hub"), F.col("b").alias("node")).unionByName(more.select(F.col("a").alias("hub"), F.col("a").alias("node")).distinct())
-        stars = settle(stars.join(nodes.select("node", "size"), "node").select("hub", "node", "size"))
-        links = settle(links.unionByName(join_groups(stars, sets.drop("bits"), percent, chunk_tokens, "hub" if count_links else "connected")))
-        found = components(links)
+        stars = stars.join(nodes.select("node", "size"), "node")
+        if count_links:
+            stars = stars.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            more = settle(join_groups(settle(stars), sets.drop("bits"), percent, chunk_tokens, "hub"))
+            later = components(more.where("b is not null")).select(F.col("node").alias("comp"), F.col("comp").alias("last"))
+            found = nodes.select("node").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            found = found.join(later, "comp", "left").select("node", F.coalesce("last", "comp").alias("comp"))
+            links = links.unionByName(more)
+        else:
+            more = join_groups(settle(stars.select("hub", "node", "size")), sets.drop("bits"), percent, chunk_tokens)
+            found = components(settle(links.unionByName(more)))
 
     named = nodes.select("node", "doc").join(found, "node", "left").select("node", "doc", F.coalesce("comp", "node").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
@@ -426,12 +456,9 @@ def link(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80, chu
     result = [F.col("doc_id"), F.col("size").alias("n_shingles"), component.alias("component_id")]
     if not count_links:
         return out.select(result)
-    copies = settle(members.where("node is not null").groupBy("node").agg(F.count("*").alias("copies")))
-    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    ends = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("end")), F.struct(F.col("b").alias("node"), F.col("a").alias("end")))).alias("l")).select("l.*")
-    others = ends.join(copies.select(F.col("node").alias("end"), "copies"), "end").groupBy("node").agg(F.sum("copies").alias("others"))
-    counts = settle(copies.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
-    return out.join(counts, "node", "left").select(*result, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    n = links.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    n = nodes.join(n, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return out.join(settle(n), "node", "left").select(*result, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _open(rows: DataFrame) -> DataFrame:

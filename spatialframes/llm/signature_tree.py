@@ -7,7 +7,10 @@ pairs of nodes from the roots down and leaves a pair when no two sets below can
 * by overlap: a set has at most as many tokens in common with a set below the other node as its bits
   in common with that node's bitmap, plus the tokens of it that share a bit;
 * by connection: all sets below both nodes are linked already, directly or through others
-  (:func:`every` goes without this rule and gives all links).
+  (:func:`tally`, which counts all links, goes without this rule);
+* by distance, where every set's Jaccard distance to a hub is known: two distances that add up to no more
+  than the limit make a link sure, two that differ by more than it rule one out. Sure links are counted by
+  rank, without their pairs.
 
 What is left at the leaves is compared bit by bit, then token by token.
 """
@@ -17,6 +20,7 @@ from __future__ import annotations
 import numpy as np
 
 LEAF, FAN = 64, 8
+_ONE = 1 << 40  # a distance of 1; distances are whole numbers, rounded up
 
 
 def bitmap(tokens: np.ndarray, words: int) -> np.ndarray:
@@ -55,6 +59,13 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> int:
+    """Jaccard distance of two sets that are not empty, in parts of ``_ONE``."""
+    both = overlap(a, b)
+    union = len(a) + len(b) - both
+    return -(-(union - both) * _ONE // union)
+
+
 class Links:
     """Union of linked sets."""
 
@@ -76,18 +87,19 @@ class Links:
 class Tree:
     """Levels of nodes over sets in a given order; level 0 has the leaves."""
 
-    def __init__(self, order: np.ndarray, bits: np.ndarray, sizes: np.ndarray):
+    def __init__(self, order: np.ndarray, bits: np.ndarray, sizes: np.ndarray, near: np.ndarray):
         self.order = order
         spare = sizes - np.bitwise_count(bits).sum(1)  # tokens of a set that share a bit
         starts = np.arange(0, len(order), LEAF)
         level = (
             np.bitwise_or.reduceat(bits[order], starts, 0), np.minimum.reduceat(sizes[order], starts),
             np.maximum.reduceat(sizes[order], starts), np.maximum.reduceat(spare[order], starts),
+            np.minimum.reduceat(near[order], starts), np.maximum.reduceat(near[order], starts),
         )
         self.levels = [level]
         while len(level[1]) > 1:
             starts = np.arange(0, len(level[1]), FAN)
-            ufuncs = (np.bitwise_or, np.minimum, np.maximum, np.maximum)
+            ufuncs = (np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum)
             level = tuple(f.reduceat(x, starts, 0) for f, x in zip(ufuncs, level, strict=True))
             self.levels.append(level)
 
@@ -105,7 +117,9 @@ def _least(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _may_link(x: tuple, i: int, y: tuple, j: int, percent: int) -> bool:
+def _may_link(x: tuple, i: int, y: tuple, j: int, percent: int, limit: int) -> bool:
+    if x[5][i] + y[5][j] <= limit or max(x[4][i] - y[5][j], y[4][j] - x[5][i]) >= limit + 2:
+        return False
     low, high = (x[1][i], y[1][j]), (x[2][i], y[2][j])
     if 100 * high[0] < percent * low[1] or 100 * high[1] < percent * low[0]:
         return False
@@ -114,17 +128,22 @@ def _may_link(x: tuple, i: int, y: tuple, j: int, percent: int) -> bool:
     return most >= _least(low[0], low[1], percent)
 
 
-def pairs(bits: np.ndarray, sizes: np.ndarray, percent: int, links: Links, skip=None):
-    """Pairs of sets that may be alike and are not linked yet. ``skip`` are labels of which equal ones need no pair."""
+def pairs(bits: np.ndarray, sizes: np.ndarray, percent: int, links: Links, skip=None, near=None):
+    """Pairs of sets that may be alike and are not linked yet. ``skip`` are labels of which equal ones need no pair.
+
+    With ``near``, distances to a hub, pairs that they decide are left out, those sure to be alike too.
+    """
     n = len(sizes)
     roots = np.array([links.root(i) for i in range(n)])
-    tree = Tree(np.lexsort((sizes, roots)), bits, sizes)
+    limit = -1 if near is None else _limit(percent)  # below 0 nothing is decided
+    near = np.zeros(n, np.int64) if near is None else near
+    tree = Tree(np.lexsort((sizes, near, roots)), bits, sizes, near)
     spare = sizes - np.bitwise_count(bits).sum(1)
     top = len(tree.levels) - 1
     stack = [(top, 0, 0)]
     while stack:
         level, i, j = stack.pop()
-        if not _may_link(tree.levels[level], i, tree.levels[level], j, percent):
+        if not _may_link(tree.levels[level], i, tree.levels[level], j, percent, limit):
             continue
         a, b = tree.below(level, i), tree.below(level, j)
         first = links.root(int(a[0]))
@@ -140,6 +159,8 @@ def pairs(bits: np.ndarray, sizes: np.ndarray, percent: int, links: Links, skip=
         fits = most >= _least(sizes[a][:, None], sizes[b][None, :], percent)
         small, large = np.minimum(sizes[a][:, None], sizes[b][None, :]), np.maximum(sizes[a][:, None], sizes[b][None, :])
         fits &= 100 * small >= percent * large
+        fits &= near[a][:, None] + near[b][None, :] > limit
+        fits &= np.abs(near[a][:, None] - near[b][None, :]) < limit + 2
         if skip is not None:
             fits &= skip[a][:, None] != skip[b][None, :]
         if i == j:
@@ -167,9 +188,45 @@ def join(sets: list[np.ndarray], percent: int, hub: int | None = None, factor: i
     return out
 
 
-def every(sets: list[np.ndarray], percent: int, done: np.ndarray | None = None, factor: int = 8) -> list[tuple[int, int]]:
-    """All links between the sets, but those between sets of one label of ``done``."""
+def _limit(percent: int) -> int:
+    """The largest distance of sets that are alike, rounded down."""
+    return _ONE * (100 - percent) // 100
+
+
+def _sure(near: np.ndarray, weights: np.ndarray, limit: int, label: np.ndarray | None) -> np.ndarray:
+    """For every set the weight of the others whose distance and its own add up to ``limit`` at most; of
+    another label only, if there are labels."""
+    out = np.zeros(len(near), np.int64)
+    for own in [None] if label is None else np.unique(label):
+        mine = np.full(len(near), True) if label is None else label == own
+        others = np.flatnonzero(mine if label is None else ~mine)
+        others = others[np.argsort(near[others], kind="stable")]
+        sums = np.concatenate([[0], np.cumsum(weights[others])])
+        out[mine] = sums[np.searchsorted(near[others], limit - near[mine], side="right")]
+    return out if label is not None else out - np.where(2 * near <= limit, weights, 0)
+
+
+def tally(hub: np.ndarray, sets: list[np.ndarray], weights: np.ndarray, percent: int, label: np.ndarray | None = None, factor: int = 8) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that connect whatever is connected, and for every set the weight of all sets linked with it.
+
+    The hub is the first of the sets. With ``label`` it is none of them, links between sets of one label are
+    left out, and links with the hub are known, so that what these connect is connected.
+    """
+    near = np.array([apart(hub, s) for s in sets], np.int64)
+    counts = _sure(near, weights, _limit(percent), label)
+    links, out = Links(len(sets)), []
+    sure = np.flatnonzero(near <= _limit(percent)).tolist()
+    for i in sure[1:]:
+        links.join(sure[0], i)
+        if label is None:
+            out.append((0, i))
     sizes = np.array([len(s) for s in sets], np.int64)
     words = min(width(int(sizes.max()), factor), 512)
     bits = np.stack([bitmap(s, words) for s in sets])
-    return [(i, j) for i, j in pairs(bits, sizes, percent, Links(len(sets)), done) if alike(sets[i], sets[j], percent)]
+    for i, j in pairs(bits, sizes, percent, Links(len(sets)), label, near):
+        if alike(sets[i], sets[j], percent):
+            counts[i] += weights[j]
+            counts[j] += weights[i]
+            if links.join(i, j):
+                out.append((i, j))
+    return out, counts

@@ -106,5 +106,19 @@ def test_tree_and_bitmaps():
             assert tree.alike(sets[i], sets[j], 85)
             mine.join(i, j)
         assert [mine.root(i) for i in range(len(sets))] == [links.root(i) for i in range(len(sets))]
+    weights, label = rng.integers(1, 5, len(sets)), rng.integers(0, 2, len(sets))
+    is_link = np.array([[i != j and tree.alike(a, b, 85) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    for hub in (0, 7):  # the hub first, as one of the sets; then beside two chunks
+        order = [hub, *(i for i in range(len(sets)) if i != hub)]
+        found, n = tree.tally(sets[hub], [sets[i] for i in order], weights[order], 85)
+        assert (n == is_link[np.ix_(order, order)] @ weights[order]).all()
+        mine = tree.Links(len(sets))
+        for i, j in found:
+            assert is_link[order[i], order[j]]
+            assert mine.join(order[i], order[j])  # no link too many
+        assert [mine.root(i) for i in range(len(sets))] == [links.root(i) for i in range(len(sets))]
+        rest = np.array(order[1:])
+        across = is_link[np.ix_(rest, rest)] & (label[rest][:, None] != label[rest][None, :])
+        assert (tree.tally(sets[hub], [sets[i] for i in rest], weights[rest], 85, label[rest])[1] == across @ weights[rest]).all()
     wide, narrow = tree.bitmap(base, 16), tree.bitmap(base, 4)
     assert (tree.fold(wide, 4) == narrow).all()
