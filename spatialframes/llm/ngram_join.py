@@ -396,7 +396,7 @@ def link(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80, chu
     """``doc_id, n_shingles, component_id`` of every row; ``percent`` is the least Jaccard similarity.
 
     With ``count_links`` also ``n_links``, the number of other rows that the row is linked with, rows
-    of an equal set included. ``docs`` is read four times.
+    of an equal set included. ``docs`` is read five times.
     """
     docs = docs.select("doc_id", text)
     members, level = count(docs, text, n)
@@ -432,19 +432,22 @@ def link(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80, chu
         left = left.withColumn("c", F.count("*").over(Window.partitionBy("node"))).where(F.col("c") >= needed).drop("c")
     left = settle(_open(left))
     if not left.isEmpty():
-        sets = settle(sets_of(docs, text, n, wanted.join(left.select("node").distinct(), "node", "left_semi")))
-        more = settle(rest_pairs(left.join(sets.select("node", "bits"), "node"), percent, max(64, chunk_tokens // 256)))
+        # bitmaps of many nodes, and then the sets of the few that these leave
+        maps = sets_of(docs, text, n, wanted.join(left.select("node").distinct(), "node", "left_semi")).select("node", "bits")
+        more = settle(rest_pairs(left.join(maps, "node"), percent, max(64, chunk_tokens // 256)))
+        ends = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct()
+        sets = sets_of(docs, text, n, wanted.join(ends, "node", "left_semi")).drop("bits")
         stars = more.select(F.col("a").alias("hub"), F.col("b").alias("node")).unionByName(more.select(F.col("a").alias("hub"), F.col("a").alias("node")).distinct())
         stars = stars.join(nodes.select("node", "size"), "node")
         if count_links:
             stars = stars.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            more = settle(join_groups(settle(stars), sets.drop("bits"), percent, chunk_tokens, "hub"))
+            more = settle(join_groups(settle(stars), sets, percent, chunk_tokens, "hub"))
             later = components(more.where("b is not null")).select(F.col("node").alias("comp"), F.col("comp").alias("last"))
             found = nodes.select("node").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             found = found.join(later, "comp", "left").select("node", F.coalesce("last", "comp").alias("comp"))
             links = links.unionByName(more)
         else:
-            more = join_groups(settle(stars.select("hub", "node", "size")), sets.drop("bits"), percent, chunk_tokens)
+            more = join_groups(settle(stars.select("hub", "node", "size")), sets, percent, chunk_tokens)
             found = components(settle(links.unionByName(more)))
 
     named = nodes.select("node", "doc").join(found, "node", "left").select("node", "doc", F.coalesce("comp", "node").alias("comp"))
