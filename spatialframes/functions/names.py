@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spatialframes.session import settle
+
 # Aliases known without an alias file.
 INLINE_ALIASES = {
     "CgA": "CHGA",
@@ -128,10 +130,17 @@ def list_supported(vocab: DataFrame, kind: str) -> DataFrame:
 def index_names(df: DataFrame, column: str, out: str = "idx") -> DataFrame:
     """Distinct names with their zero-based position in sorted order.
 
-    Only the distinct list is ordered; it is a vocabulary, not the rows.
+    The names are dealt by ranges and written once; each range is numbered by itself, after the names of those before it.
     """
     names = df.select(F.col(column).alias("name")).where(F.col(column).isNotNull()).distinct()
-    return names.withColumn(out, F.row_number().over(Window.orderBy("name")) - 1)
+    dealt = settle(names.repartitionByRange("name").withColumn("_range", F.spark_partition_id()))
+    # one row a range
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.min("name").alias("_low"))
+    earlier = Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_range").orderBy("name")) - 1
+    placed = dealt.withColumn("_at", number).join(F.broadcast(before), "_range")
+    return placed.select("name", (F.col("_before") + F.col("_at")).cast("int").alias(out))
 
 
 # The texts an embedding service is asked to encode.

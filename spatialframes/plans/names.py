@@ -210,17 +210,17 @@ def vocab_contract(spark, sf):
 @query(
     "marker_order_diff",
     """, e AS (SELECT p_type AS name, row_number() OVER (ORDER BY p_type) - 1 AS idx FROM (SELECT DISTINCT p_type FROM part)
-       UNION ALL SELECT p_brand, 1000 + row_number() OVER (ORDER BY p_brand) FROM (SELECT DISTINCT p_brand FROM part)),
+       UNION ALL SELECT p_name, 1000 + row_number() OVER (ORDER BY p_name) FROM (SELECT DISTINCT p_name FROM part)),
        a AS (SELECT name, CASE WHEN idx > 1004 THEN idx + 1 ELSE idx END AS idx FROM e WHERE idx <> 1010 UNION ALL SELECT DISTINCT 'new ' || p_type, -1 FROM part WHERE p_type < 'F')
        SELECT 'missing' AS problem, name, idx FROM e WHERE name NOT IN (SELECT name FROM a)
        UNION ALL SELECT 'extra', name, idx FROM a WHERE name NOT IN (SELECT name FROM e)
        UNION ALL (SELECT 'first_out_of_order', e.name, e.idx FROM e JOIN a USING (idx) WHERE e.name <> a.name ORDER BY idx LIMIT 1)""",
 )
 def marker_order_diff(spark, sf):
-    """Types and brands as the registry: closed sets, whatever the number of parts."""
+    """Types and names of all parts as the registry."""
     p = b.table(spark, sf, "part")
     types = fn.index_names(p, "p_type").withColumn("idx", F.col("idx").cast("bigint"))
-    named = fn.index_names(p, "p_brand").select("name", (F.col("idx") + 1001).cast("bigint").alias("idx"))
+    named = fn.index_names(p, "p_name").select("name", (F.col("idx") + 1001).cast("bigint").alias("idx"))
     expected = types.unionByName(named)
     actual = expected.where("idx <> 1010").withColumn("idx", F.when(F.col("idx") > 1004, F.col("idx") + 1).otherwise(F.col("idx")))
     extra = p.where("p_type < 'F'").select(F.concat(F.lit("new "), "p_type").alias("name"), F.lit(-1).cast("bigint").alias("idx")).distinct()

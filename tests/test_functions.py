@@ -148,3 +148,14 @@ def test_json_keys_and_hash(spark):
     maps = spark.createDataFrame([({"b": "1", "a": "2"},), ({"a": "2", "b": "1"},)], "m map<string,string>")
     hashes = [r.h for r in maps.select(names.stable_hash(F.col("m")).alias("h")).collect()]
     assert hashes[0] == hashes[1] == hashlib.sha256(b'{"a":"2","b":"1"}').hexdigest()[:16]
+
+
+def test_index_names_numbers_across_ranges(spark):
+    rows = spark.range(5000).selectExpr("concat('n', id % 2500) AS n").unionByName(spark.createDataFrame([(None,)], "n string"))
+    got = names.index_names(rows, "n")
+    assert [r.name for r in got.orderBy("idx").collect()] == sorted(f"n{i}" for i in range(2500))
+    assert sorted(r.idx for r in got.collect()) == list(range(2500)) and got.schema["idx"].dataType.simpleString() == "int"
+    # no task ranks all names: the only window that does sees one row a range
+    written = got.select("name")._jdf.queryExecution().analyzed().toString()
+    assert "windowspecdefinition(name" not in written
+    assert names.index_names(rows.where("n IS NULL"), "n").collect() == []

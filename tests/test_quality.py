@@ -108,3 +108,12 @@ def test_examples(spark):
     df = spark.createDataFrame([("d", f"f{i}") for i in range(7)] + [("e", "x")], "d string, f string")
     got = {r.d: r.examples for r in ops.example_list(df, ["d"], "f").collect()}
     assert got == {"d": "f0, f1, f2, f3, f4, ... (+2 more)", "e": "x"}
+
+
+def test_marker_order_diff_numbers_the_names_of_all_parts(spark, tmp_path):
+    from spatialframes.plans.names import marker_order_diff
+
+    parts = spark.range(300).selectExpr("concat('part ', lpad(id, 4, '0')) AS p_name", "'Brand#11' AS p_brand", "concat('G', id % 3) AS p_type")
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    out = {(r.problem, r.name, r.idx) for r in marker_order_diff(spark, str(tmp_path)).collect()}
+    assert out == {("missing", "part 0009", 1010), ("first_out_of_order", "part 0005", 1006)}
