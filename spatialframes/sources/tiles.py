@@ -64,25 +64,42 @@ def hook_on_tiles(tiles: DataFrame, hook) -> DataFrame:
 
     For hooks that are written on arrays and look at one pixel across its channels; statistics over
     a whole channel belong in a DataFrame hook. The result must keep the shape and be finite and in
-    [0, 1] up to 1e-6. A missing pixel comes in as NaN and stays missing.
+    [0, 1] up to 1e-6. A missing pixel comes in as NaN and stays missing. Many tiles share an Arrow batch.
     """
 
-    def run(pdf):
-        import numpy as np
+    every = tiles.columns
+    columns = [c for c in every if c != "channel"]
+    stacks = tiles.groupBy("fov_key", "tile_r", "tile_c").agg(F.array_sort(F.collect_list(F.struct("channel", *columns))).alias("_tiles"))
 
-        pdf = pdf.sort_values("channel").reset_index(drop=True)
-        h, w = int(pdf["h"].iloc[0]), int(pdf["w"].iloc[0])
-        raw = np.stack([np.asarray(v, dtype="float64").reshape(h, w) for v in pdf["values"]])
-        out = np.asarray(hook(raw, pdf["channel"].tolist()), dtype="float64")
-        if out.shape != raw.shape:
-            raise ValueError(f"hook changed the shape of a tile from {raw.shape} to {out.shape}")
-        there = ~np.isnan(raw)
-        if not np.isfinite(out[there]).all() or (out[there] < -1e-6).any() or (out[there] > 1 + 1e-6).any():
-            raise ValueError("hook result must be finite and in [0, 1]")
-        pdf["values"] = [[v if t else None for v, t in zip(x.ravel().tolist(), own.ravel(), strict=True)] for x, own in zip(out, there, strict=True)]
-        return pdf
-
-    return tiles.groupBy("fov_key", "tile_r", "tile_c").applyInPandas(run, tiles.schema)
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            stack, flat = batch.column("_tiles"), batch.column("_tiles").flatten()
+            field = lambda c: pa.compute.struct_field(flat, [c])  # noqa: E731, B023
+            lengths = pa.compute.list_value_length(field("values")).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            values = field("values").flatten().to_numpy(zero_copy_only=False).astype("float64")
+            there, names = ~np.isnan(values), field("channel").to_pylist()
+            h, w = (field(c).to_numpy(zero_copy_only=False) for c in ("h", "w"))
+            at = 0
+            for n in pa.compute.list_value_length(stack).to_pylist():
+                own = slice(ends[at], ends[at + n])
+                raw = values[own].reshape(n, h[at], w[at])
+                out = np.asarray(hook(raw.copy(), names[at : at + n]), dtype="float64")
+                if out.shape != raw.shape:
+                    raise ValueError(f"hook changed the shape of a tile from {raw.shape} to {out.shape}")
+                kept = out.ravel()[there[own]]
+                if not np.isfinite(kept).all() or (kept < -1e-6).any() or (kept > 1 + 1e-6).any():
+                    raise ValueError("hook result must be finite and in [0, 1]")
+                values[own] = out.ravel()
+                at += n
+            kind = field("values").type
+            hooked = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, mask=~there).cast(kind.value_type))
+            yield pa.RecordBatch.from_arrays([hooked if c == "values" else field(c) for c in every], names=every)
+
+    return stacks.select("_tiles").mapInArrow(run, tiles.schema)
 
 
 def write_tiles(tiles: DataFrame, path: str) -> None:

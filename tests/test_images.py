@@ -186,3 +186,19 @@ def test_array_hooks_run_per_tile_and_are_checked(spark, archive):
     for bad in (lambda raw, names: raw[:1], lambda raw, names: raw + 5, lambda raw, names: raw * float("nan")):
         with pytest.raises(Exception, match="hook"):
             hook_on_tiles(tiles, bad).collect()
+
+
+def test_hooks_see_each_tile_of_a_batch_by_itself(spark):
+    """Many tiles of different extent and with holes in one Arrow batch, and no call of pandas for each."""
+    rows = [(f"f{n}", c, i, j, (n + 1) / 100 + (c == "b") / 2) for n in range(30) for c in "ab" for i in range(5) for j in range(3) if (n, c, i, j) != (7, "a", 0, 0)]
+    tiles = pixels_to_tiles(spark.createDataFrame(rows, PIXELS), 2, 2).coalesce(1)
+
+    def hook(raw, names):
+        assert names == ["a", "b"] and raw.shape[1] in (1, 2) and raw.shape[2] in (1, 2)
+        raw[0] = raw[1] - raw[0]
+        return raw
+
+    out = hook_on_tiles(tiles, hook)
+    got = {(r.fov_key, r.channel, r.row, r.col): round(r.value, 9) for r in tiles_to_pixels(out).collect()}
+    assert got == {(f, c, i, j): 0.5 if c == "a" else round(v, 9) for f, c, i, j, v in rows}
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString() and out.schema == tiles.schema
