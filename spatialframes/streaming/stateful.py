@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -51,72 +52,97 @@ def _fence(values: np.ndarray, counts: np.ndarray, k: float) -> float | None:
     return quantile(0.25) - k * (quantile(0.75) - quantile(0.25))
 
 
+_BUCKETS = 1024  # fields share the keys of the state, as a call to the store costs more than the visits of hundreds of fields
+
+
 class _Fences(StatefulProcessor):
-    """Open visits of a field: their span, and how often each score came, in chunks that are only appended to.
+    """Open visits of the fields of a bucket: their span, and how often each score came, in chunks that are only appended to.
 
-    A visit ends when nothing came for ``gap`` of event time. A timer stands at the end of each; when the watermark
-    reaches it, the visit has its row and its state goes.
+    A visit ends when nothing came for ``gap`` of event time. One timer stands at the end of the bucket's first visit to
+    end; when the watermark reaches it, every visit that is over has its row, its state goes, and the timer moves on.
     """
 
-    def __init__(self, gap: int, k: float, names: Sequence[str]):
-        self.gap, self.k, self.names = gap, k, list(names)
+    def __init__(self, gap: int, k: float, fov: Sequence[T.StructField]):
+        self.gap, self.k, self.fov = gap, k, list(fov)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.visits = handle.getMapState("visits", "id long", "start long, last long, n long, parts array<long>")
+        longs = T.ArrayType(T.LongType())
+        visits = [T.StructField("due", T.LongType()), *[T.StructField(f"field_{i}", T.ArrayType(c.dataType)) for i, c in enumerate(self.fov)]]
+        visits += [T.StructField(c, longs) for c in ("ids", "starts", "lasts", "sizes")] + [T.StructField("parts", T.ArrayType(longs))]
+        self.visits = handle.getValueState("visits", T.StructType(visits))
         self.chunks = handle.getListState("chunks", "id long, scores array<double>, counts array<long>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        opened = {k[0]: tuple(v) for k, v in self.visits.iterator()}
-        before, added = set(opened), []
-        for frame in rows:
-            if not len(frame):
-                continue
-            frame = frame.sort_values("event_micros")
-            at, scores = frame["event_micros"].to_numpy(), frame["event_score"].to_numpy(dtype="float64")
-            cuts = np.flatnonzero(np.diff(at) >= self.gap) + 1
-            for start, stop in zip([0, *cuts], [*cuts, len(at)], strict=True):
-                low, high, n, parts = int(at[start]), int(at[stop - 1]), int(stop - start), []
-                for other, (first, last, m, ids) in list(opened.items()):
+    def _opened(self) -> tuple[int | None, dict]:
+        """When the timer stands, and by field the visits ``id, start, last, n, parts``."""
+        value, opened = self.visits.get(), {}
+        if value is None:
+            return None, opened
+        due, *columns = value
+        fields, visits = zip(*columns[: len(self.fov)], strict=True), zip(*columns[len(self.fov) :], strict=True)
+        for field, visit in zip(fields, visits, strict=True):
+            opened.setdefault(field, []).append(visit)
+        return due, opened
+
+    def _keep(self, opened: dict, standing: int | None) -> None:
+        rows = [(*field, *visit) for field, visits in opened.items() for visit in visits]
+        due = min((-(-(r[-3] + self.gap) // 1000) for r in rows), default=None)
+        if standing is not None and standing != due:
+            self.handle.deleteTimer(standing)
+        if due is None:
+            self.visits.clear()
+            return
+        if standing != due:
+            self.handle.registerTimer(due)
+        self.visits.update((due, *[list(c) for c in zip(*rows, strict=True)]))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        came, names = {}, [c.name for c in self.fov]
+        for r in rows:
+            score = math.nan if r.event_score is None else r.event_score
+            came.setdefault(tuple(r[c] for c in names), []).append((r.event_micros, score))
+        if not came:
+            return
+        standing, opened = self._opened()
+        fresh, added = max((v[0] for visits in opened.values() for v in visits), default=0), []
+        for field, cells in came.items():
+            cells.sort()
+            visits = list(opened.get(field, []))
+            cuts = [i for i in range(1, len(cells)) if cells[i][0] - cells[i - 1][0] >= self.gap]
+            for start, stop in zip([0, *cuts], [*cuts, len(cells)], strict=True):
+                fresh += 1
+                low, high, n, parts, apart = cells[start][0], cells[stop - 1][0], stop - start, [fresh], []
+                for visit in visits:
+                    _, first, last, m, ids = visit
                     if low < last + self.gap and first < high + self.gap:
-                        low, high, n, parts = min(low, first), max(high, last), n + m, parts + list(ids)
-                        del opened[other]
-                fresh = max([*before, *opened, *[a[0] for a in added], 0]) + 1
-                opened[fresh] = (low, high, n, [*parts, fresh])
-                found, counts = np.unique(scores[start:stop][np.isfinite(scores[start:stop])], return_counts=True)
-                added.append((fresh, found.tolist(), counts.tolist()))
-        for gone in before - set(opened):
-            self.visits.removeKey((gone,))
-        for number, visit in opened.items():
-            self.visits.updateValue((number,), visit)
+                        low, high, n, parts = min(low, first), max(high, last), n + m, [*ids, *parts]
+                    else:
+                        apart.append(visit)
+                visits = [*apart, (fresh, low, high, n, parts)]
+                found = Counter(score for _, score in cells[start:stop] if math.isfinite(score))
+                added.append((fresh, list(found), list(found.values())))
+            opened[field] = visits
         self.chunks.appendList(added)
-        self._set_timers(opened)
-        yield pd.DataFrame()
-
-    def _set_timers(self, opened: dict) -> None:
-        wanted = {-(-(last + self.gap) // 1000) for _, last, _, _ in opened.values()}
-        standing = set(self.handle.listTimers())
-        for at in standing - wanted:
-            self.handle.deleteTimer(at)
-        for at in wanted - standing:
-            self.handle.registerTimer(at)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        opened = {k[0]: tuple(v) for k, v in self.visits.iterator()}
-        done = {number: v for number, v in opened.items() if v[1] + self.gap <= due * 1000}
-        chunks = [tuple(c) for c in self.chunks.get()]
-        out = []
-        for number, (start, last, n, parts) in done.items():
-            own = [c for c in chunks if c[0] in parts]
-            values = np.concatenate([np.asarray(c[1], dtype="float64") for c in own])
-            counts = np.concatenate([np.asarray(c[2], dtype="int64") for c in own])
-            out.append((*key, start, last + self.gap, n, _fence(values, counts, self.k)))
-            self.visits.removeKey((number,))
-        kept = [c for c in chunks if not any(c[0] in v[3] for v in done.values())]
+        self._keep(opened, standing)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        # the store has taken this timer away already
+        _, opened = self._opened()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        over = lambda v: v[2] + self.gap <= passed
+        done = [(field, v) for field, visits in opened.items() for v in visits if over(v)]
+        owner = {part: v[0] for _, v in done for part in v[4]}
+        own, kept = {v[0]: [] for _, v in done}, []
+        for chunk in self.chunks.get():
+            own.get(owner.get(chunk[0]), kept).append(tuple(chunk))
         self.chunks.put(kept) if kept else self.chunks.clear()
-        if out:
-            yield pd.DataFrame(out, columns=[*self.names, "opened", "closed", "n_cells", "fence"])
+        self._keep({field: [v for v in visits if not over(v)] for field, visits in opened.items()}, None)
+        names = [*[c.name for c in self.fov], "opened", "closed", "n_cells", "fence"]
+        for field, (number, start, last, n, _) in done:
+            values = np.concatenate([np.asarray(c[1], dtype="float64") for c in own[number]])
+            counts = np.concatenate([np.asarray(c[2], dtype="int64") for c in own[number]])
+            yield Row(**dict(zip(names, (*field, start, last + self.gap, n, _fence(values, counts, self.k)), strict=True)))
 
 
 def fence_fields(feed: DataFrame, fov: Sequence[str], time: str, score: str, gap_seconds: int, delay: str, k: float) -> DataFrame:
@@ -131,7 +157,8 @@ def fence_fields(feed: DataFrame, fov: Sequence[str], time: str, score: str, gap
     keys = [rows.schema[c] for c in fov]
     numbers = [T.StructField(c, T.LongType()) for c in ("opened", "closed", "n_cells")]
     schema = T.StructType([*keys, *numbers, T.StructField("fence", T.DoubleType())])
-    done = rows.groupBy(*fov).transformWithStateInPandas(_Fences(gap_seconds * 1_000_000, k, fov), schema, "append", "EventTime")
+    dealt = rows.withColumn("_bucket", F.pmod(F.hash(*fov), F.lit(_BUCKETS)))
+    done = dealt.groupBy("_bucket").transformWithState(_Fences(gap_seconds * 1_000_000, k, keys), schema, "append", "EventTime")
     at = lambda c: F.timestamp_micros(F.col(c)).alias(c)
     return done.select(*fov, at("opened"), at("closed"), "n_cells", "fence")
 

@@ -124,3 +124,16 @@ def test_the_late_query_has_late_rows(spark):
 
     rows = stream_late(spark, "/root/testdata/sf0.001").collect()
     assert sum(r.n_late for r in rows) > 0 and sum(r.n for r in rows) > 0
+
+
+def test_fields_that_share_a_state_key_stay_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "_BUCKETS", 1)
+    path, folder = tmp_path / "in", tmp_path / "run"
+    first = [(0, f"f{n}", n, s / 10) for n in range(5) for s in range(4 + n)] + [(1, None, 200, 0.5), (2, "f0", 300, 0.5)]
+    feed(spark, path, first, [(3, "f0", 301, 0.7), (4, "f9", 305, 0.1)], [(5, "f9", 306, 0.1)])
+    got = fences(spark, path, folder)
+    fence = lambda n: round(float(np.quantile(x := np.arange(4 + n) / 10, 0.25) - 0.2 * (np.quantile(x, 0.75) - np.quantile(x, 0.25))), 9)
+    assert got == {(f"f{n}", n): (n + 60, 4 + n, fence(n)) for n in range(5)} | {(None, 200): (260, 1, None)}
+    more = spark.createDataFrame([(20, "d", T0 + dt.timedelta(days=2), 0.5)], SCHEMA)
+    more.coalesce(1).write.mode("append").parquet(str(path / "b3"))
+    assert fences(spark, path, folder) == got | {("f0", 300): (361, 2, None), ("f9", 305): (366, 2, None)}
