@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spatialframes.functions.names import normalize_modality, normalize_tissue
+from spatialframes.session import fresh_path
 
 # Names the archive format uses.
 META = "zarr.json"
@@ -30,9 +32,103 @@ def _files(spark: SparkSession, root: str, name: str = META) -> DataFrame:
     return files.withColumn("rel", _relative(F.col("path"), root))
 
 
-def _documents(spark: SparkSession, root: str) -> DataFrame:
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", META).text(root, wholetext=True)
-    return text.select(_relative(F.col("_metadata.file_path"), root).alias("rel"), "value")
+_WIDE = 512  # directories from which on a task walks all that lies below its own
+_FILES = 500  # directories or files of a task
+_BYTES = 8 << 20  # text of an Arrow batch
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or (name.startswith("_") and "=" not in name)
+
+
+def _dealt(rows: DataFrame) -> tuple[DataFrame, int]:
+    n = rows.count()
+    return rows.repartition(max(-(-n // _FILES), min(n, 64), 1), "rel"), n
+
+
+def _listed(spark: SparkSession, root: str, name: str = META) -> DataFrame:
+    """``(rel)`` of the files of a name below the root, listed by tasks: no path goes through the driver.
+
+    The tree is opened level by level until it is wide; from there each task walks the directories it has.
+    """
+
+    def run(deep: bool):
+        def walk(batches):
+            import pyarrow as pa
+            from pyarrow import fs
+
+            files, base = fs.FileSystem.from_uri(root)
+            base = base.rstrip("/")
+            schema = pa.schema([("rel", pa.string()), ("folder", pa.bool_())])
+            for batch in batches:
+                todo = batch.column("rel").to_pylist()
+                while todo:
+                    above = todo.pop()
+                    found = []
+                    for info in files.get_file_info(fs.FileSelector(f"{base}/{above}" if above else base)):
+                        if _hidden(info.base_name):
+                            continue
+                        rel = f"{above}/{info.base_name}" if above else info.base_name
+                        if info.type == fs.FileType.Directory:
+                            todo.append(rel) if deep else found.append((rel, True))
+                        elif info.base_name == name:
+                            found.append((rel, False))
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], schema=schema)
+
+        return walk
+
+    level, n, paths, kind = spark.createDataFrame([("",)], "rel string"), 1, [], "rel string, folder boolean"
+    while n:
+        deep = n >= _WIDE
+        paths.append(fresh_path(spark, "listed"))
+        level.mapInArrow(run(deep), kind).write.parquet(paths[-1])
+        if deep:
+            break
+        level, n = _dealt(spark.read.schema(kind).parquet(paths[-1]).where("folder").select("rel"))
+    return spark.read.schema(kind).parquet(*paths).where("NOT folder").select("rel")
+
+
+def _known(root: str) -> bool:
+    """Whether tasks can open the root by themselves; else only Spark's readers can."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    try:
+        fs.FileSystem.from_uri(root)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return False
+    return True
+
+
+def _documents(spark: SparkSession, root: str, parts: Sequence[str]) -> DataFrame:
+    """``(rel, value)`` of the files of some parts of a field, each opened by the task that has its path."""
+    wanted = reduce(lambda a, b: a | b, [F.col("rel").endswith(f"/{p}/{META}" if p else f"/{META}") for p in parts])
+    if not _known(root):
+        text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", META).text(root, wholetext=True)
+        return text.select(_relative(F.col("_metadata.file_path"), root).alias("rel"), "value").where(wanted)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(root)
+        base = base.rstrip("/")
+        schema = pa.schema([("rel", pa.string()), ("value", pa.binary())])
+        for batch in batches:
+            rows, size = [], 0
+            for rel in batch.column("rel").to_pylist():
+                with files.open_input_stream(f"{base}/{rel}") as text:
+                    rows.append((rel, text.read()))
+                size += len(rows[-1][1])
+                if size >= _BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    dealt, _ = _dealt(_listed(spark, root).where(wanted))
+    return dealt.mapInArrow(run, "rel string, value binary").withColumn("value", F.col("value").cast("string"))
 
 
 def write_documents(documents: DataFrame, root: str) -> int:
@@ -59,7 +155,8 @@ def write_documents(documents: DataFrame, root: str) -> int:
 def discover_fovs(spark: SparkSession, root: str) -> DataFrame:
     """``(fov_key)`` of every field below the root."""
     key = F.regexp_extract("rel", "^(.*)/preprocessed/zarr\\.json$", 1)
-    return _files(spark, root).select(key.alias("fov_key")).where(F.col("fov_key") != "")
+    files = _listed(spark, root) if _known(root) else _files(spark, root)
+    return files.select(key.alias("fov_key")).where(F.col("fov_key") != "")
 
 
 def _part(documents: DataFrame, part: str) -> DataFrame:
@@ -77,7 +174,7 @@ def _fields(spark: SparkSession, root: str, columns: dict[str, dict[str, Column]
     they are read, and the parts of a field meet in one aggregate. The field's own group tells that it is one.
     """
     wanted = {**columns, "preprocessed": {"_field": F.lit(True), **columns.get("preprocessed", {})}}
-    documents = _documents(spark, root)
+    documents = _documents(spark, root, list(wanted))
     part = F.lit(None)
     # a longer path wins: the last of the tests below comes first
     for p in sorted(wanted, key=len):
@@ -133,7 +230,7 @@ def read_annotations(spark: SparkSession, root: str, label_sources: Sequence[str
     An entry is a cell id or a [row, col] pair. The first of ``label_sources`` that a field has is
     read, types named "null" are skipped, and so is any entry of another shape.
     """
-    notes = _part(_documents(spark, root), "cell_types/annotations")
+    notes = _part(_documents(spark, root, ["cell_types/annotations"]), "cell_types/annotations")
     parsed = notes.select("fov_key", F.try_parse_json("value").alias("v"))
     found = [F.try_variant_get("v", f"$.attributes.{s}", "variant") for s in label_sources]
     usable = lambda s: s.isNotNull() & ~F.is_variant_null(s)
@@ -173,7 +270,7 @@ def with_fallback(resolved: DataFrame, arrays: DataFrame) -> DataFrame:
 def read_positivity(spark: SparkSession, root: str) -> DataFrame:
     """``(dataset_name, cell_type, marker, value)``; an empty or ragged matrix gives no rows."""
     schema = "attributes struct<markers: array<string>, cell_types: array<string>, positivity_matrix: array<array<string>>>"
-    files = _part(_documents(spark, root), "marker_positivity")
+    files = _part(_documents(spark, root, ["marker_positivity"]), "marker_positivity")
     a = files.select(F.col("fov_key").alias("dataset_name"), F.from_json("value", schema)["attributes"].alias("a"))
     a = a.select("dataset_name", "a.*")
     width, height = F.size("markers"), F.size("cell_types")
@@ -217,7 +314,7 @@ def read_contract(spark: SparkSession, root: str) -> DataFrame:
 def read_centroids(spark: SparkSession, root: str) -> DataFrame:
     """``(fov_key, scale_factor, cell_id, c_row, c_col)``; the id is the key of the JSON map."""
     schema = "attributes struct<scale_factor: double, centroids: map<string,array<double>>>"
-    files = _part(_documents(spark, root), "preprocessed")
+    files = _part(_documents(spark, root, ["preprocessed"]), "preprocessed")
     a = files.select("fov_key", F.from_json("value", schema)["attributes"].alias("a"))
     rows = a.select("fov_key", F.coalesce("a.scale_factor", F.lit(1.0)).alias("scale_factor"), F.explode("a.centroids").alias("k", "p"))
     return rows.select(

@@ -203,3 +203,22 @@ def test_documents_are_written_where_they_say(spark, tmp_path):
     root = (tmp_path / "made").as_uri()
     assert archive.write_documents(spark.createDataFrame(rows, "rel string, value string").repartition(4), root) == 20
     assert {r.fov_key: r.scale_factor for r in archive.read_contract(spark, root).collect()} == {f"deep/f{i}": float(i) for i in range(20)}
+
+
+def test_a_wide_tree_is_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    from spatialframes.sources import archive
+
+    monkeypatch.setattr(archive, "_WIDE", 4)
+    keys = [f"set {n % 2}/deep é/f{n}" for n in range(6)] + ["flat"]
+    for key in keys:
+        for part in ("", "preprocessed", "marker_positivity", "_hidden", ".tmp/preprocessed"):
+            folder = tmp_path / key / part
+            folder.mkdir(parents=True, exist_ok=True)
+            (folder / "zarr.json").write_text('{"attributes": {"modality": "codex", "markers": ["m"], "cell_types": ["t"], "positivity_matrix": [["1"]]}}')
+    assert sorted(r.fov_key for r in archive.discover_fovs(spark, str(tmp_path)).collect()) == sorted(keys)
+    out = archive.read_metadata(spark, str(tmp_path))
+    # no file index of the tree: the driver has seen none of its paths
+    assert not [f for f in out.inputFiles() if f.endswith("zarr.json")]
+    assert {(r.key, r.domain, r.has_mp) for r in out.collect()} == {(k, "CODEX", True) for k in keys}
+    assert sorted(r.dataset_name for r in archive.read_positivity(spark, str(tmp_path)).collect()) == sorted(keys)
+    assert archive.discover_fovs(spark, str(tmp_path / "flat" / "preprocessed")).count() == 0
