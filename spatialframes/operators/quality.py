@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spatialframes.functions.names import is_control_channel
 from spatialframes.operators.splits import raise_if_any, split_contract
-from spatialframes.session import settle
+from spatialframes.session import settle, task_count
 
 __all__ = ["raise_if_any", "violations"]
 
@@ -267,13 +267,20 @@ def empty_cells(cells: DataFrame, mask: DataFrame) -> DataFrame:
     return cells.join(mask.where(F.col("cell_id") != 0).select("fov_key", "cell_id").distinct(), ["fov_key", "cell_id"], "left_anti")
 
 
-def fov_report(channels: DataFrame, markers: DataFrame) -> DataFrame:
-    """Counts of fields, two-channel fields and unknown names, with subtotals by modality and tissue."""
+def fov_report(channels: DataFrame, markers: DataFrame, fovs: DataFrame) -> DataFrame:
+    """Counts of fields, two-channel fields and unknown names, with subtotals by modality and tissue.
+
+    ``channels(fov_key, channel)`` and ``fovs(fov_key, modality, tissue)``; repeated rows count once. Both are
+    dealt by field into tasks of so many rows, where a field's names are counted before they meet its modality.
+    """
     known = markers.select(F.col("name").alias("channel"), F.lit(True).alias("_known"))
-    marked = channels.join(known, "channel", "left")
+    channels, fovs = channels.select("fov_key", "channel"), fovs.select("fov_key", "modality", "tissue")
+    n = task_count(channels, fovs)
+    marked = channels.repartition(n, "fov_key").distinct().join(known, "channel", "left")
     unknown = F.col("_known").isNull() & ~is_control_channel(F.col("channel"))
-    fovs = marked.groupBy("modality", "tissue", "fov_key").agg(F.count(F.lit(1)).alias("n"), F.count_if(unknown).alias("unknown"))
-    return fovs.rollup("modality", "tissue").agg(
+    counts = marked.groupBy("fov_key").agg(F.count(F.lit(1)).alias("n"), F.count_if(unknown).alias("unknown"))
+    rows = fovs.repartition(n, "fov_key").distinct().join(counts, "fov_key")
+    return rows.rollup("modality", "tissue").agg(
         F.count(F.lit(1)).alias("num_fovs"),
         F.count_if(F.col("n") <= 2).alias("num_two_channel"),
         F.sum("unknown").alias("num_unknown_channels"),

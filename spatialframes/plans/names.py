@@ -247,10 +247,11 @@ def mapping_vs_declared(spark, sf):
 )
 def fov_report_rollup(spark, sf):
     """An order is a field, its line items are the channels."""
-    o = b.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("modality"), F.col("o_orderpriority").alias("tissue"))
+    o = b.table(spark, sf, "orders")
+    fovs = o.select(F.col("o_orderkey").alias("fov_key"), F.col("o_orderstatus").alias("modality"), F.col("o_orderpriority").alias("tissue"))
     l = b.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("fov_key"), "l_partkey")  # noqa: E741
-    rows = l.join(o, F.col("fov_key") == F.col("o_orderkey")).join(channels(spark, sf), F.col("l_partkey") == F.col("p_partkey"))
-    return ops.fov_report(rows.select("modality", "tissue", "fov_key", "channel").distinct(), markers(spark, sf))
+    rows = l.join(channels(spark, sf), F.col("l_partkey") == F.col("p_partkey"))
+    return ops.fov_report(rows, markers(spark, sf), fovs)
 
 
 @query(

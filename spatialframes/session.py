@@ -82,3 +82,16 @@ def settle_and_tell(df: DataFrame, **largest: Column) -> tuple[DataFrame, dict]:
     seen = Observation()
     settled = settle(df.observe(seen, *[F.max(c).alias(name) for name, c in largest.items()]))
     return settled, {name: seen.get.get(name) for name in largest}
+
+
+TASK_ROWS = 1 << 19  # fixed value: rows that a task sorts and groups
+
+
+def task_count(*frames: DataFrame) -> int:
+    """Partitions in which the longest of ``frames`` has about ``TASK_ROWS`` rows each; the session's number at least.
+
+    Tasks that adaptive execution merges hold so many bytes as they were written, and short keys that repeat
+    take ten times less room there than in a sort or a hash table. Each frame is counted by a job of its own.
+    """
+    least = int(frames[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, *[-(-frame.count() // TASK_ROWS) for frame in frames])

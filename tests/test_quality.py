@@ -117,3 +117,20 @@ def test_marker_order_diff_numbers_the_names_of_all_parts(spark, tmp_path):
     parts.write.parquet(str(tmp_path / "part.parquet"))
     out = {(r.problem, r.name, r.idx) for r in marker_order_diff(spark, str(tmp_path)).collect()}
     assert out == {("missing", "part 0009", 1010), ("first_out_of_order", "part 0005", 1006)}
+
+
+def test_field_report_deals_rows_by_their_number(spark, monkeypatch):
+    from spatialframes import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    channels = spark.range(600).selectExpr("id % 100 AS fov_key", "CASE WHEN id < 200 THEN 'CD3' WHEN id < 300 THEN 'DAPI-1' ELSE concat('x', id div 300) END AS channel")
+    fovs = spark.range(200).selectExpr("id % 100 AS fov_key", "concat('m', id % 2) AS modality", "CAST(null AS string) AS tissue")
+    out = ops.fov_report(channels, spark.createDataFrame([("CD3",)], "name string"), fovs)
+    # 600 rows in tasks of about ten, whatever adaptive execution would merge
+    assert len(out.collect()) == 5
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "60), REPARTITION_BY_NUM" in plan
+    got = {(r.modality, r.num_fovs, r.num_two_channel, r.num_unknown_channels) for r in out.collect()}
+    assert got == {(None, 100, 0, 100), ("m0", 50, 0, 50), ("m1", 50, 0, 50)}
+    two = ops.fov_report(channels.where("channel <> 'x1'"), spark.createDataFrame([("CD3",)], "name string"), fovs)
+    assert {(r.modality, r.num_two_channel) for r in two.collect()} == {(None, 100), ("m0", 50), ("m1", 50)}
