@@ -88,6 +88,15 @@ def test_scatter(spark):
     assert [r.a for r in df.select(scatter(F.col("e"), 3, -1.0).alias("a")).collect()] == [[1.0, 5.0, -1.0], [-1.0, -1.0, -1.0]]
 
 
+def test_scatter_is_no_python_and_keeps_gaps_and_order(spark):
+    rows = [([(2, 3.0), (2, -1.0)],), (None,), ([(3, None), (1, 0.5)],)]
+    df = spark.createDataFrame(rows, "e array<struct<at:int,value:double>>").select(scatter(F.col("e"), 4).alias("a"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    got = [r.a for r in df.collect()]
+    assert got[:2] == [[0.0, 0.0, -1.0, 0.0], [0.0] * 4]
+    assert got[2][:3] == [0.0, 0.5, 0.0] and np.isnan(got[2][3])
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([0.7, 0.2, 0.1],), ([0.4, 0.4, 0.2],)], "p array<double>")
     assert [r.a for r in df.select(vectors.argmax(F.col("p")).alias("a")).collect()] == [0, 0]
