@@ -96,6 +96,9 @@ def _cut(loaded: DataFrame, crop: int) -> DataFrame:
     return loaded.mapInArrow(run, schema)
 
 
+BATCH_BYTES = 8 << 20  # fixed value: what a task's Python makes of windows before it hands them on
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays)))
@@ -190,7 +193,14 @@ def cell_windows(
             flat = column("pieces").flatten()
             frame = [np.asarray(pa.compute.struct_field(flat, [n])) for n in ("pr", "pc", "rows", "cols")]
             values, labels = pa.compute.struct_field(flat, ["values"]), pa.compute.struct_field(flat, ["labels"])
-            at, out = 0, []
+            at, first, held, out = 0, 0, 0, []
+
+            def made(end: int) -> pa.RecordBatch:
+                done = [_lists([o[k] for o in out]) for k in range(4)]  # noqa: B023
+                whole = [column(c).slice(first, end - first) for c in ("fov_key", "cell_id", "panel")]  # noqa: B023
+                whole[2] = whole[2].fill_null(pa.scalar([], batch.schema.field("panel").type))  # noqa: B023
+                return pa.RecordBatch.from_arrays([*whole, *done], names=[f.name for f in schema])
+
             for i, n in enumerate(pa.compute.list_value_length(column("pieces")).to_pylist()):
                 depth = len(panels[i] or [])
                 stack, label = np.zeros((depth, crop, crop)), np.zeros((crop, crop), dtype="int64")
@@ -207,10 +217,13 @@ def cell_windows(
                 if own_only:
                     stack = stack * own
                 out.append([stack.ravel(), own.ravel().astype(float), other.ravel().astype(float), distance_to_edge(own).ravel()])
+                # a batch has rows by the thousand, whatever a window takes
+                held += (depth + len(PLANES)) * size * size * 8
+                if held >= BATCH_BYTES:
+                    yield made(i + 1)
+                    first, held, out = i + 1, 0, []
             if out:
-                done = [_lists([o[k] for o in out]) for k in range(4)]
-                names = column("panel").fill_null(pa.scalar([], batch.schema.field("panel").type))
-                yield pa.RecordBatch.from_arrays([column("fov_key"), column("cell_id"), names, *done], names=[f.name for f in schema])
+                yield made(batch.num_rows)
 
     return gathered.mapInArrow(run, schema)
 
@@ -226,16 +239,27 @@ def score_windows(cells: DataFrame, load, size: int = CROP, positions: str = "po
     ``load()`` runs once per task and returns ``f(sample, context, positions, absent) -> logits``: ``sample`` is
     (cells, channels, 1, size, size), ``context`` (cells, 3, size, size) with own, neighbours and distance, ``positions``
     (cells, channels) the channels' places in the registry, -1 where a cell has no more, and ``absent`` True there. Stacks
-    are ragged in the table; they are padded to the widest of a batch only.
+    are ragged in the table; they are padded to the widest of a batch only, and a batch takes ``BATCH_BYTES`` at most, or
+    is one cell.
     """
     whole = [f for f in cells.schema.fields if f.name not in ("stack", *PLANES)]
     schema = T.StructType([*whole, T.StructField(out, T.ArrayType(T.DoubleType()))])
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            depth = pa.compute.list_value_length(batch.column(batch.schema.get_field_index(positions))).to_pylist()
+            first, widest = 0, 0
+            for i, n in enumerate(depth):
+                if i > first and (i + 1 - first) * (max(widest, n) + len(PLANES)) * size * size * 8 > BATCH_BYTES:
+                    yield batch.slice(first, i - first)
+                    first, widest = i, 0
+                widest = max(widest, n)
+            if first < len(depth):
+                yield batch.slice(first)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in parts(batches):
             column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
             depth = np.asarray(pa.compute.list_value_length(column(positions)))
             widest = int(depth.max())

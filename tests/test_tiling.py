@@ -221,3 +221,19 @@ def test_a_profile_tells_range_zeros_and_what_is_not_finite(spark):
     assert spans == {"a": (-2.0, 3.0), "b": (0.0, 0.0), "c": (1.0, 1.0)}
     assert known.where("_octave is null").select("channel", "_count").collect() == [("c", 2)]
     assert known.where("channel = 'a' and _octave = 0").first()["_count"] == 2
+
+
+def test_windows_are_scored_by_bytes_and_not_by_rows(spark):
+    def load():
+        return lambda sample, context, positions, absent: np.stack([np.full(len(sample), float(len(sample))), sample.sum(axis=(1, 2, 3, 4)), (~absent).sum(axis=1)], axis=1)
+
+    depth = F.when(F.col("cell_id") % 3 == 0, 2).otherwise(1)
+    cells = spark.range(600, numPartitions=1).select(F.col("id").alias("cell_id")).withColumn("positions", F.array_repeat(F.lit(0), depth))
+    cells = cells.withColumn("stack", F.array_repeat(F.col("cell_id").cast("double"), depth * 1024))
+    cells = cells.select("*", *[F.array_repeat(F.lit(0.0), 1024).alias(c) for c in ("self_mask", "neighbor_mask", "distance")])
+    rows = tile_patches.score_windows(cells, load, 32).collect()
+    assert [r.cell_id for r in rows] == list(range(600))
+    # 600 cells of two channels and three planes take 24 MB; a batch takes 8 MB
+    assert max(r.logits[0] for r in rows) <= 205
+    one = [r for r in rows if r.cell_id % 3 == 0]
+    assert all(r.logits[1] == 2048 * r.cell_id and r.logits[2] == 2 for r in one)
