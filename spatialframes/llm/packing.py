@@ -39,7 +39,8 @@ from spatialframes.session import settle
 
 WINDOW = 2048
 CLOSING = 1
-_HELD = 500_000  # words whose ids a worker remembers
+_HELD = 200_000  # words whose ids a worker remembers
+_SLICE = 4_000_000  # bytes of text whose words are numbered at once, in ten times that memory
 #: Lower-case words whose parts are plain: letters that have no other form, then one mark at most.
 _PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]?)")
 #: Words of ASCII without the signs that join parts or open a special token; their parts are runs of letters, single
@@ -140,17 +141,20 @@ def tokenize(docs: DataFrame, text: str, file: str | None = None) -> DataFrame:
         name = file or word_file()
         if name not in _KNOWN:
             _KNOWN[name] = WordIds(name)
-        ids = _KNOWN[name]
-        for batch in slices(batches, text, 16_000_000):
-            found = ids.column(batch.column(text))
-            names = [c for c in batch.schema.names if c != text]
-            columns = [batch.column(c) for c in names] + [found]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "__ids"])
+        yield from _with_ids(batches, text, _KNOWN[name])
 
     schema = docs.drop(text).withColumn("__ids", F.lit(b"")).schema
     return docs.mapInArrow(run, schema)
 
 
+def _with_ids(batches: Iterator[pa.RecordBatch], text: str, ids: WordIds) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, text, _SLICE):
+        found = ids.column(batch.column(text))
+        names = [c for c in batch.schema.names if c != text]
+        columns = [batch.column(c) for c in names] + [found]
+        yield pa.RecordBatch.from_arrays(columns, names=[*names, "__ids"])
+
+
 def fill(queues: dict[str, deque], shares: dict[str, float], credit: dict[str, float], window: int, least_piece: int):
     """Windows as lists of ``(document, start, length)`` by deficit round-robin.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -35,6 +36,20 @@ def test_ids():
     assert known.column(pa.array([None, "", " \n"])).to_pylist() == [b"\x01\x00"] * 3
 
 
+def test_memory_of_a_batch():
+    known = packing.WordIds(packing.word_file())
+    texts = pa.array([f"some words of a text {i % 50} " * 400 for i in range(1200)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200)), texts], names=["doc_id", "text"])
+    want = known.column(texts)
+    tracemalloc.start()
+    got = [b.column("__ids") for b in packing._with_ids(iter([batch]), "text", known)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pa.concat_arrays(got).equals(want)
+    # 6.5 MB of these are the ids, which are kept here
+    assert most < 70e6
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(st.sampled_from("abTZ09.,!?-_/\\|<>'\"`~^@#é ß\n"), max_size=30))
 def test_words_by_their_parts(text):
