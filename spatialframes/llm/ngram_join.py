@@ -12,8 +12,9 @@ it is named by 63 bits of the set's digest.
    and not once for each n-gram that they share. A group is joined by a signature tree (see
    ``signature_tree``); a large one is cut into chunks, every two of which meet in a task of their own.
 4. **Rest.** A block whose nodes are linked by now, or all of one group, is done, and so is a node that
-   is in fewer than ``k`` of the blocks left. What remains is joined block by block with trees over the bitmaps alone; the few pairs that these cannot rule out are then
-   compared by their sets.
+   is in fewer than ``k`` of the blocks left; any other leaves its ``k - 1`` largest blocks, as a pair that shares
+   ``k`` still meets in the first of them. What remains is joined block by block with trees over the bitmaps alone;
+   the few pairs that these cannot rule out are then compared by their sets.
 5. **Components** of all links, by alternating stars: linear in the links, a few rounds.
 
 With ``count_links`` the links are counted: nothing is left out for being connected already, and a block is
@@ -40,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -284,17 +285,17 @@ def join_groups(groups: DataFrame, sets: DataFrame, percent: int, chunk_tokens:
     return ordered.mapInArrow(run, "a long, b long, n long")
 
 
-def rest_pairs(rows: DataFrame, percent: int, chunk_rows: int) -> DataFrame:
+def rest_pairs(rows: DataFrame, maps: DataFrame, percent: int, chunk_rows: int) -> DataFrame:
     """Pairs ``a, b`` of nodes in open blocks that bitmaps cannot rule out.
 
-    ``rows`` has ``token, node, size, comp, grp, bits``; nodes of one component or group need no pair, nor do
-    a node and the hub of its group.
+    ``rows`` has ``token, node, size, comp, grp``, and ``maps`` the nodes' ``bits``, which are dealt once, when it
+    is known where a row goes; nodes of one component or group need no pair, nor do a node and the hub of its group.
     """
     sums = rows.groupBy("token").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
     cut = rows.join(sums, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     own = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
-    cut = cut.select("token", "node", "size", "comp", "grp", "bits", F.explode(own).alias("t"))
-    cut = cut.select("token", "t.i", "t.j", "node", "size", "comp", "grp", "bits")
+    cut = cut.select("token", "node", "size", "comp", "grp", F.explode(own).alias("t"))
+    cut = cut.join(maps, "node").select("token", "t.i", "t.j", "node", "size", "comp", "grp", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -427,14 +428,13 @@ def link(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80, chu
     # a pair that has not met yet shares several open blocks: nodes with fewer are done, and with
     # them blocks that have no other nodes
     needed = F.least(F.lit(SHARED), F.ceil(F.ceil(F.col("size") * percent / 100) * percent / 100))
-    for _ in range(2):
-        left = settle(_open(left))
-        left = left.withColumn("c", F.count("*").over(Window.partitionBy("node"))).where(F.col("c") >= needed).drop("c")
-    left = settle(_open(left))
+    left = settle(_open(left)).drop("held")
+    left = left.withColumn("c", F.count("*").over(Window.partitionBy("node"))).where(F.col("c") >= needed).drop("c")
+    left = settle(_open(_first(settle(_open(left)), needed)).drop("held"))
     if not left.isEmpty():
         # bitmaps of many nodes, and then the sets of the few that these leave
         maps = sets_of(docs, text, n, wanted.join(left.select("node").distinct(), "node", "left_semi")).select("node", "bits")
-        more = settle(rest_pairs(left.join(maps, "node"), percent, max(64, chunk_tokens // 256)))
+        more = settle(rest_pairs(left, maps, percent, max(64, chunk_tokens // 256)))
         ends = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct()
         sets = sets_of(docs, text, n, wanted.join(ends, "node", "left_semi")).drop("bits")
         stars = more.select(F.col("a").alias("hub"), F.col("b").alias("node")).unionByName(more.select(F.col("a").alias("hub"), F.col("a").alias("node")).distinct())
@@ -465,9 +465,20 @@ def link(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80, chu
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """The rows of blocks that have nodes of several components and of several groups."""
-    sums = rows.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("grp").alias("g0"), F.max("grp").alias("g1"))
-    return rows.join(sums.where("c0 < c1 and g0 < g1").select("token"), "token")
+    """The rows of blocks that have nodes of several components and of several groups, with the number of rows
+    ``held`` by the block."""
+    sums = rows.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.count("*").alias("held"))
+    return rows.join(sums.where("c0 < c1 and g0 < g1").select("token", "held"), "token")
+
+
+def _first(rows: DataFrame, needed: Column) -> DataFrame:
+    """The rows of every node but those of its ``needed - 1`` largest blocks.
+
+    Of ``needed`` blocks that two nodes share, the first in an order that all nodes have in common has
+    ``needed - 1`` after it in either node, so it is among the rows of both.
+    """
+    last = Window.partitionBy("node").orderBy(F.desc("held"), F.desc("token"))
+    return rows.withColumn("r", F.row_number().over(last)).where(F.col("r") >= needed).drop("r", "held")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

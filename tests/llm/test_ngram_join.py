@@ -122,3 +122,18 @@ def test_tree_and_bitmaps():
         assert (tree.tally(sets[hub], [sets[i] for i in rest], weights[rest], 85, label[rest])[1] == across @ weights[rest]).all()
     wide, narrow = tree.bitmap(base, 16), tree.bitmap(base, 4)
     assert (tree.fold(wide, 4) == narrow).all()
+
+
+def test_rest_meets_in_few_blocks_and_deals_bitmaps_once(spark):
+    rng = random.Random(3)
+    rows = [(t, n, n, n) for n in range(40) for t in rng.sample(range(12), 7)]
+    frame = spark.createDataFrame(rows, "token long, node long, comp long, grp long")
+    kept = ngram_join._first(ngram_join._open(frame), ngram_join.F.lit(4)).select("node", "token").collect()
+    own = {n: {r[1] for r in kept if r[0] == n} for n in range(40)}
+    every = {n: {r[0] for r in rows if r[1] == n} for n in range(40)}
+    assert all(len(own[n]) == 4 for n in own)
+    assert all(own[a] & own[b] for a in own for b in own if len(every[a] & every[b]) >= 4)
+    maps = spark.createDataFrame([(n, b"12345678") for n in range(40)], "node long, bits binary")
+    plan = ngram_join.rest_pairs(frame.selectExpr("*", "10L as size"), maps.hint("merge"), 85, 64)._jdf.queryExecution().optimizedPlan().toString()
+    # above the bitmaps, only the rows' place is dealt by
+    assert plan.index("RepartitionByExpression") < plan.index("Join")
