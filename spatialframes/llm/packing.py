@@ -23,7 +23,6 @@ input other than the id, the text and the source are not returned.
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections import deque
@@ -39,61 +38,119 @@ from spatialframes.session import settle
 
 WINDOW = 2048
 CLOSING = 1
-_HELD = 200_000  # words whose ids a worker remembers
+_HELD = 200_000  # parts of words whose ids a worker remembers, twice
 _SLICE = 4_000_000  # bytes of text whose words are numbered at once, in ten times that memory
-#: Lower-case words whose parts are plain: letters that have no other form, then one mark at most.
-_PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]?)")
-#: Words of ASCII without the signs that join parts or open a special token; their parts are runs of letters, single
-#: digits, and runs of anything else.
-_ASCII = re.compile("[!-&(-;=-~]{1,99}")
-_PARTS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
+_JOINED = 1000  # parts that the model is given at once
+_LETTER, _DIGIT, _SIGN, _ODD = range(4)
 
 
-def _byte_letters() -> dict[int, int]:
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Of every byte its kind and its lower case; letters of two bytes are not told here."""
+    kinds, lower = np.full(256, _ODD, np.uint8), np.arange(256, dtype=np.uint8)
+    for b in range(33, 127):
+        c = chr(b)
+        if c not in "'<":
+            kinds[b] = _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _SIGN
+        lower[b] = ord(c.lower())
+    return kinds, lower
+
+
+_KIND, _LOWER = _kinds()
+
+
+def _byte_letters() -> np.ndarray:
     """The letter that byte-level vocabularies write for a byte: itself if it is printable, else the
-    next free one from 256 on."""
+    next free one from 256 on. A space stays."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     hidden = [b for b in range(256) if b not in shown]
-    return {b: 256 + i for i, b in enumerate(hidden)}
+    letters = np.arange(256, dtype="<u4")
+    letters[hidden] = 256 + np.arange(len(hidden))
+    letters[32] = 32
+    return letters
 
 
 _LETTERS = _byte_letters()
 
 
-class WordIds(dict):
-    """Ids of words as bytes, two to an id; words between white space do not depend on each other.
+class WordIds:
+    """Ids of words, two bytes to an id; words between white space do not depend on each other.
 
-    A plain word is looked up by its parts, which need no normalising; any other word goes through
-    the whole tokenizer.
+    Words of ASCII and of Latin letters are cut into their parts, runs of letters, single digits and runs of
+    signs, which need no normalising; any other word goes through the whole tokenizer.
     """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(file)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need two bytes")
-        self.model, self.parts = self.tokenizer.model, {"": b""}
-
-    def part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            letters = part if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS)
-            found = self.parts[part] = array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
-        return found
-
-    def __missing__(self, word: str) -> bytes:
-        low = word.lower()
-        if low.isascii() and low.isalpha():
-            found = self.parts.get(low) or self.part(low)
-        elif _ASCII.fullmatch(low):
-            found = b"".join(map(self.part, _PARTS.findall(low)))
-        elif len(word) < 100 and (plain := _PLAIN.fullmatch(low)):
-            found = self.part(plain[1]) + self.part(plain[2])
-        else:
-            found = array("H", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        self[word] = found
-        return found
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        self.known: dict[str, bytes] = {}  # parts seen of late, and before these
+        self.older: dict[str, bytes] = {}
+
+    def modelled(self, parts: list[str]) -> Iterator[bytes]:
+        """The ids of parts that need no normalising."""
+        letters = _LETTERS[np.frombuffer(" ".join(parts).encode(), np.uint8)].tobytes().decode("utf-32-le")
+        done = self.model.encode(letters, add_special_tokens=False)
+        cuts = np.cumsum(np.bincount(done.word_ids, minlength=len(parts)) * 2).tolist()
+        ids = np.array(done.ids, np.uint16).tobytes()
+        return (ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False))
+
+    def parts(self, parts: list[str], whole: np.ndarray) -> list[bytes]:
+        """The ids of distinct parts; those that are ``whole`` go through the whole tokenizer."""
+        if len(self.known) > _HELD:
+            self.known, self.older = {}, self.known
+        known, new = self.known, []
+        for part, odd in zip(parts, whole.tolist(), strict=True):
+            if part not in known:
+                if (found := self.older.get(part)) is not None:
+                    known[part] = found
+                elif odd:
+                    known[part] = array("H", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+                else:
+                    new.append(part)
+        for i in range(0, len(new), _JOINED):
+            some = new[i : i + _JOINED]
+            known.update(zip(some, self.modelled(some), strict=True))
+        return [*map(known.__getitem__, parts)]
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and the number of ids of each."""
+        words = words.cast(pa.string())
+        lengths = np.asarray(pa.compute.binary_length(words), np.int64)
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        if not offsets[-1]:
+            return np.empty(0, np.uint16), np.zeros(len(words), np.int32)
+        first = np.frombuffer(words.buffers()[1], np.int32)[words.offset]
+        data = np.frombuffer(words.buffers()[2], np.uint8)[first : first + offsets[-1]]
+        kind, low = _KIND[data], _LOWER[data]
+        # the letters from U+00C0 to U+00FF but for the two signs among them
+        lead = np.flatnonzero(data == 0xC3)
+        second = data[lead + 1]
+        lead, second = (x[(second != 0x97) & (second != 0xB7)] for x in (lead, second))
+        kind[lead] = kind[lead + 1] = _LETTER
+        low[lead + 1] = second | np.where(second < 0x9F, 0x20, 0).astype(np.uint8)
+        # what is odd or long stays one part as it is
+        upto = np.concatenate([[0], np.cumsum(kind == _ODD)])[offsets]
+        whole = np.repeat((upto[1:] > upto[:-1]) | (lengths >= 100), lengths)
+        low[whole] = data[whole]
+        begins = np.empty(len(data), bool)
+        begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        begins[whole] = False
+        begins[offsets[:-1][lengths > 0]] = True
+        cuts = np.append(np.flatnonzero(begins), len(data)).astype(np.int32)
+        parts = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(low)).dictionary_encode()
+        odd = np.zeros(len(parts.dictionary), bool)
+        number = np.asarray(parts.indices)
+        odd[number[whole[cuts[:-1]]]] = True
+        known = self.parts(parts.dictionary.to_numpy(zero_copy_only=False).tolist(), odd)
+        ids, size = _gathered(np.frombuffer(b"".join(known), np.uint16), np.fromiter(map(len, known), np.int32, len(known)) // 2, number)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ends = ends[np.concatenate([[0], np.cumsum(begins)])[offsets]]
+        return ids, np.diff(ends).astype(np.int32)
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         return self.column(pa.array(texts, pa.string())).to_pylist()
@@ -105,26 +162,27 @@ class WordIds(dict):
         """
         lists = pa.compute.ascii_split_whitespace(texts.fill_null(""))
         words = lists.flatten().dictionary_encode()
-        if len(self) > _HELD:
-            self.clear()
-        if len(self.parts) > _HELD:
-            self.parts = {"": b""}
-        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        known = [*map(self.__getitem__, distinct), array("H", [CLOSING]).tobytes()]
-        size = np.fromiter(map(len, known), np.int32, len(known)) // 2
-        start = np.cumsum(size, dtype=np.int32) - size
+        known, size = self.words(words.dictionary)
+        known, size = np.append(known, np.uint16(CLOSING)), np.append(size, np.int32(1))
         # a closing word after the last word of every text
         ends = np.cumsum(np.asarray(pa.compute.list_value_length(lists), dtype=np.int64))
-        number = np.insert(np.asarray(words.indices, dtype=np.int32), ends, len(known) - 1)
-        size = size[number]
+        number = np.insert(np.asarray(words.indices, dtype=np.int32), ends, len(size) - 1)
+        flat, size = _gathered(known, size, number)
         upto = np.cumsum(size, dtype=np.int32)
-        place = np.arange(upto[-1] if len(upto) else 0, dtype=np.int32)
-        place += np.repeat(start[number] - upto + size, size)
-        flat = np.frombuffer(b"".join(known), np.uint16)[place]
         cuts = np.concatenate([[0], upto[ends + np.arange(len(ends))]]) * 2
         return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(flat)])
 
 
+def _gathered(ids: np.ndarray, sizes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of numbered items, of which each has its size in ``ids``, and the size of every one."""
+    start = np.cumsum(sizes, dtype=np.int32) - sizes
+    size = sizes[number]
+    upto = np.cumsum(size, dtype=np.int32)
+    place = np.arange(upto[-1] if len(upto) else 0, dtype=np.int32)
+    place += np.repeat(start[number] - upto + size, size)
+    return ids[place], size
+
+
 _KNOWN: dict[str, WordIds] = {}  # a worker process serves one task after the other
 
 

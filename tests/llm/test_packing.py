@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tracemalloc
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +60,54 @@ def test_words_by_their_parts(text):
     assert np.frombuffer(got, np.uint16).tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1]
 
 
+@cache
+def words():
+    return packing.WordIds(packing.word_file())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZ09.!-|<>'@~éÉßÿŸÀ×÷ÞþÇ·µªº\xad\xa0\x85\x00\x1c\x7f ÄŁıſ日\u0301 \n"), max_size=12), max_size=4))
+def test_words_of_other_letters(texts):
+    texts = [*texts, "É" * 30 + "a" * 80, "X1" * 60, "<|endoftext|> <|ENDOFTEXT|>"]
+    known = words()
+    got = known.texts(texts)
+    want = [known.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert [np.frombuffer(g, np.uint16).tolist() for g in got] == want
+
+
+def test_words_are_looked_up_by_distinct_parts():
+    stems = [a + b + c for a in "bdfg" for b in "aeiouéü" for c in "klmnrst"]
+    forms = [f"{w}{sign}" for s in stems for w in (s, s.title(), s.upper()) for sign in ("", ".", "?!", "2")]
+    tokenizer = Tokenizer.from_file(packing.word_file())
+    known, calls = packing.WordIds(packing.word_file()), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    got = known.column(pa.array([" ".join(forms)]))
+    sys.setprofile(None)
+    assert np.frombuffer(got[0].as_py(), np.uint16).tolist() == tokenizer.encode(" ".join(forms), add_special_tokens=False).ids + [1]
+    # 2352 words of 199 parts
+    assert calls < len(forms)
+
+
+def test_large_strings():
+    assert words().column(pa.array(ODD, pa.large_string())).to_pylist() == words().column(pa.array(ODD)).to_pylist()
+
+
+def test_parts_that_are_forgotten(monkeypatch):
+    known = packing.WordIds(packing.word_file())
+    monkeypatch.setattr(packing, "_HELD", 3)
+    monkeypatch.setattr(packing, "_JOINED", 2)
+    for i in range(8):
+        texts = [f"one two, {'three' * i}! {i}", "日本 it's ÉTÉ" * (i % 2), ODD[i]]
+        want = [known.tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+        assert [np.frombuffer(g, np.uint16).tolist() for g in known.texts(texts)] == want
+    assert "three" not in known.known | known.older
+
+
 def pieces(spark, rows, **rule):
     frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, source string, text string, sequence_id string")
     return packing.pack(frame, **rule).collect()
